@@ -50,7 +50,7 @@ def _ecma(text: str, tolerant: bool) -> list:
         m = match(text, pos)
         if m is None:
             if not tolerant:
-                raise LexError(f"character {pos}")
+                raise LexError(f"character {pos} {text[pos - 40 : pos + 60]!r}")
             pos += 1
             continue
         kind, at = m.lastgroup, pos
@@ -152,7 +152,7 @@ def _plain(master: re.Pattern, text: str, tolerant: bool) -> list:
         m = match(text, pos)
         if m is None:
             if not tolerant:
-                raise LexError(f"character {pos}")
+                raise LexError(f"character {pos} {text[pos - 40 : pos + 60]!r}")
             pos += 1
             continue
         kind, at = m.lastgroup, pos
@@ -271,7 +271,7 @@ def _python(text: str, tolerant: bool) -> list:
         m = match(text, pos)
         if m is None:
             if not tolerant:
-                raise LexError(f"character {pos}")
+                raise LexError(f"character {pos} {text[pos - 40 : pos + 60]!r}")
             pos += 1
             continue
         kind, at = m.lastgroup, pos
@@ -329,9 +329,7 @@ def _python(text: str, tolerant: bool) -> list:
         out.append((kind, t, at))
     if stack and not tolerant:
         raise LexError("brackets")
-    if out and not all(x[0] in ("com", "de") for x in out[-1:]) and out[-1][0] != "nl":
-        out.append(("nl", "\n", n))
-    elif out and out[-1][0] == "com":
+    if not fresh:
         out.append(("nl", "\n", n))
     out.extend(("de", "", n) for _ in levels[1:])
     return out
