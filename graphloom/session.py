@@ -19,6 +19,7 @@ def build(master: str = "local[8]", **conf: str) -> SparkSession:
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     base |= {k.replace("__", "."): v for k, v in conf.items()}
