@@ -2,14 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloom.operators import orphans
+
 
 def flagship(spark, sf_dir):
     return spark.range(1)
 
 
-def queries() -> dict:
-    return {}
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.orphans(*(_t(spark, sf_dir, n) for n in ("intents", "edges", "entities", "files", "removals", "external_names")))
+
+
+ORPHANS_SQL = """
+WITH parent AS (
+  SELECT repo_name, file_path AS path, lower(trim(uuid)) AS uuid, fqn, false AS is_file, indexed_at AS s FROM entities WHERE indexed_at IS NOT NULL
+  UNION ALL SELECT repo_name, path, NULL, NULL, true, scanned_at FROM files WHERE scanned_at IS NOT NULL),
+live AS (
+  SELECT p.*, (SELECT min(r.removed_at) FROM removals r WHERE r.repo_name = p.repo_name AND r.file_path = p.path AND r.removed_at >= p.s) AS e FROM parent p),
+k AS (
+  SELECT 'p' AS space, repo_name AS scope, path AS key, s, e FROM live WHERE is_file
+  UNION ALL SELECT 'u', '', uuid, s, e FROM live WHERE NOT is_file
+  UNION ALL SELECT 'f', repo_name, fqn, s, e FROM live WHERE NOT is_file),
+ref AS (
+  SELECT 'intents' AS ref_table, intent_id AS ref_id, repo_name AS scope, recorded_at AS tm,
+    CASE WHEN intent_type IN ('HtmlFileImport', 'CssFileImport') THEN 'p' ELSE 'f' END AS space,
+    CASE WHEN intent_type IN ('HtmlFileImport', 'CssFileImport') THEN trim(target)
+      WHEN intent_type = 'DomElementReference' THEN '#' || trim(target)
+      WHEN intent_type = 'CssClassUsage' THEN '.' || trim(target)
+      WHEN intent_type = 'RustMacroCall' THEN trim(target) || '!'
+      ELSE coalesce(CASE WHEN receiver IN ('this', 'self') THEN src_enclosing_class ELSE receiver END
+        || CASE WHEN src_file LIKE '%.rs' THEN '::' ELSE '.' END, '') || trim(target) END AS key
+  FROM intents
+  UNION ALL SELECT 'edges', edge_id, '', resolved_at, 'u', lower(trim(src_uuid)) FROM edges
+  UNION ALL SELECT 'edges', edge_id, '', resolved_at, 'u', lower(trim(dst_uuid)) FROM edges),
+orphan AS (
+  SELECT ref_table, ref_id, min(tm) AS tm FROM ref
+  WHERE key IS NOT NULL AND tm IS NOT NULL AND NOT (space = 'f' AND EXISTS (SELECT 1 FROM external_names x WHERE x.name = key))
+    AND NOT EXISTS (SELECT 1 FROM k WHERE k.space = ref.space AND k.scope = ref.scope AND k.key = ref.key AND ref.tm >= k.s AND (k.e IS NULL OR ref.tm < k.e))
+  GROUP BY 1, 2)
+"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query of the core: (spark, directory of the tables) -> DataFrame."""
+    return {
+        "p2_found": lambda s, d: _orphans(s, d).select("ref_table", "ref_id"),
+        "p2_report": lambda s, d: orphans.orphan_report(_orphans(s, d)),
+    }
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    """The same in SQL."""
+    return {
+        "p2_found": ORPHANS_SQL + "SELECT ref_table, ref_id FROM orphan",
+        "p2_report": ORPHANS_SQL + "SELECT ref_table, strftime(tm, '%Y-%m') AS month, count(*) AS orphans FROM orphan GROUP BY 1, 2",
+    }
