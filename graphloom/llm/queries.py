@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, code
+from graphloom.llm import bpe, code, quality
 from graphloom.llm.common import table
 
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_pairs": lambda s, d: code.documented_functions(t(s, d, "files"), full=True),
         "p3_found": lambda s, d: code.unparsable(t(s, d, "files")),
         "p3_rates": lambda s, d: code.unparsable_rates(t(s, d, "files")),
+        "p8_found": lambda s, d: quality.not_prose(t(s, d, "documents"), quality.fit(t(s, d, "documents"))),
+        "p8_stats": lambda s, d: quality.text_quality(t(s, d, "documents"), quality.fit(t(s, d, "documents"))),
         "p6_ids": lambda s, d: bpe.encode_documents(t(s, d, "documents")),
     }
 
