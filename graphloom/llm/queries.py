@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, code, origin, quality
+from graphloom.llm import bpe, code, neighbours, origin, quality
 from graphloom.llm.common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_stats": lambda s, d: quality.text_quality(t(s, d, "documents"), quality.fit(t(s, d, "documents"))),
         "p4_found": lambda s, d: origin.not_handwritten(t(s, d, "files"), t(s, d, "library_files")),
         "p4_labels": lambda s, d: origin.file_origins(t(s, d, "files"), t(s, d, "library_files")),
+        "p5_found": lambda s, d: neighbours.nearest_pairs(t(s, d, "vectors")),
         "p6_ids": lambda s, d: bpe.encode_documents(t(s, d, "documents")),
     }
 
