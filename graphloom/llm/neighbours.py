@@ -1,8 +1,8 @@
 """The most similar vectors of every vector (problem 5): hierarchical navigable small-world graphs, one per shard, results merged.
 
-Shards are Voronoi cells of centroids that are fitted, in a projection, on a bounded sample (SAMPLE); every
-usable vector is indexed. A vector near a border is indexed in its second cell too, and a cell that is too full is split at random,
-its vectors then asking every part. Graphs are flat arrays of neighbours per layer, built and walked in batches of numpy operations;
+Shards are groups of neighbouring Voronoi cells of centroids that are fitted, in a projection, on a bounded sample (SAMPLE); every
+usable vector is indexed, in one shard. A vector near a border asks the neighbouring shard too, and a shard that is too full is split
+at random, its vectors then asking every part. Graphs are flat arrays of neighbours per layer, built and walked in batches of numpy operations;
 the candidates found are ranked by the exact cosine in double precision, rounded to six decimals, the smaller uuid first among equals.
 
 Usable are vectors of DIM finite numbers that are not all zero; of several for one uuid the smallest in bytes counts. Null uuids are left
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from graphloom.session import written
 
 DIM, TOP = 384, 10
-#: Rows of the fitted sample, at most; dimensions of the projection for cells; members of a shard on average, and at most (estimated).
-SAMPLE, LOW, MEAN, MOST = 12_000, 64, 12_000, 20_000
-#: A second cell counts if its centroid is at most so many times as far as the first's.
+#: Rows of the fitted sample, at most; dimensions of the projection for cells; members of a shard, at most, by the sample's counts.
+SAMPLE, LOW, MOST = 12_000, 64, 16_000
+#: Cells for each shard's worth of rows, and sampled rows that a cell needs at least.
+CELLS, ROWS_A_CELL = 24, 40
+#: A neighbouring shard is asked if one of its centroids is at most so many times as far as the nearest.
 SPILL = 1.08
 #: Links of a node (twice as many in the lowest layer), the beam while building and while asking, candidates ranked exactly.
 LINKS, BEAM_BUILD, BEAM, RANKED = 16, 48, 64, 24
@@ -220,8 +222,8 @@ def _conflicts(vectors: DataFrame) -> bool:
     return not h.groupBy("uuid").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
 
 
-def _fit(rows: DataFrame, n: int, low: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projection, centroids and parts of each cell, from at most SAMPLE rows, the same at every run."""
+def _fit(rows: DataFrame, n: int, low: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Projection, centroids, the shard of each cell and the parts of each shard, from at most SAMPLE rows, the same at every run."""
     share = min(1.0, 0.9 * SAMPLE / max(1, n))
     got = rows.where(F.pmod(F.xxhash64("uuid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).limit(SAMPLE).select("uuid", "v").toPandas().sort_values("uuid")
     x = unpack(list(got["v"]), dim).astype(np.float64)
@@ -229,43 +231,61 @@ def _fit(rows: DataFrame, n: int, low: int, dim: int) -> tuple[np.ndarray, np.nd
     _, basis = np.linalg.eigh(x.T @ x)
     basis = basis[:, ::-1][:, :low].astype(np.float32)
     z = (x.astype(np.float32) @ basis).astype(np.float32)
-    cells = max(1, min(len(z), -(-n // MEAN)))
+    cells = max(1, min(len(z) // ROWS_A_CELL, CELLS * -(-n // MOST)))
     rng = np.random.default_rng(11)
     centre = z[rng.choice(len(z), cells, replace=False)] if len(z) else np.zeros((1, low), np.float32)
+    near = np.zeros(len(z), int)
     for _ in range(12):
-        near = np.argmax(z @ centre.T - 0.5 * (centre**2).sum(axis=1), axis=1)
+        near = np.argmax(z @ centre.T - 0.5 * (centre**2).sum(axis=1), axis=1) if len(z) else near
         for c in range(cells):
             if (near == c).any():
                 centre[c] = z[near == c].mean(axis=0)
-    count = np.bincount(near, minlength=cells) if len(z) else np.ones(1)
-    parts = np.maximum(1, np.ceil(1.1 * count / max(1, len(z)) * n / MOST).astype(int))
-    return basis, centre, parts
-
-
-def _assign(rows: DataFrame, basis: np.ndarray, centre: np.ndarray, parts: np.ndarray, dim: int) -> DataFrame:
+    count = np.bincount(near, minlength=cells) / max(1, len(z)) * n
+    shard = _grouped(centre, count, MOST)
+    full = np.bincount(shard, weights=count)
+    return basis, centre, shard, np.maximum(1, np.ceil(1.1 * full / MOST - 0.1).astype(int))
+
+
+def _grouped(centre: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """Cells joined to shards: the nearest pair first, while a shard has room."""
+    k = len(centre)
+    root = np.arange(k)
+    size = count.astype(float).copy()
+    d = (centre**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * centre @ centre.T
+    i, j = np.triu_indices(k, 1)
+    for p in np.argsort(d[i, j], kind="stable"):
+        a, b = root[i[p]], root[j[p]]
+        if a != b and size[a] + size[b] <= most:
+            root[root == b] = a
+            size[a] += size[b]
+    return np.unique(root, return_inverse=True)[1]
+
+
+def _assign(rows: DataFrame, basis: np.ndarray, centre: np.ndarray, shard: np.ndarray, parts: np.ndarray, dim: int) -> DataFrame:
     """(shard, part, uuid, v, member, several): where each vector is indexed (member) or only asks; `several` if it asks more than once."""
-    shared = rows.sparkSession.sparkContext.broadcast((basis, centre, parts))
+    shared = rows.sparkSession.sparkContext.broadcast((basis, centre, shard, parts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, centre, parts = shared.value
+        basis, centre, shard, parts = shared.value
         for b in batches:
             x = unpack(list(b["v"]), dim)
             x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
             z = x @ basis
             d = np.sqrt(np.maximum(0.0, (z**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * z @ centre.T))
-            order = np.argsort(d, axis=1)[:, :2]
+            order = np.argsort(d, axis=1)[:, :4]
+            near = np.take_along_axis(d, order, axis=1)
+            cell = shard[order]
+            home = cell[:, 0]
+            other = (cell != home[:, None]) & (near <= SPILL * near[:, :1])
+            second = np.where(other.any(axis=1), cell[np.arange(len(b)), np.argmax(other, axis=1)], -1)
             h = pd.util.hash_array(b["uuid"].to_numpy(dtype=object)).astype(np.uint64)
-            out = []
-            for rank in range(order.shape[1]):
-                cell = order[:, rank]
-                take = np.ones(len(b), bool) if rank == 0 else np.take_along_axis(d, order[:, 1:2], 1)[:, 0] <= SPILL * np.take_along_axis(d, order[:, :1], 1)[:, 0]
-                spilled = np.zeros(len(b), bool) if order.shape[1] < 2 else np.take_along_axis(d, order[:, 1:2], 1)[:, 0] <= SPILL * np.take_along_axis(d, order[:, :1], 1)[:, 0]
+            place = (h % parts[home].astype(np.uint64)).astype(int)
+            several = (second >= 0) | (parts[home] > 1)
+            for c, mine in ((home, True), (second, False)):
                 for part in range(int(parts.max())):
-                    ok = take & (part < parts[cell])
+                    ok = (c >= 0) & (part < parts[np.maximum(c, 0)])
                     if ok.any():
-                        home = (h % parts[cell].astype(np.uint64)).astype(int)
-                        out.append(pd.DataFrame({"shard": cell[ok], "part": part, "uuid": b["uuid"].to_numpy()[ok], "v": b["v"].to_numpy()[ok], "member": (home == part)[ok], "several": (spilled | (parts[cell] > 1))[ok]}))
-            yield pd.concat(out)[["shard", "part", "uuid", "v", "member", "several"]] if out else pd.DataFrame(columns=["shard", "part", "uuid", "v", "member", "several"])
+                        yield pd.DataFrame({"shard": c[ok], "part": part, "uuid": b["uuid"].to_numpy()[ok], "v": b["v"].to_numpy()[ok], "member": (place[ok] == part) & mine, "several": several[ok]})
 
     return rows.mapInPandas(run, "shard int, part int, uuid string, v binary, member boolean, several boolean")
 
@@ -346,10 +366,10 @@ def nearest_pairs(vectors: DataFrame, top: int = TOP, dim: int = DIM, low: int =
     if _conflicts(vectors):
         rows = rows.groupBy("uuid").agg(F.min("v").alias("v"))
     n = vectors.where(F.col("uuid").isNotNull() & (F.size("embedding") == dim)).count()
-    basis, centre, parts = _fit(rows, n, min(low, dim), dim)
-    placed = _assign(rows, basis, centre, parts, dim)
+    basis, centre, shard, parts = _fit(rows, n, min(low, dim), dim)
+    placed = _assign(rows, basis, centre, shard, parts, dim)
     cells = int(parts.sum())
-    spots = placed.repartition(cells, "shard", "part") if cells > 1 else placed
+    spots = placed.repartition(8 * cells, "shard", "part") if cells > 1 else placed  # few keys: else they often meet in one task
     found = spots.groupBy("shard", "part").applyInPandas(_search(dim, top), "kind int, a string, b string, sim double")
     found = written(found, "neighbours")
     w = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
