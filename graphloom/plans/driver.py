@@ -1,54 +1,135 @@
-"""The queries that the driver runs, with their SQL."""
+"""The queries that the driver runs on the tables of a code index, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.operators import orphans
+from graphloom.functions import ids, text
+from graphloom.operators import graph, incremental, lines, orphans, resolve, search, store, vector
+from graphloom.plans.sql import SQL
 
-
-def flagship(spark, sf_dir):
-    return spark.range(1)
+#: What the lookups below ask for.
+REPO, PART, K, CUT = "harbor-core", "index", 5, "2025-07-01 00:00:00"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _entities(s: SparkSession, d: str) -> DataFrame:
+    return graph.current_entities(_t(s, d, "entities"))
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.clean_edges(_t(s, d, "edges"))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """Each file once, as last delivered."""
+    f = _t(s, d, "files")
+    cols = [c for c in f.columns if c != "file_id"]
+    return f.groupBy("file_id").agg(F.max_by(F.struct(*cols), F.struct(F.col("scanned_at"), F.coalesce("language", F.lit("")))).alias("r")).select("file_id", "r.*")
+
+
+def _intents(s: SparkSession, d: str) -> DataFrame:
+    i = _t(s, d, "intents").withColumn("target", F.trim("target"))
+    return i.dropDuplicates(["intent_id"])
+
+
+def _targets(s: SparkSession, d: str) -> DataFrame:
+    """Names that the reverse lookups ask for: everything whose name contains PART."""
+    return _entities(s, d).where(F.contains(F.lower("name"), F.lit(PART)))
+
+
+def _usable(s: SparkSession, d: str) -> DataFrame:
+    v = _t(s, d, "embeddings")
+    return v.select(F.col("vec_id").alias("uuid"), F.col("label").cast("string").alias("repo_name"), "embedding")
+
+
+def _query_vector(s: SparkSession, d: str) -> list[float]:
+    return [float(x) for x in _usable(s, d).orderBy("uuid").first()["embedding"]]
+
+
+def _mutated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The files as they are, and the state of an index that saw those scanned before CUT and of removed files has no hash."""
+    f = _files(s, d)
+    gone = _gone(s, d).withColumnRenamed("file_path", "path")
+    old = f.where(F.col("scanned_at") < F.lit(CUT).cast("timestamp_ntz")).join(gone, ["repo_name", "path"], "left_anti").select("repo_name", "path", "sha256")
+    return f.select("repo_name", "path", "sha256"), old.unionByName(gone.withColumn("sha256", F.lit(None).cast("string")))
+
+
+def _classified(s: SparkSession, d: str) -> DataFrame:
+    return incremental.classify(*_mutated(s, d))
+
+
+def _gone(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "removals").select("repo_name", "file_path").distinct()
+
+
+def _vectors(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "vectors").where("embedding is not null").select("uuid", "repo_name", F.size("embedding").alias("dims")).distinct()
+
+
+def _left(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return store.without_files(_entities(s, d), _edges(s, d), _vectors(s, d), _gone(s, d))
+
+
+def _new_entities(s: SparkSession, d: str) -> DataFrame:
+    return _entities(s, d).where("kind = 'class'").select("uuid", F.concat("name", F.lit("V2")).alias("name"), "kind")
+
+
+def _refs(s: SparkSession, d: str) -> DataFrame:
+    return _intents(s, d).where("line is not null").select("repo_name", F.col("src_file").alias("file_path"), F.col("intent_id").alias("ref_id"), "line")
+
+
+def _spans(s: SparkSession, d: str) -> DataFrame:
+    return _entities(s, d).where("start_line is not null").select("repo_name", "file_path", "uuid", "start_line", "end_line")
+
+
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    return _entities(s, d).where("kind in ('class', 'interface', 'python_class', 'kotlin_class') and end_line is not null").select("repo_name", "file_path", "name", "start_line", "end_line")
+
+
+def _batches(s: SparkSession, d: str) -> DataFrame:
+    from graphloom.streaming.batches import change_batches
+
+    return change_batches(_t(s, d, "events"), "user_id", "ts", 120)
+
+
+def _resolved(s: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve(_intents(s, d), _entities(s, d))
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    return resolve.resolve_calls(_intents(s, d), _entities(s, d))
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphans(*(_t(spark, sf_dir, n) for n in ("intents", "edges", "entities", "files", "removals", "external_names")))
 
 
-ORPHANS_SQL = """
-WITH parent AS (
-  SELECT repo_name, file_path AS path, lower(trim(uuid)) AS uuid, fqn, false AS is_file, indexed_at AS s FROM entities WHERE indexed_at IS NOT NULL
-  UNION ALL SELECT repo_name, path, NULL, NULL, true, scanned_at FROM files WHERE scanned_at IS NOT NULL),
-live AS (
-  SELECT p.*, (SELECT min(r.removed_at) FROM removals r WHERE r.repo_name = p.repo_name AND r.file_path = p.path AND r.removed_at >= p.s) AS e FROM parent p),
-k AS (
-  SELECT 'p' AS space, repo_name AS scope, path AS key, s, e FROM live WHERE is_file
-  UNION ALL SELECT 'u', '', uuid, s, e FROM live WHERE NOT is_file
-  UNION ALL SELECT 'f', repo_name, fqn, s, e FROM live WHERE NOT is_file),
-ref AS (
-  SELECT 'intents' AS ref_table, intent_id AS ref_id, repo_name AS scope, recorded_at AS tm,
-    CASE WHEN intent_type IN ('HtmlFileImport', 'CssFileImport') THEN 'p' ELSE 'f' END AS space,
-    CASE WHEN intent_type IN ('HtmlFileImport', 'CssFileImport') THEN trim(target)
-      WHEN intent_type = 'DomElementReference' THEN '#' || trim(target)
-      WHEN intent_type = 'CssClassUsage' THEN '.' || trim(target)
-      WHEN intent_type = 'RustMacroCall' THEN trim(target) || '!'
-      ELSE coalesce(CASE WHEN receiver IN ('this', 'self') THEN src_enclosing_class ELSE receiver END
-        || CASE WHEN src_file LIKE '%.rs' THEN '::' ELSE '.' END, '') || trim(target) END AS key
-  FROM intents
-  UNION ALL SELECT 'edges', edge_id, '', resolved_at, 'u', lower(trim(src_uuid)) FROM edges
-  UNION ALL SELECT 'edges', edge_id, '', resolved_at, 'u', lower(trim(dst_uuid)) FROM edges),
-orphan AS (
-  SELECT ref_table, ref_id, min(tm) AS tm FROM ref
-  WHERE key IS NOT NULL AND tm IS NOT NULL AND NOT (space = 'f' AND EXISTS (SELECT 1 FROM external_names x WHERE x.name = key))
-    AND NOT EXISTS (SELECT 1 FROM k WHERE k.space = ref.space AND k.scope = ref.scope AND k.key = ref.key AND ref.tm >= k.s AND (k.e IS NULL OR ref.tm < k.e))
-  GROUP BY 1, 2)
-"""
+def _tiny_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Supplier and nation as a graph over whose vectors one can search: vec_id is joined to suppliers by number."""
+    sup = _t(s, d, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("uuid"), F.col("s_name").alias("name"), F.lit("class").alias("kind"), F.concat(F.lit("s."), "s_name").alias("fqn"), F.lit(None).cast("string").alias("signature"),
+        F.lit(None).cast("string").alias("docstring"), F.concat(F.lit("n/"), F.col("s_nationkey").cast("string")).alias("file_path"), F.col("s_suppkey").cast("int").alias("start_line"), F.lit("r").alias("repo_name"), "s_nationkey",
+    )
+    e = sup.alias("a").join(sup.alias("b"), F.expr("b.uuid = cast(cast(a.uuid as bigint) + 1 as string)")).select(F.col("a.uuid").alias("src_uuid"), F.col("b.uuid").alias("dst_uuid"), F.when(F.col("a.s_nationkey") < F.col("b.s_nationkey"), "CALLS").otherwise("REFERENCES").alias("rel_type"))
+    return sup.drop("s_nationkey"), e
+
+
+def _hybrid(s: SparkSession, d: str) -> DataFrame:
+    e, g = _tiny_graph(s, d)
+    v = _usable(s, d).withColumn("uuid", F.col("uuid").cast("string"))
+    return search.hybrid(e, g, v.join(e.select("uuid"), "uuid", "left_semi"), _query_vector(s, d), K).select("rank", "score", "uuid", "name", "calls", "caller_count", "caller_samples", "type_usage_count", "type_usage_samples")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by meaning, with the graph around the hits."""
+    return _hybrid(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -56,12 +137,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda s, d: _orphans(s, d).select("ref_table", "ref_id"),
         "p2_report": lambda s, d: orphans.orphan_report(_orphans(s, d)),
+        "current_entities": lambda s, d: _entities(s, d).select("uuid", "name", "kind", "fqn", "signature", "docstring", "file_path", "start_line", "repo_name"),
+        "find_references": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "(tree"),
+        "find_references_repo": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "Index", repo=REPO),
+        "find_callers_strict": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "trimDigest", strict=True, rel_types=("CALLS",)),
+        "find_references_all_relations": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "-", rel_types=("REFERENCES_DOM", "USES_CSS_CLASS", "MACRO_CALLS", "IMPORTS_SCRIPT", "IMPORTS_STYLESHEET")),
+        "callers_grouped_by_target": lambda s, d: graph.grouped_by_target(graph.find_references(_entities(s, d), _edges(s, d), "(")),
+        "reference_counts": lambda s, d: graph.reference_counts(_entities(s, d), _edges(s, d)),
+        "dead_entities": lambda s, d: graph.dead_entities(_entities(s, d), _edges(s, d)).select("uuid", "name", "kind"),
+        "dependencies": lambda s, d: graph.dependencies(_entities(s, d), _edges(s, d)),
+        "enrich_entities": lambda s, d: graph.enriched(_entities(s, d), _edges(s, d)),
+        "explore_files": lambda s, d: graph.file_sections(_entities(s, d)),
+        "contains_edges": lambda s, d: graph.contains_edges(_entities(s, d)),
+        "impact": lambda s, d: graph.impact(_edges(s, d), _targets(s, d).select("uuid"), 3),
+        "vector_topk": lambda s, d: vector.top_k(_usable(s, d), _query_vector(s, d), K),
+        "vector_topk_filtered": lambda s, d: vector.top_k(_usable(s, d), _query_vector(s, d), K, repo="3"),
+        "hybrid_search": _hybrid,
+        "entity_uuid5": lambda s, d: _t(s, d, "entities").select("uuid", ids.uuid5(F.concat_ws(":", "repo_name", "file_path", "fqn")).alias("computed")).distinct(),
+        "point_ids": lambda s, d: _entities(s, d).select("uuid", ids.point_id(F.col("uuid")).alias("point_id")),
+        "embed_text": lambda s, d: _entities(s, d).select("uuid", text.embed_text(*[F.col(c) for c in ("kind", "name", "decorators", "signature", "docstring", "inline_comments", "file_path", "start_line")]).alias("embed_text")),
+        "strip_comments": lambda s, d: _t(s, d, "entities").where("docstring is not null").select(F.col("docstring").alias("raw"), text.strip_comment_markers(F.col("docstring")).alias("stripped")).distinct(),
+        "content_hash": lambda s, d: _files(s, d).where("content is not null").select("file_id", text.content_hash(F.col("content")).alias("computed"), "sha256"),
+        "supported_files": lambda s, d: _files(s, d).select("file_id", text.is_supported(F.col("path")).alias("supported"), text.language(F.col("path")).alias("lang_of_path")),
+        "file_classify": lambda s, d: incremental.counts(_classified(s, d)),
+        "files_to_delete": lambda s, d: incremental.to_delete(_classified(s, d)),
+        "files_to_parse": lambda s, d: incremental.to_parse(_classified(s, d)),
+        "affected_intents": lambda s, d: incremental.affected_intents(_intents(s, d), incremental.to_parse(_classified(s, d)), _targets(s, d).select("name")).select("intent_id"),
+        "delete_by_files": lambda s, d: _left(s, d)[0].select("uuid"),
+        "delete_by_files_edges": lambda s, d: _left(s, d)[1],
+        "delete_by_files_vectors": lambda s, d: _left(s, d)[2],
+        "delete_repo": lambda s, d: store.without_repo(_entities(s, d), _edges(s, d), _vectors(s, d), REPO)[1],
+        "upsert_entities": lambda s, d: store.upsert(_entities(s, d).select("uuid", "name", "kind"), _new_entities(s, d), ["uuid"]),
+        "upsert_edges": lambda s, d: store.upsert_edges(_edges(s, d).where("rel_type <> 'CALLS'"), _edges(s, d), _entities(s, d)),
+        "upsert_calls": lambda s, d: store.upsert_calls(_edges(s, d).where("rel_type = 'EXTENDS'"), _edges(s, d), _entities(s, d)),
+        "entity_dedup": lambda s, d: lines.one_per_declaration(_t(s, d, "entities").select("uuid", "name", "kind", "signature", "repo_name", "file_path", "start_line").distinct()).groupBy("repo_name", "kind").agg(F.count("*").alias("n"), F.count("signature").alias("with_signature")),
+        "resolve_by_name": lambda s, d: resolve.resolve(_intents(s, d).where("intent_type not in ('Call', 'HtmlFileImport', 'CssFileImport')"), _entities(s, d)),
+        "resolve_imports": lambda s, d: resolve.resolve(_intents(s, d).where("intent_type in ('HtmlFileImport', 'CssFileImport')"), _entities(s, d)),
+        "resolve_calls": lambda s, d: _calls(s, d).where("step <> 6").select("src_uuid", "method", "receiver", "uuid", "step"),
+        "resolve_inherited": lambda s, d: resolve.parents(_intents(s, d), _entities(s, d)),
+        "fuzzy_fqn": lambda s, d: _calls(s, d).where("step = 6").select("src_uuid", "method", "receiver", "uuid"),
+        "name_map": lambda s, d: resolve.name_map(_entities(s, d)),
+        "cross_repo_context": lambda s, d: resolve.fqn_map(resolve.context(_entities(s, d), REPO, ["ember-vault-ba0", "vale-loom-ba1"]), REPO),
+        "nearest_entity": lambda s, d: lines.nearest_entity(_refs(s, d), _spans(s, d), ["repo_name", "file_path"]),
+        "nearest_entity_before": lambda s, d: lines.nearest_before(_refs(s, d), _spans(s, d), ["repo_name", "file_path"]),
+        "enclosing_context": lambda s, d: lines.enclosing_class(_refs(s, d).withColumnRenamed("ref_id", "row_id"), _classes(s, d), ["repo_name", "file_path"]),
+        "orphan_lines": lambda s, d: lines.covered(_refs(s, d).withColumnRenamed("line", "at"), _spans(s, d).where("end_line is not null").select("repo_name", "file_path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi")), ["repo_name", "file_path"]).select("ref_id"),
+        "watch_batches": _batches,
+        "watch_dedup": lambda s, d: _t(s, d, "events").select("user_id", "event_type").distinct(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The same in SQL."""
-    return {
-        "p2_found": ORPHANS_SQL + "SELECT ref_table, ref_id FROM orphan",
-        "p2_report": ORPHANS_SQL + "SELECT ref_table, strftime(tm, '%Y-%m') AS month, count(*) AS orphans FROM orphan GROUP BY 1, 2",
-    }
+    return SQL
