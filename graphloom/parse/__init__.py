@@ -1 +1,34 @@
-"""parse of the engine."""
+"""From source text to entities and references, by language."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from graphloom.parse import code, markup
+from graphloom.parse.model import Source, finish
+
+
+def _rust(src: Source) -> None:
+    code.rust(src)
+    code.rust_attach(src)
+
+
+#: The extractor of each language; `register` replaces one.
+EXTRACTORS: dict[str, Callable[[Source], None]] = {
+    "java": code.java, "kotlin": code.kotlin, "typescript": code.ecma, "javascript": code.ecma, "rust": _rust, "python": code.python, "html": markup.html, "css": markup.css, "scss": lambda s: markup.css(s, True),
+}
+
+
+def register(language: str, extractor: Callable[[Source], None]) -> None:
+    """Uses `extractor` for a language from now on, in this process."""
+    EXTRACTORS[language] = extractor
+
+
+def extract(language: str, text: str, path: str, repo: str) -> list[dict]:
+    """The file's entities with their intents. Never raises for what the text holds; an unknown language gives nothing."""
+    run = EXTRACTORS.get(language)
+    if run is None or not text or not text.strip():
+        return []
+    src = Source(language, text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿"))
+    run(src)
+    return finish(src, path, repo)

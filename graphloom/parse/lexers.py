@@ -260,7 +260,7 @@ def _python(text: str, tolerant: bool) -> list:
                 levels.append((col, alt))
                 out.append(("in", "", pos))
             else:
-                while col < levels[-1][0]:
+                while len(levels) > 1 and col < levels[-1][0]:
                     levels.pop()
                     out.append(("de", "", pos))
                 if (col, alt) != levels[-1]:
