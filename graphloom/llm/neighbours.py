@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,13 +189,8 @@ class Hnsw:
         return out
 
 
-def pack(v: np.ndarray) -> bytes:
-    """A vector's bytes: as float16 where that loses nothing, else as float32."""
-    half = v.astype(np.float16)
-    return half.tobytes() if np.array_equal(half.astype(np.float32), v) else v.astype(np.float32).tobytes()
-
-
 def unpack(packed, dim: int = DIM) -> np.ndarray:
+    """Vectors from their bytes: float16 where that lost nothing, else float32."""
     out = np.empty((len(packed), dim), np.float32)
     for i, b in enumerate(packed):
         out[i] = np.frombuffer(b, np.float16 if len(b) == 2 * dim else np.float32)
@@ -202,18 +198,23 @@ def unpack(packed, dim: int = DIM) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, dim: int = DIM) -> DataFrame:
-    """uuid and v, the packed vector, one per uuid."""
-    rows = vectors.select("uuid", "embedding").where(F.col("uuid").isNotNull() & (F.size("embedding") == dim))
+    """uuid and v, the packed vector, of every row with a usable one."""
+    rows = vectors.select("uuid", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("uuid").isNotNull() & (F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 2000):
-                part = b.iloc[at : at + 2000]
-                x = np.array([np.asarray(e, dtype=np.float32) for e in part["embedding"]], dtype=np.float32).reshape(-1, dim)
-                ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-                yield pd.DataFrame({"uuid": part["uuid"].to_numpy()[ok], "v": [pack(v) for v in x[ok]]})
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
+            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = np.ascontiguousarray(x[ok])
+            with np.errstate(over="ignore"):
+                half = x.astype(np.float16)
+            fits = (half.astype(np.float32) == x).all(axis=1)
+            packed = [half[i].tobytes() if fits[i] else x[i].tobytes() for i in range(len(x))]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(packed, pa.binary())], names=["uuid", "v"])
 
-    return rows.mapInPandas(run, "uuid string, v binary")
+    return rows.mapInArrow(run, "uuid string, v binary")
 
 
 def _conflicts(vectors: DataFrame) -> bool:
@@ -222,10 +223,11 @@ def _conflicts(vectors: DataFrame) -> bool:
     return not h.groupBy("uuid").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
 
 
-def _fit(rows: DataFrame, n: int, low: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _fit(vectors: DataFrame, n: int, low: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Projection, centroids, the shard of each cell and the parts of each shard, from at most SAMPLE rows, the same at every run."""
     share = min(1.0, 0.9 * SAMPLE / max(1, n))
-    got = rows.where(F.pmod(F.xxhash64("uuid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)).limit(SAMPLE).select("uuid", "v").toPandas().sort_values("uuid")
+    chosen = vectors.where(F.pmod(F.xxhash64("uuid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
+    got = usable(chosen, dim).limit(SAMPLE).toPandas().drop_duplicates("uuid").sort_values("uuid")
     x = unpack(list(got["v"]), dim).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     _, basis = np.linalg.eigh(x.T @ x)
@@ -366,7 +368,7 @@ def nearest_pairs(vectors: DataFrame, top: int = TOP, dim: int = DIM, low: int =
     if _conflicts(vectors):
         rows = rows.groupBy("uuid").agg(F.min("v").alias("v"))
     n = vectors.where(F.col("uuid").isNotNull() & (F.size("embedding") == dim)).count()
-    basis, centre, shard, parts = _fit(rows, n, min(low, dim), dim)
+    basis, centre, shard, parts = _fit(vectors, n, min(low, dim), dim)
     placed = _assign(rows, basis, centre, shard, parts, dim)
     cells = int(parts.sum())
     spots = placed.repartition(8 * cells, "shard", "part") if cells > 1 else placed  # few keys: else they often meet in one task
