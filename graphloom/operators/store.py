@@ -67,7 +67,7 @@ class Store:
                 self.write(name, self.spark.createDataFrame([], schema))
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+        return f"{self.root}/{name}/CURRENT"
 
     def _current(self, name: str) -> str | None:
         p = self._path(self._pointer(name))
@@ -85,7 +85,7 @@ class Store:
         cols = [c for c in ("repo_name", "file_path", "path", "rel_type") if c in df.columns]
         out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
         (out.sortWithinPartitions(*cols) if cols else out).write.parquet(f"{self.root}/{name}/{version}")
-        tmp, to = self._path(f"{self.root}/{name}/_next-{version}"), self._path(self._pointer(name))
+        tmp, to = self._path(f"{self.root}/{name}/NEXT-{version}"), self._path(self._pointer(name))
         stream = self._fs.create(tmp, True)
         stream.write(bytearray(version.encode()))
         stream.close()
