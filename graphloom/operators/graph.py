@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.schema import REFERENCE_RELATIONS
+from graphloom.session import cut
 
 
 def current_entities(entities: DataFrame) -> DataFrame:
@@ -140,11 +141,12 @@ def contains_edges(entities: DataFrame) -> DataFrame:
 
 def impact(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """(uuid, depth): everything that reaches `start` (a column uuid) along edges backwards within `depth` steps."""
-    seen = start.select("uuid", F.lit(0).alias("depth"))
-    front = seen
+    seen = front = cut(start.select("uuid").where("uuid is not null").distinct().withColumn("depth", F.lit(0)))
     back = edges.select("src_uuid", "dst_uuid").distinct()
     for d in range(1, depth + 1):
         step = back.join(front.select(F.col("uuid").alias("dst_uuid")), "dst_uuid").select(F.col("src_uuid").alias("uuid")).distinct()
-        front = step.join(seen.select("uuid"), "uuid", "left_anti").withColumn("depth", F.lit(d))
+        front = cut(step.join(seen.select("uuid"), "uuid", "left_anti").withColumn("depth", F.lit(d)))  # each step is worked out once
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen

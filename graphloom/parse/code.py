@@ -96,7 +96,8 @@ class Tokens:
         for a, b in reversed(rows):
             if self.src.text.count("\n", b, upper) > 1:
                 break
-            keep.insert(0, (a, b))
+            if not (self.src.language == "rust" and self.src.text.startswith(("//!", "/*!"), a)):
+                keep.insert(0, (a, b))
             upper = a
         return strip_marks("\n".join(self.src.text[a:b] for a, b in keep)) or None
 
@@ -110,7 +111,7 @@ def _receiver(t: Tokens, i: int) -> str | None:
             j -= 1
             continue
         if t.kind(j - 1) != "id":
-            return parts[0] if parts and False else None
+            return None
         parts.insert(0, t.text(j - 1))
         j -= 2
     return ".".join(parts) or None
@@ -297,7 +298,7 @@ def java(src: Source) -> None:
             continue
         skip.add(i)
         s = i - 1
-        while s > b[0] and t.text(s - 1) not in (";", "{", "}") and not (t.text(s - 1) == ")" and False):
+        while s > b[0] and t.text(s - 1) not in (";", "{", "}"):
             s -= 1
         deco = re.findall(r"@[\w.]+(?:\([^)]*\))?", src.text[t.at(s) : t.at(i)])
         src.add(name, "method", t.at(s), t.end(t.pair.get(j, j) if t.text(j) == "{" else j), t.at(i), signature=t.span(i + 1, close), enclosing=b[2], docstring=t.doc(s), decorators=deco)
@@ -396,7 +397,7 @@ def ecma(src: Source) -> None:
         elif w in ("const", "let", "var") and t.kind(i + 1) == "id" and (owner[i] == -1 or t.text(owner[i]) == "{"):
             j = i + 2
             if ts and t.text(j) == ":":
-                while j < len(t.toks) and t.text(j) not in ("=", ";") and not (t.text(j) == ")" and False):
+                while j < len(t.toks) and t.text(j) not in ("=", ";"):
                     j = t.after(j) if t.text(j) in _OPEN and t.kind(j) == "op" else j + 1
             if t.text(j) != "=":
                 continue
