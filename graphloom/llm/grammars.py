@@ -142,7 +142,7 @@ param = deco* MOD* (pattern | THIS) '?'? (':' type)? ('=' aexpr)? ;
 method = (MOD | 'async' | GETSET | '*')* key '?'? tparams? '(' params? ')' ret? (block | end) ;
 class = 'class' ID? tparams? ('extends' post targs?)? (IMPLEMENTS tref (',' tref)*)? '{' member* '}' ;
 member = ';' | deco* MOD* (method | GETSET? key ('?' | '!')? (':' type)? ('=' aexpr)? end | '[' ID ':' type ']' ':' type end) | MOD block ;
-ret = ':' (ASSERTS (ID | THIS) ('is' type)? | type | (ID | THIS) IS type) ;
+ret = ':' (ASSERTS (ID | THIS) (IS type)? | type | (ID | THIS) IS type) ;
 tparams = '<' tparam (',' tparam)* ','? '>' ;
 tparam = ('const' | 'in' | MOD)* ID ('extends' type)? ('=' type)? ;
 targs = '<' type (',' type)* ','? '>' ;
@@ -216,7 +216,7 @@ suf = '.' (targs? ID | 'this' | 'class' | targs? 'super' | new) | '[' expr ']' |
 args = expr (',' expr)* ;
 """
 KOTLIN = r"""
-file = (FILEANN ':'? ('[' annbody+ ']' | annbody) end?)* (PACKAGE name end)? (IMPORT name ('.' '*' | AS ID)? end | ';')* ((decl | stmt) end | ';' | NL)* ;
+file = (FILEANN ':'? ('[' annbody+ ']' | annbody) end?)* (PACKAGE name end)? (IMPORT name ('.' '*' | AS ID)? end | ';')* (decl | ';' | NL)* ;
 end = (';' | NL)+ ;
 name = ID ('.' ID)* ;
 annbody = ID ('.' ID)* targs? vargs? ;
@@ -232,7 +232,7 @@ cparam = mods? ('val' | 'var')? ID ':' type ('=' expr)? ;
 supers = super (',' super)* ;
 super = annotation* (type vargs? (BY expr)?) ;
 where = WHERE annotation* ID ':' type (',' annotation* ID ':' type)* ;
-body = '{' ((member | ';') (end member?)* )? NL? '}' | '{' NL '}' ;
+body = '{' (member | ';' | NL)* '}' ;
 member = decl | enume | INIT block | mods? CONSTRUCTOR fparams (':' ('this' | 'super') vargs)? block? ;
 enume = mods? ID vargs? body? (',' mods? ID vargs? body?)* ','? ;
 fname = (rtype '.')? ID ;
