@@ -29,7 +29,7 @@ CELLS, ROWS_A_CELL = 24, 40
 #: A neighbouring shard is asked if one of its centroids is at most so many times as far as the nearest.
 SPILL = 1.08
 #: Links of a node (twice as many in the lowest layer), the beam while building and while asking, candidates ranked exactly.
-LINKS, BEAM_BUILD, BEAM, RANKED = 16, 64, 96, 24
+LINKS, BEAM_BUILD, BEAM, RANKED = 16, 56, 76, 24
 BATCH = 512
 
 
