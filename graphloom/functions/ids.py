@@ -24,7 +24,7 @@ def uuid5(identity: Column) -> Column:
     """UUID version 5 of a string column in NAMESPACE; null for null."""
     h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE.hex)), F.encode(identity, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return F.when(identity.isNotNull(), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)))
 
 
 def point_id(uuid_: Column) -> Column:
