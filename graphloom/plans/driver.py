@@ -53,6 +53,23 @@ def _query_vector(s: SparkSession, d: str) -> list[float]:
     return [float(x) for x in _usable(s, d).orderBy("uuid").first()["embedding"]]
 
 
+def _index_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The index's own vectors that can be compared: vector.DIM finite numbers that are not all zero."""
+    x = F.col("embedding")
+    finite = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < F.lit(float("inf"))))
+    return _t(s, d, "vectors").where(F.col("uuid").isNotNull() & (F.size(x) == vector.DIM) & finite & F.exists(x, lambda y: y != 0)).select("uuid", "repo_name", "embedding")
+
+
+def _index_query(s: SparkSession, d: str) -> list[float]:
+    """What the searches of the index ask for: the vector of the smallest uuid; zeros, near to nothing, where there is none."""
+    first = _index_vectors(s, d).orderBy("uuid", "embedding").first()
+    return [float(x) for x in first["embedding"]] if first else [0.0] * vector.DIM
+
+
+def _index_top(s: SparkSession, d: str, repo: str | None = None) -> DataFrame:
+    return vector.top_k(_index_vectors(s, d), _index_query(s, d), K, repo)
+
+
 def _mutated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The files as they are, and the state of an index that saw those scanned before CUT and of removed files has no hash."""
     f = _files(s, d)
@@ -127,9 +144,16 @@ def _hybrid(s: SparkSession, d: str) -> DataFrame:
     return search.hybrid(e, g, v.join(e.select("uuid"), "uuid", "left_semi"), _query_vector(s, d), K).select("rank", "score", "uuid", "name", "calls", "caller_count", "caller_samples", "type_usage_count", "type_usage_samples")
 
 
+def _hybrid_index(s: SparkSession, d: str) -> DataFrame:
+    """The search over the index's entities, edges and vectors; a hit without an entity has its rank but no row."""
+    return search.hybrid(_entities(s, d), _edges(s, d), _index_vectors(s, d), _index_query(s, d), K).select(
+        "rank", "score", "uuid", "name", "kind", "fqn", "signature", "docstring", "file_path", "start_line", "repo_name", "calls", "subclasses", "implementers", "caller_count", "caller_samples", "type_usage_count", "type_usage_samples",
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search by meaning, with the graph around the hits."""
-    return _hybrid(spark, sf_dir)
+    return _hybrid_index(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -153,6 +177,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vector_topk": lambda s, d: vector.top_k(_usable(s, d), _query_vector(s, d), K),
         "vector_topk_filtered": lambda s, d: vector.top_k(_usable(s, d), _query_vector(s, d), K, repo="3"),
         "hybrid_search": _hybrid,
+        "vector_topk_index": _index_top,
+        "vector_topk_index_filtered": lambda s, d: _index_top(s, d, REPO),
+        "hybrid_search_index": _hybrid_index,
         "entity_uuid5": lambda s, d: _t(s, d, "entities").select("uuid", ids.uuid5(F.concat_ws(":", "repo_name", "file_path", "fqn")).alias("computed")).distinct(),
         "point_ids": lambda s, d: _entities(s, d).select("uuid", ids.point_id(F.col("uuid")).alias("point_id")),
         "embed_text": lambda s, d: _entities(s, d).select("uuid", text.embed_text(*[F.col(c) for c in ("kind", "name", "decorators", "signature", "docstring", "inline_comments", "file_path", "start_line")]).alias("embed_text")),

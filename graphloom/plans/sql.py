@@ -69,6 +69,11 @@ SUP = (
     "h AS (SELECT vec_id::VARCHAR AS uuid, round(list_cosine_similarity(embedding::DOUBLE[], x), 6) AS score FROM embeddings, q WHERE vec_id::VARCHAR IN (SELECT uuid FROM sup) ORDER BY score DESC, uuid LIMIT 5)",
 )
 COSINE = "SELECT vec_id AS uuid, score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], x), 6) AS score FROM embeddings, q {w} ORDER BY score DESC, vec_id LIMIT 5)"
+INDEX = (
+    "v AS (SELECT uuid, repo_name, embedding::DOUBLE[] AS embedding FROM vectors WHERE uuid IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 384 AND len(list_filter(embedding, lambda y: y <> 0)) > 0)",
+    "q AS (SELECT embedding AS x FROM v ORDER BY uuid, embedding LIMIT 1)",
+)
+TOP = "SELECT uuid, score, row_number() OVER (ORDER BY score DESC, uuid)::INT AS rank FROM (SELECT uuid, max(round(list_cosine_similarity(embedding, x), 6)) AS score FROM v, q {w} GROUP BY uuid ORDER BY score DESC, uuid LIMIT 5)"
 PARENT = """
 WITH parent AS (
   SELECT repo_name, file_path AS path, lower(trim(uuid)) AS uuid, fqn, false AS is_file, indexed_at AS s FROM entities WHERE indexed_at IS NOT NULL
@@ -125,6 +130,13 @@ SQL: dict[str, str] = {
     "hybrid_search": _with(*SUP) + """SELECT row_number() OVER (ORDER BY score DESC, uuid)::INT AS rank, score, uuid, sup.name, coalesce((SELECT string_agg(callee, ',' ORDER BY callee) FROM g WHERE src = uuid AND rel = 'CALLS'), '') AS calls,
     (SELECT count(*) FROM g WHERE dst = uuid AND rel = 'CALLS') AS caller_count, coalesce((SELECT string_agg(sample, '; ') FROM g WHERE dst = uuid AND rel = 'CALLS'), '') AS caller_samples,
     (SELECT count(*) FROM g WHERE dst = uuid AND rel = 'REFERENCES') AS type_usage_count, coalesce((SELECT string_agg(sample, '; ') FROM g WHERE dst = uuid AND rel = 'REFERENCES'), '') AS type_usage_samples FROM h JOIN sup USING (uuid)""",
+    "vector_topk_index": _with(*INDEX) + TOP.format(w=""),
+    "vector_topk_index_filtered": _with(*INDEX) + TOP.format(w="WHERE repo_name = 'harbor-core'"),
+    "hybrid_search_index": _with(E_, G_, *INDEX, f"h AS ({TOP.format(w='')})", "x AS (SELECT g.dst_uuid AS uuid, g.rel_type, e.name, coalesce(e.name, '?') || ' in ' || coalesce(e.file_path, '?') AS sample, row_number() OVER (PARTITION BY g.dst_uuid, g.rel_type ORDER BY coalesce(e.name, '?') || ' in ' || coalesce(e.file_path, '?'), e.uuid) AS r FROM g JOIN e ON e.uuid = g.src_uuid)")
+    + """SELECT h.rank, h.score, h.uuid, e.name, e.kind, e.fqn, e.signature, e.docstring, e.file_path, e.start_line, e.repo_name, coalesce((SELECT string_agg(t.name, ',' ORDER BY t.name) FROM g JOIN e t ON t.uuid = g.dst_uuid WHERE g.src_uuid = h.uuid AND g.rel_type = 'CALLS'), '') AS calls,
+    coalesce((SELECT string_agg(DISTINCT x.name, ',' ORDER BY x.name) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'EXTENDS'), '') AS subclasses, coalesce((SELECT string_agg(DISTINCT x.name, ',' ORDER BY x.name) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'IMPLEMENTS'), '') AS implementers,
+    (SELECT count(*) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'CALLS') AS caller_count, coalesce((SELECT string_agg(x.sample, '; ' ORDER BY x.sample) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'CALLS' AND x.r <= 3), '') AS caller_samples,
+    (SELECT count(*) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'REFERENCES') AS type_usage_count, coalesce((SELECT string_agg(x.sample, '; ' ORDER BY x.sample) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'REFERENCES' AND x.r <= 3), '') AS type_usage_samples FROM h JOIN e ON e.uuid = h.uuid""",
     "entity_uuid5": f"SELECT DISTINCT uuid, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS computed FROM (SELECT uuid, sha1(unhex('{_NS}') || encode(concat_ws(':', repo_name, file_path, fqn))) AS h FROM entities)",
     "point_ids": _with(E_) + "SELECT uuid, lower(printf('%016x', xor(('0x' || substr(replace(uuid, '-', ''), 1, 16))::UBIGINT, ('0x' || substr(replace(uuid, '-', ''), 17, 16))::UBIGINT))) AS point_id FROM e",
     "embed_text": _with(E_) + """SELECT uuid, concat_ws(chr(10), '[' || kind || '] ' || name, CASE WHEN len(list_filter(decorators, lambda s: trim(s) <> '')) > 0 THEN 'Decorators: ' || array_to_string(list_filter(decorators, lambda s: trim(s) <> ''), ', ') END, 'Signature: ' || signature,

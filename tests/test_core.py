@@ -241,3 +241,26 @@ def test_entry_has_queries_and_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.oracle_sql()) > 40
+
+
+def test_search_of_the_index_reads_its_own_tables(spark, sf):
+    import numpy as np
+
+    import __spark_entry__ as e
+
+    found = e.queries()
+    rows = [(r.uuid, r.repo_name, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{sf}/vectors.parquet").collect() if r.uuid and r.embedding and len(r.embedding) == 384 and None not in r.embedding]
+    rows = [(u, repo, x) for u, repo, x in rows if np.isfinite(x).all() and x.any()]
+    q = min(rows, key=lambda r: (r[0], list(r[2])))[2]
+    for name, repo in (("vector_topk_index", None), ("vector_topk_index_filtered", "harbor-core")):
+        score = {}
+        for u, r, x in rows:
+            if repo in (None, r):
+                score[u] = max(score.get(u, -2.0), round(float(x @ q / np.sqrt((x @ x) * (q @ q))), 6))
+        want = sorted(score.items(), key=lambda k: (-k[1], k[0]))[:5]
+        got = [(r.uuid, r.score) for r in found[name](spark, sf).orderBy("rank").collect()]
+        assert [u for u, _ in got] == [u for u, _ in want] and all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(got, want))
+        if repo is None:
+            known = {r.uuid: r.name for r in graph.current_entities(spark.read.parquet(f"{sf}/entities.parquet")).collect()}
+            hits = [(r.uuid, r.name) for r in found["hybrid_search_index"](spark, sf).collect()]
+            assert hits == [(u, known[u]) for u, _ in want if u in known] and hits
