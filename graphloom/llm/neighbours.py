@@ -6,7 +6,9 @@ at random, its vectors then asking every part. Graphs are flat arrays of neighbo
 the candidates found are ranked by the exact cosine in double precision, rounded to six decimals, the smaller uuid first among equals.
 
 Usable are vectors of DIM finite numbers that are not all zero; of several for one uuid the smallest in bytes counts. Null uuids are left
-out. Equal vectors are one node of a graph that stands for all their uuids. Fewer than two usable vectors give no pairs.
+out. Vectors of one direction, as nearly as six decimals tell, are one node of a graph that stands for all their uuids. A row of which the
+candidates cannot settle the ten, as more may tie with the tenth or as a node's members may round differently, is compared with its whole
+shard. Fewer than two usable vectors give no pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SPILL = 1.08
 #: Links of a node (twice as many in the lowest layer), the beam while building and while asking, candidates ranked exactly.
 LINKS, BEAM_BUILD, BEAM, RANKED = 16, 56, 76, 24
 BATCH = 512
+#: Directions at most so far apart (their cosine then rounds to 1) are one node; rounds of looking for them, and the width of a cell.
+NEAR, NEAR_ROUNDS, NEAR_CELL = 1e-3, 4, 2e-2
 
 
 class Hnsw:
@@ -292,6 +296,24 @@ def _assign(rows: DataFrame, basis: np.ndarray, centre: np.ndarray, shard: np.nd
     return rows.mapInPandas(run, "shard int, part int, uuid string, v binary, member boolean, several boolean")
 
 
+def _directions(x: np.ndarray) -> np.ndarray:
+    """For each row of x, of length one, the row that stands for its direction: one within about NEAR of it. A few may stay apart."""
+    rep = np.arange(len(x))
+    rng = np.random.default_rng(5)
+    for _ in range(NEAR_ROUNDS):
+        live = np.flatnonzero(rep == np.arange(len(x)))
+        z = (x @ rng.normal(size=(x.shape[1], 6)).astype(np.float32))[live]
+        cell = np.floor(z / NEAR_CELL + rng.random(6)).astype(np.int32)
+        _, first, at = np.unique(cell.view(np.dtype((np.void, 24))).ravel(), return_index=True, return_inverse=True)
+        lead = live[first][at]
+        new = np.flatnonzero(lead != live)
+        new = new[np.linalg.norm(x[live[new]] - x[lead[new]], axis=1) <= NEAR]
+        rep[live[new]] = lead[new]
+    while (rep[rep] != rep).any():
+        rep = rep[rep]
+    return rep
+
+
 def shard_neighbours(uuids: np.ndarray, full: np.ndarray, member: np.ndarray, top: int = TOP) -> tuple[np.ndarray, np.ndarray]:
     """For each row the positions (in the sorted uuids) and similarities of its nearest members, -1 padded. uuids are sorted."""
     norm = np.linalg.norm(full.astype(np.float64), axis=1)
@@ -299,12 +321,21 @@ def shard_neighbours(uuids: np.ndarray, full: np.ndarray, member: np.ndarray, to
     keys = np.ascontiguousarray(full).view(np.dtype((np.void, full.shape[1] * 4))).ravel()
     mem = np.flatnonzero(member)
     _, first, group = np.unique(keys[mem], return_index=True, return_inverse=True)
-    node_row = mem[first]  # the row whose vector a node has
+    rep = _directions(unit[mem[first]])
+    nodes, of = np.unique(rep, return_inverse=True)
+    node_row = mem[first[nodes]]  # the row whose vector a node has
+    reach = np.zeros(len(nodes))  # how far a node's members are from it
+    apart = np.flatnonzero(rep != np.arange(len(rep)))
+    for i in range(0, len(apart), BATCH):
+        j, k = mem[first[apart[i : i + BATCH]]], node_row[of[apart[i : i + BATCH]]]
+        far = np.linalg.norm(full[j] / norm[j][:, None] - full[k] / norm[k][:, None], axis=1)
+        np.maximum.at(reach, of[apart[i : i + BATCH]], far + 1e-12)
+    group = of[group]
     o = np.lexsort((mem, group))
-    begin = np.searchsorted(group[o], np.arange(len(first)))
+    begin = np.searchsorted(group[o], np.arange(len(nodes)))
     size = np.diff(np.r_[begin, len(mem)])
     wide = int(min(top + 1, size.max(initial=1)))
-    names = np.full((len(first), wide), -1, np.int64)  # the smallest uuids of each node
+    names = np.full((len(nodes), wide), -1, np.int64)  # the smallest uuids of each node
     for j in range(wide):
         has = size > j
         names[has, j] = mem[o[begin[has] + j]]
@@ -312,10 +343,23 @@ def shard_neighbours(uuids: np.ndarray, full: np.ndarray, member: np.ndarray, to
     node_of[mem] = group
     graph = Hnsw(unit[node_row])
     out_i, out_s = np.full((len(uuids), top), -1, np.int64), np.full((len(uuids), top), -2.0)
-    beam = min(BEAM, max(8, len(first)))
+
+    def keep(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, bad: np.ndarray) -> None:
+        key = np.round((2.0 - sims) * 1e6).astype(np.int64) * (1 << 31) + ids
+        key[bad] = np.iinfo(np.int64).max
+        k = min(top, key.shape[1])
+        best = np.argpartition(key, k - 1, axis=1)[:, :k]
+        key = np.take_along_axis(key, best, axis=1)
+        real = key < np.iinfo(np.int64).max
+        out_i[rows[:, None], np.arange(k)] = np.where(real, np.take_along_axis(ids, best, axis=1), -1)
+        out_s[rows[:, None], np.arange(k)] = np.where(real, np.take_along_axis(sims, best, axis=1), -2.0)
+
+    beam = min(BEAM, max(8, len(nodes)))
+    open_rows = []
     for at in range(0, len(uuids), BATCH):
         rows = np.arange(at, min(len(uuids), at + BATCH))
         cand = graph.ask(unit[rows], node_of[rows], beam=beam)[:, :RANKED]
+        ranked = cand.shape[1]
         own = node_of[rows]
         cand = np.concatenate([cand, np.where((own >= 0) & ~(cand == own[:, None]).any(axis=1), own, -1)[:, None]], axis=1)
         r = node_row[np.maximum(cand, 0)]
@@ -323,18 +367,22 @@ def shard_neighbours(uuids: np.ndarray, full: np.ndarray, member: np.ndarray, to
         for i in range(0, len(rows), 128):
             a = full[rows[i : i + 128]].astype(np.float64)
             dots[i : i + 128] = np.matmul(full[r[i : i + 128]].astype(np.float64), a[:, :, None])[:, :, 0]
-        sim = np.round(dots / (norm[rows][:, None] * norm[r]), 6)
+        cos = dots / (norm[rows][:, None] * norm[r])
+        sim = np.round(cos, 6)
         ids = names[np.maximum(cand, 0)].reshape(len(rows), -1)
-        sims = np.repeat(sim, wide, axis=1)
-        bad = (ids < 0) | np.repeat(cand < 0, wide, axis=1) | (ids == rows[:, None])
-        key = np.round((2.0 - sims) * 1e6).astype(np.int64) * (1 << 31) + ids
-        key[bad] = np.iinfo(np.int64).max
-        k = min(top, key.shape[1])
-        best = np.argpartition(key, k - 1, axis=1)[:, :k]
-        key = np.take_along_axis(key, best, axis=1)
-        real = key < np.iinfo(np.int64).max
-        out_i[rows[:, None], np.arange(k)] = np.where(real, np.take_along_axis(ids, best, axis=1), -1)
-        out_s[rows[:, None], np.arange(k)] = np.where(real, np.take_along_axis(sims, best, axis=1), -2.0)
+        keep(rows, ids, np.repeat(sim, wide, axis=1), (ids < 0) | np.repeat(cand < 0, wide, axis=1) | (ids == rows[:, None]))
+        least = out_s[rows].min(axis=1) - 1.5e-6  # what may tie with the last that is kept
+        more = (ranked == RANKED) & (cand[:, ranked - 1] >= 0) & (sim[:, ranked - 1] >= least - reach.max(initial=0.0))
+        far = np.where(cand >= 0, reach[np.maximum(cand, 0)], 0.0)
+        split = (far > 0) & (np.round(cos - far, 6) != np.round(cos + far, 6)) & (cos + far >= least[:, None])
+        open_rows.append(rows[more | split.any(axis=1)])
+    asked = np.concatenate(open_rows) if open_rows else np.empty(0, int)
+    whole = full[mem].astype(np.float64) if len(asked) else None
+    for i in range(0, len(asked), 64):
+        rows = asked[i : i + 64]
+        sim = np.round((full[rows].astype(np.float64) @ whole.T) / (norm[rows][:, None] * norm[mem]), 6)
+        ids = np.broadcast_to(mem, sim.shape)
+        keep(rows, ids, sim, ids == rows[:, None])
     return out_i, out_s
 
 

@@ -149,6 +149,22 @@ def test_small_world_graph_finds_neighbours():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, exact)]) > 0.9 and 11 in ids[7] and 7 in ids[11]
 
 
+def test_groups_of_one_direction_are_ranked_by_uuid():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 384))
+    x[:300] = x[0] * rng.uniform(0.2, 5.0, 300)[:, None]  # one direction, many lengths
+    x[300:500] = x[300] + 1e-5 * rng.normal(size=(200, 384))  # copies with tiny noise
+    x = x[rng.permutation(900)].astype(np.float32)
+    uuids = np.array([f"{i:06d}" for i in range(len(x))], dtype=object)
+    ids, _ = neighbours.shard_neighbours(uuids, x, np.ones(len(x), bool))
+    exact = neighbours.exact_neighbours(x, np.arange(len(x)))
+    assert len({r.tobytes() for r in x}) > 890
+    share = np.array([len(set(a) & set(b)) / 10 for a, b in zip(ids, exact)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    tied = ((unit @ unit.T) > 0.999999).sum(axis=1) > 24
+    assert tied.sum() == 500 and share[tied].min() == 1.0 and share.mean() > 0.9
+
+
 def test_nearest_pairs(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(60, 8)).astype(np.float32)
