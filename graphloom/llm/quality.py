@@ -2,6 +2,7 @@
 of the line, and the labels' shares of the text's characters are summed up per document.
 
 A line is observed as a tuple of small factors (form, common words, length, symbols, repetition, end), independent given the label.
+Words in a run that the document has three times or more count, from the second time on, as junk and not as prose, however long the repeated block is.
 Null, empty and blank texts have no lines: all counts are 0, shares null, and they are no case. Every row given yields one row.
 """
 
@@ -61,19 +62,38 @@ PRIOR = {
     "end": {"stop": (0.62, 0.14, 0.10, 0.18), "open": (0.38, 0.86, 0.90, 0.82)},
 }
 STAY = 0.76
+#: Words in a row that count as a repetition if they stand in a document at least so many times.
+RUN, TIMES = 8, 3
 START = (0.55, 0.15, 0.15, 0.15)
 _FACTORS = tuple(PRIOR)
 
 
-def observe(text: str) -> tuple[list[tuple], list[int], dict]:
-    """The lines' observations, their weights (characters that are no white space) and the document's counts."""
+def repeated(words: list[str]) -> np.ndarray:
+    """Whether each word stands in a run of RUN words that the document has TIMES times or more; the first time does not count."""
+    out = np.zeros(len(words), bool)
+    runs = list(map(hash, zip(*(words[i:] for i in range(RUN)))))
+    if len(runs) < TIMES or len(set(runs)) > len(runs) - (TIMES - 1):
+        return out
+    many = {x for x, n in Counter(runs).items() if n >= TIMES}
+    seen = set()
+    for i, x in enumerate(runs):
+        if x in many:
+            if x in seen:
+                out[i : i + RUN] = True
+            seen.add(x)
+    return out
+
+
+def observe(text: str) -> tuple[list[tuple], list[int], dict, np.ndarray]:
+    """The lines' observations, their weights (characters that are no white space), the document's counts, and the share of each line's words that are repeated."""
     out: list[tuple] = []
     weights: list[int] = []
     words_all: list[str] = []
     n_common = ended = fence = 0
     coded = False
     symbols = chars = 0
-    before: list[str] = []
+    before: set[str] = set()
+    ends: list[int] = []
     for line in text.splitlines():
         s = line.strip()
         if not s:
@@ -121,15 +141,14 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict]:
         sents = [x for x in _SENT.split(body) if x]
         same = 0
         for x in sents:
-            if x in before[-3:]:
-                same += 1
-            before.append(x)
-        del before[:-3]
+            same += x in before
+            before.add(x)
         n = len(ws) - (han * 2) // 3
         sym = odd + max(0.0, digits - 0.05) + (0.3 if ws and max(map(len, ws)) > 45 else 0.0)
         out.append((form, kind, "1-3" if n <= 3 else "4-7" if n <= 7 else "8+", "low" if sym < 0.05 else "mid" if sym < 0.16 else "high", "again" if same * 2 > len(sents) else "new", "stop" if s.endswith(_END) else "open"))
         weights.append(n_chars)
         words_all += low
+        ends.append(len(words_all))
         n_common += common
         ended += s.endswith(_END)
         symbols += len(body) - plain
@@ -146,7 +165,8 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict]:
         "ended_share": round(ended / len(out), 6) if out else None,
         "common_share": round(n_common / total, 6) if total else None,
     }
-    return out, weights, stats
+    done = np.r_[0, np.cumsum(repeated(words_all))][[0, *ends]]
+    return out, weights, stats, np.diff(done) / np.maximum(1, np.diff([0, *ends]))
 
 
 class Model:
@@ -211,11 +231,14 @@ class Model:
 
 def measure(text: str | None, model: Model) -> dict:
     """The statistics and the labels' shares of one text."""
-    lines, weights, stats = observe(text or "")
+    lines, weights, stats, again = observe(text or "")
     if not lines:
         return stats | {f"{x}_share": None for x in LABELS}
     w = np.array(weights, dtype=float) + 1e-9
-    share = (model.posteriors(lines) * (w / w.sum())[:, None]).sum(axis=0)
+    labels = model.posteriors(lines)
+    labels[:, -1] += again * labels[:, 0]
+    labels[:, 0] *= 1 - again
+    share = (labels * (w / w.sum())[:, None]).sum(axis=0)
     return stats | {f"{x}_share": round(float(s), 6) for x, s in zip(LABELS, share)}
 
 

@@ -252,6 +252,18 @@ def test_quality_of_texts():
     assert s["n_words"] == 0 and s["prose_share"] is None and quality.measure(" \n\t", m)["n_lines"] == 0
 
 
+def test_repeated_blocks_are_no_prose():
+    block = "We keep the graph in memory because it is small. It has never been slow for the people who read it.\nThis is why there is no cache here, and none is planned. If that should change we will write about it first.\nThe tests of the store are run at night, so that nobody has to wait for them."
+    m = quality.Model()
+    for text in ("\n".join([block] * 25), " ".join([block] * 25).replace("\n", " "), " ".join([block] * 25).replace("\n", " ").replace(".", ""), "\n".join([block.splitlines()[0]] * 25)):
+        words = text.split()
+        wrapped = "\n".join(" ".join(words[i : i + 13]) for i in range(0, len(words), 13))
+        for t in (text, wrapped):
+            assert quality.measure(t, m)["prose_share"] < 0.1, t[:80]
+    assert quality.measure(block, m)["prose_share"] > 0.9 and quality.measure(block + "\n" + block, m)["prose_share"] > 0.9
+    assert quality.repeated(list("abcdefghij") * 3).sum() == 20 and not quality.repeated(list("abcdefghij") * 2).any() and not len(quality.repeated([]))
+
+
 def test_quality_operator(spark):
     df = spark.createDataFrame([(1, "It is what it was, and that is all there is to it.", 0.1), (2, "- a\n- b\n- c", 0.1), (3, None, 0.1), (4, "", 0.1)], "doc_id long, text string, prose_share double")
     assert quality.text_quality(df, quality.fit(df)).count() == 4
