@@ -32,6 +32,8 @@ SAME, OTHER = 0.60, 0.10
 SMALL_LIBRARY = 20_000_000
 WORDS = 5
 COPY = 0.8
+#: Shingles that a file needs to be called a copy.
+LEAST = 20
 
 # Names of directories and what they say, in logs; weak, since hand-written code may live anywhere.
 DIRECTORIES = {
@@ -133,21 +135,29 @@ def _library(library_files: DataFrame) -> dict[int, list[int]] | None:
 
 
 def _similarity_join(files: DataFrame, library_files: DataFrame) -> DataFrame:
-    """file_id, copied: the largest share of a file's shingles that one library file holds, by a shuffled join on shingles."""
+    """The files with copied: the largest share of a content's shingles that one library file holds, by a shuffled join on shingles.
 
-    def cut_up(key: str):
+    Each content is cut up once, however often it is delivered; a content of fewer than LEAST shingles is no copy.
+    """
+
+    def cut_up(least: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for k, text in zip(b[key], b["content"]):
+                for k, text in zip(b["k"], b["content"]):
                     s = shingles(text)
-                    yield pd.DataFrame({"k": k, "n": len(s), "s": [x - (1 << 63) for x in s]})
+                    if len(s) >= least:
+                        yield pd.DataFrame({"k": k, "n": len(s), "s": [x - (1 << 63) for x in s]})
 
         return run
 
-    a = files.select("file_id", "content").where("content is not null").mapInPandas(cut_up("file_id"), "k long, n long, s long")
-    b = library_files.select("library_file_id", "content").where("content is not null").mapInPandas(cut_up("library_file_id"), "k long, n long, s long")
-    hits = a.join(b.select(F.col("k").alias("lib"), "s"), "s").groupBy("k", "n", "lib").count()
-    return hits.groupBy(F.col("k").alias("file_id")).agg(F.max(F.col("count") / F.col("n")).alias("copied"))
+    def pieces(df: DataFrame, least: int) -> DataFrame:
+        texts = df.where("content is not null").select(F.md5("content").alias("k"), "content").dropDuplicates(["k"])
+        return texts.mapInPandas(cut_up(least), "k string, n long, s long")
+
+    b = pieces(library_files, 1).select(F.col("k").alias("lib"), "s")
+    hits = pieces(files, LEAST).join(b, "s").groupBy("k", "n", "lib").count()
+    shares = hits.groupBy("k").agg(F.max(F.col("count") / F.col("n")).alias("copied"))
+    return files.withColumn("k", F.md5("content")).join(shares, "k", "left").drop("k")
 
 
 def file_evidence(files: DataFrame, library_files: DataFrame) -> DataFrame:
@@ -155,7 +165,7 @@ def file_evidence(files: DataFrame, library_files: DataFrame) -> DataFrame:
     df = files.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("repo_name", F.lit("")).alias("repo_name"), "path", "content").where("file_id is not null and path is not null")
     library = _library(library_files)
     if library is None:
-        df = df.join(_similarity_join(df, library_files), "file_id", "left")
+        df = _similarity_join(df, library_files)
     else:
         df = df.withColumn("copied", F.lit(None).cast("double"))
     shared = df.sparkSession.sparkContext.broadcast(library)
@@ -171,7 +181,7 @@ def file_evidence(files: DataFrame, library_files: DataFrame) -> DataFrame:
                     hits: Counter = Counter()
                     for x in s:
                         hits.update(known.get(x, ()))
-                    copied = max(hits.values(), default=0) / max(len(s), 1) if len(s) >= 20 else 0.0
+                    copied = max(hits.values(), default=0) / len(s) if len(s) >= LEAST else 0.0
                 rows.append((file_id, repo, path, evidence(path, text, 0.0 if copied is None or math.isnan(copied) else copied)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 

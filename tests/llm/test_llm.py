@@ -112,6 +112,22 @@ def test_origins(spark):
     assert origin.not_handwritten(f.limit(0), lib).count() == 0
 
 
+def test_long_and_short_libraries_give_equal_shares(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    own = " ".join(f"own{i}" for i in range(240))
+    part = " ".join(words[:164]) + " " + own  # 160 of 400 shingles are the library's
+    rows = [(1, "r", "a.py", part), (1, "r", "a.py", part), (2, "r", "b.py", part), (3, "r", "c.py", " ".join(words)), (4, "r", "d.py", " ".join(words[:20])), (5, "r", "e.py", own), (6, "r", "f.py", None), (7, "r", "g.py", "x"), (8, "r", "h.py", " ".join(words[:24]))]
+    files = spark.createDataFrame(rows, "file_id long, repo_name string, path string, content string")
+    lib = spark.createDataFrame([(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[100:])), (3, None), (4, "y")], "library_file_id long, content string")
+    small = {r.file_id: tuple(r.e) for r in origin.file_evidence(files, lib).collect()}
+    monkeypatch.setattr(origin, "SMALL_LIBRARY", 0)
+    assert {r.file_id: tuple(r.e) for r in origin.file_evidence(files, lib).collect()} == small
+    vendored = {k: e[origin.LABELS.index("vendored")] for k, e in small.items()}
+    assert vendored == {1: 0.0, 2: 0.0, 3: 9.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 0.0, 8: 9.0}
+    shares = {r.file_id: r.copied for r in origin._similarity_join(files, lib).collect()}
+    assert abs(shares[1] - 0.4) < 1e-9 and shares[1] == shares[2] and shares[3] == shares[8] == 1.0 and shares[4] is shares[5] is shares[7] is None
+
+
 def test_belief_propagation_is_exact(spark):
     rng = np.random.default_rng(2)
     paths = ["a/x", "a/y", "a/b/z", "c/w"]
