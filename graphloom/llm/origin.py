@@ -66,7 +66,7 @@ def shingles(text: str) -> set[int]:
 def head_mark(text: str) -> bool:
     """Whether the comment at the very head of the file says that a tool made it."""
     head = []
-    for line in text.lstrip("﻿").split("\n")[:40]:
+    for line in text.lstrip("﻿").split("\n"):
         s = line.strip()
         if s and not _COMMENT.match(line) and not (head and head[-1] == "/*"):
             break

@@ -112,6 +112,14 @@ def test_origins(spark):
     assert origin.not_handwritten(f.limit(0), lib).count() == 0
 
 
+def test_mark_below_a_long_licence():
+    for a, line, z in (("", "# term {}", ""), ("/*", " * term {}", " */"), ("/*", "   term {}", "*/"), ("", "// term {}", "")):
+        head = "\n".join([a, *(line.format(i) for i in range(90)), z])
+        mark = line.format("Code generated by wiregen. DO NOT EDIT.")
+        assert origin.head_mark(f"{head}\n// {mark}\nx = 1\n" if a else f"{head}\n{mark}\nx = 1\n")
+        assert not origin.head_mark(f"{head}\nx = 1\n{mark}\n")
+
+
 def test_long_and_short_libraries_give_equal_shares(spark, monkeypatch):
     words = [f"w{i}" for i in range(400)]
     own = " ".join(f"own{i}" for i in range(240))
