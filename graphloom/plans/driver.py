@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import ids, text
-from graphloom.operators import graph, incremental, lines, orphans, resolve, search, store, vector
+from graphloom.operators import extraction, graph, incremental, lines, orphans, resolve, search, store, vector
 from graphloom.plans.sql import SQL
 
 #: What the lookups below ask for.
@@ -124,6 +124,10 @@ def _calls(s: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_calls(_intents(s, d), _entities(s, d))
 
 
+def _extracted(s: SparkSession, d: str) -> DataFrame:
+    return extraction.extract_files(_files(s, d))
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphans(*(_t(spark, sf_dir, n) for n in ("intents", "edges", "entities", "files", "removals", "external_names")))
 
@@ -161,6 +165,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda s, d: _orphans(s, d).select("ref_table", "ref_id"),
         "p2_report": lambda s, d: orphans.orphan_report(_orphans(s, d)),
+        "extract_entities": lambda s, d: extraction.entities_of(_extracted(s, d)),
+        "extract_intents": lambda s, d: extraction.intents_of(_extracted(s, d)),
         "current_entities": lambda s, d: _entities(s, d).select("uuid", "name", "kind", "fqn", "signature", "docstring", "file_path", "start_line", "repo_name"),
         "find_references": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "(tree"),
         "find_references_repo": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "Index", repo=REPO),

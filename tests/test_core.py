@@ -264,3 +264,26 @@ def test_search_of_the_index_reads_its_own_tables(spark, sf):
             known = {r.uuid: r.name for r in graph.current_entities(spark.read.parquet(f"{sf}/entities.parquet")).collect()}
             hits = [(r.uuid, r.name) for r in found["hybrid_search_index"](spark, sf).collect()]
             assert hits == [(u, known[u]) for u, _ in want if u in known] and hits
+
+
+def test_extraction_is_registered_over_all_files(spark, tmp_path):
+    import datetime
+
+    import __spark_entry__ as e
+    from graphloom.parse import extract
+
+    t = [datetime.datetime(2025, 1, k) for k in (1, 2)]
+    py = "class A(B):\n    def f(self):\n        return g(self.x)\n\n\ndef g(x):\n    return x\n"
+    rows = [
+        (1, "r", "a.py", "python", "def old():\n    pass\n", "h0", t[0]), (1, "r", "a.py", "python", py, "h1", t[1]), (2, "q", "a.py", None, py, "h1", t[0]), (3, "r", "S.java", "java", "class S extends T { void m() { n(); } }", "h2", t[0]),
+        (4, "r", "p.html", "html", '<html><body id="top" class="a b"></body></html>', "h3", t[0]), (5, "r", "x.css", "css", "#top { color: red } .a { top: 0 }", "h4", t[0]), (6, "r", "n.py", "python", None, None, t[0]), (7, "r", "b.py", "python", "  \n", "h5", t[0]),
+    ]
+    spark.createDataFrame(rows, "file_id long, repo_name string, path string, language string, content string, sha256 string, scanned_at timestamp_ntz").write.parquet(str(tmp_path / "files.parquet"))
+    latest = [rows[1], *rows[2:6]]
+    want = [x for _, repo, path, _, text_, _, _ in latest for x in extract({"py": "python", "java": "java", "html": "html", "css": "css"}[path.rsplit(".")[-1]], text_, path, repo)]
+    stable = lambda r: (r["repo_name"], r["file_path"], r["name"], r["kind"], r["fqn"], r["signature"], r["start_line"], r["end_line"], r["enclosing_class"])
+    got = e.queries()["extract_entities"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(stable, got))) == sorted(map(repr, map(stable, want))) and len({r["file_path"] for r in got}) == 4 and all(r.embed_text for r in got)
+    found = e.queries()["extract_intents"](spark, str(tmp_path)).collect()
+    plain = sorted(repr((r["repo_name"], r["file_path"], i["seq"], i["intent_type"], i["target"], i["receiver"], i["line"])) for r in want for i in r["intents"])
+    assert sorted(repr((r.repo_name, r.src_file, r.seq, r.intent_type, r.target, r.receiver, r.line)) for r in found) == plain and plain
