@@ -52,6 +52,7 @@ def test_edges_and_empty(spark):
 
 def test_brute_force_with_a_hot_key(spark, monkeypatch):
     rng = random.Random(5)
+    monkeypatch.setattr(O, "BUCKETS", 64)
     monkeypatch.setattr(O, "hot_buckets", lambda df, keys, share=0: list(range(0, O.BUCKETS, 2)))  # every other bucket is hot
     ents = [(f"u{rng.randrange(5)}", rng.choice(["hot", "a", "b"]), "r", f"p{rng.randrange(4)}", at(rng.randrange(50))) for _ in range(60)]
     rem = [("r", f"p{rng.randrange(4)}", at(rng.randrange(50))) for _ in range(15)]
@@ -67,10 +68,28 @@ def test_brute_force_with_a_hot_key(spark, monkeypatch):
     assert run(spark, ents, rem=rem, ints=ints) == {("intents", i[0]) for i in ints if not live(i[5], i[7])}
 
 
-def test_runs_are_merged(spark):
-    df = spark.createDataFrame([("k", 1, 5), ("k", 5, 8), ("k", 10, 12), ("k", 2, 3), ("j", 4, 4)], "key string, start long, end long")
-    got = sorted(tuple(r) for r in O.runs(df, ["key"]).select("key", "start", "end").collect())
-    assert got == [("k", 1, 8), ("k", 10, 12)]
+def test_sweep_gives_the_run_before(spark):
+    marks = spark.createDataFrame([("k", 1, 5), ("k", 5, 8), ("k", 10, 12), ("k", 2, 3), ("j", 4, 6)], "key string, t long, end long")
+    points = spark.createDataFrame([("k", 0, 0), ("k", 4, 1), ("k", 8, 2), ("k", 10, 3), ("k", 99, 4), ("i", 4, 5), ("j", 4, 6)], "key string, t long, end_ long")
+    got = {r.end_: (r.run_start, r.run_end) for r in O.sweep(points, marks, ["key"]).collect()}
+    assert got == {0: (None, None), 1: (1, 5), 2: (1, 8), 3: (10, 12), 4: (10, 12), 5: (None, None), 6: (4, 6)}
+
+
+def test_hot_key_with_disjoint_intervals_is_cut_by_time(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(O, "BUCKETS", 64)
+    monkeypatch.setattr(O, "hot_buckets", lambda df, keys, share=0: list(range(O.BUCKETS)))
+    spans = [(10 * i, 10 * i + rng.randrange(1, 9)) for i in range(400)] + [(5, 900), (2000, 2400)]
+    marks = spark.createDataFrame([("k", a, b) for a, b in spans] + [("j", 0, 1)], "key string, t long, end long")
+    times = [rng.randrange(-5, 4100) for _ in range(300)] + [777] * 500  # one instant holds more than half of the points
+    points = spark.createDataFrame([("k", t, i) for i, t in enumerate(times)] + [("j", 50, 9999)], "key string, t long, ref long")
+    row = "struct<ref:long>"
+    p, m = O._sliced(points.select("key", "t", F.lit(None).cast("long").alias("end"), F.struct("ref").cast(row).alias("row")), marks.withColumn("row", F.lit(None).cast(row)), ["key"], list(range(O.BUCKETS)))
+    assert p.select("slice").distinct().count() > 20 and p.where("t = 777").select("salt").distinct().count() > 10 and m.where("key = 'k'").groupBy("slice", "salt").count().agg(F.max("count")).first()[0] < 60
+    got = {r.ref: r for r in O.sweep(points, marks, ["key"]).collect()}
+    assert len(got) == 801 and got[9999].run_end == 1
+    for i, t in enumerate(times):
+        assert got[i].run_end == max((b for a, b in spans if a <= t), default=None) and (got[i].run_start is None) == (t < 0)
 
 
 def test_report(spark):
