@@ -28,6 +28,7 @@ def uuid5(identity: Column) -> Column:
 
 
 def point_id(uuid_: Column) -> Column:
-    """A uuid folded to 64 bits (high xor low), as 16 hexadecimal digits."""
+    """A uuid folded to 64 bits (high xor low): the signed integer of those bits, which read as unsigned is the point's number."""
     x = F.replace(F.lower(uuid_), F.lit("-"), F.lit(""))
-    return F.concat(*[F.lower(F.hex(F.conv(F.substring(x, 1 + i, 1), 16, 10).cast("int").bitwiseXOR(F.conv(F.substring(x, 17 + i, 1), 16, 10).cast("int")))) for i in range(16)])
+    half = lambda at: F.conv(F.substring(x, at, 16), 16, -10).cast("long")
+    return half(1).bitwiseXOR(half(17))

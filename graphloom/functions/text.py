@@ -30,14 +30,18 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+# What is taken off the lines of a comment, in this order.
+MARKS = tuple((x, "") for x in (r"(?m)^[ \t\r]+|[ \t\r]+$", r"(?m)^/\*\*", r"(?m)^/\*", r"(?m)\*/$", r"(?m)^///", r"(?m)^//", r"(?m)^[ \t]*\*", r"(?m)^#"))
+
+
 def strip_comment_markers(raw: Column) -> Column:
     """Each line without its comment marks, trimmed; empty lines are dropped.
 
     Marks go once each, in this order: /** or /*, a closing */, /// or //, *, #.
     """
-    x = F.regexp_replace(raw, r"(?m)^[ \t\r]+|[ \t\r]+$", "")
-    for mark in (r"(?m)^/\*\*", r"(?m)^/\*", r"(?m)\*/$", r"(?m)^///", r"(?m)^//", r"(?m)^[ \t]*\*", r"(?m)^#"):
-        x = F.regexp_replace(x, mark, "")
+    x = raw
+    for mark, to in MARKS:
+        x = F.regexp_replace(x, mark, to)
     return F.array_join(F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(s, r"[\t\r]", " "))), lambda s: s != ""), "\n")
 
 

@@ -102,13 +102,15 @@ def enriched(entities: DataFrame, edges: DataFrame, samples: int = 3) -> DataFra
     )
 
 
-# The sections of a file's anatomy, in order, and the kinds in each. Other kinds are not shown.
+# The 24 sections of a file's anatomy, in order, and the kinds in each; then those for kinds of web pages and of plain values.
 SECTIONS = (
-    ("Classes", ("class", "kotlin_class", "python_class")), ("Interfaces", ("interface", "kotlin_interface")), ("Objects", ("kotlin_object",)), ("Companions", ("kotlin_companion_object",)), ("Structs", ("rust_struct",)),
-    ("Enums", ("enum", "rust_enum")), ("Unions", ("rust_union",)), ("Traits", ("rust_trait",)), ("Functions", ("function", "kotlin_function", "python_function", "rust_function")),
-    ("Methods", ("method", "kotlin_method", "python_method", "rust_method")), ("Properties", ("kotlin_property",)), ("Constants", ("constant", "python_constant", "rust_constant")), ("Statics", ("rust_static",)),
-    ("Type aliases", ("rust_type_alias",)), ("Macros", ("rust_macro_def",)), ("Modules", ("python_module", "rust_module")), ("Elements", ("html_element",)), ("Ids", ("html_id", "css_id")),
-    ("CSS classes", ("html_class", "css_class")), ("Variables", ("css_variable", "scss_variable")), ("Mixins", ("scss_mixin",)), ("SCSS functions", ("scss_function",)),
+    ("Classes", ("class", "kotlin_class")), ("Interfaces", ("interface", "kotlin_interface")), ("Objects", ("kotlin_object",)), ("Companion objects", ("kotlin_companion_object",)),
+    ("Methods", ("method", "kotlin_method")), ("Functions", ("function", "kotlin_function")), ("Properties", ("kotlin_property",)),
+    ("Python classes", ("python_class",)), ("Python constants", ("python_constant",)), ("Python functions", ("python_function",)), ("Python methods", ("python_method",)), ("Python modules", ("python_module",)),
+    ("Rust structs", ("rust_struct",)), ("Rust enums", ("rust_enum",)), ("Rust unions", ("rust_union",)), ("Rust traits", ("rust_trait",)), ("Rust impls", ("rust_impl",)), ("Rust functions", ("rust_function",)),
+    ("Rust methods", ("rust_method",)), ("Rust macros", ("rust_macro_def", "rust_macro_invoke")), ("Rust type aliases", ("rust_type_alias",)), ("Rust constants", ("rust_constant",)), ("Rust statics", ("rust_static",)), ("Rust modules", ("rust_module",)),
+    ("Constants", ("constant",)), ("Enums", ("enum",)), ("Elements", ("html_element",)), ("Ids", ("html_id", "css_id")), ("CSS classes", ("html_class", "css_class")), ("Variables", ("css_variable", "scss_variable")),
+    ("Mixins", ("scss_mixin",)), ("SCSS functions", ("scss_function",)),
 )
 
 

@@ -53,6 +53,22 @@ class Tokens:
         n = len(self.toks)
         for j in stack:
             self.pair.setdefault(j, n - 1)
+        self.opens = {j: i for i, j in self.pair.items()}
+        self.closed: dict[int, int] = {}  # `<` -> the `>` that belongs to it, however far away; none across `{` or `;` or out of a bracket
+        stack = []
+        for i, (kind, t, _) in enumerate(self.toks):
+            if kind != "op":
+                continue
+            if t in ("<", "(", "["):
+                stack.append(i)
+            elif t == ">":
+                if stack and self.toks[stack[-1]][1] == "<":
+                    self.closed[stack.pop()] = i
+            elif t in (")", "]"):
+                while stack and self.toks[stack.pop()][1] == "<":
+                    pass
+            elif t in ("{", ";"):
+                stack = []
 
     def text(self, i: int) -> str:
         return self.toks[i][1] if 0 <= i < len(self.toks) else ""
@@ -75,18 +91,7 @@ class Tokens:
 
     def angles(self, i: int) -> int:
         """The index after the angle brackets that open at i, or i."""
-        if self.text(i) != "<":
-            return i
-        depth, j = 0, i
-        while j < min(len(self.toks), i + 200):
-            t = self.text(j)
-            depth += (t == "<") - (t == ">")
-            if t in ("{", ";"):
-                return i
-            if depth == 0:
-                return j + 1
-            j += 1
-        return i
+        return self.closed.get(i, i - 1) + 1
 
     def doc(self, i: int) -> str | None:
         """The comments right before token i, with no blank line between."""
@@ -213,8 +218,8 @@ def _decorated(t: Tokens, i: int, language: str) -> tuple[int, list[str]]:
             j = k
             continue
         if p == ")":
-            o = next((a for a, b in t.pair.items() if b == j - 1 and t.text(a) == "("), None)
-            if o is not None and t.kind(o - 1) == "id" and (t.text(o - 2) == "@" or t.text(o - 1)[:1] == "@"):
+            o = t.opens.get(j - 1)
+            if o is not None and t.text(o) == "(" and t.kind(o - 1) == "id" and (t.text(o - 2) == "@" or t.text(o - 1)[:1] == "@"):
                 k = o - 1 if t.text(o - 1)[:1] == "@" else o - 2
                 deco.insert(0, t.span(k, j - 1))
                 j = k
@@ -321,7 +326,7 @@ def kotlin(src: Source) -> None:
     t, skip = Tokens(src), set()
     bodies = _classes(t, "kotlin", {"class": "kotlin_class", "interface": "kotlin_interface", "object": "kotlin_object"}, skip)
     for e in src.entities:
-        if e.kind == "kotlin_object" and re.search(r"\bcompanion\s+object\b", src.text[e.start : e.start + 200]):
+        if e.kind == "kotlin_object" and re.search(r"\bcompanion\s+object\b", src.text[e.start : e.end].split("{", 1)[0]):
             e.kind = "kotlin_companion_object"
     owner = _owners(t)
     for i, (kind, w, _) in enumerate(t.toks):

@@ -106,6 +106,11 @@ def _spans(s: SparkSession, d: str) -> DataFrame:
     return _entities(s, d).where("start_line is not null").select("repo_name", "file_path", "uuid", "start_line", "end_line")
 
 
+def _ends(s: SparkSession, d: str) -> DataFrame:
+    """The line after each entity's last: what lies in no span are the gaps between declarations."""
+    return _entities(s, d).where("end_line is not null").select("repo_name", "file_path", F.col("uuid").alias("ref_id"), (F.col("end_line") + 1).alias("at"))
+
+
 def _classes(s: SparkSession, d: str) -> DataFrame:
     return _entities(s, d).where("kind in ('class', 'interface', 'python_class', 'kotlin_class') and end_line is not null").select("repo_name", "file_path", "name", "start_line", "end_line")
 
@@ -214,7 +219,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nearest_entity": lambda s, d: lines.nearest_entity(_refs(s, d), _spans(s, d), ["repo_name", "file_path"]),
         "nearest_entity_before": lambda s, d: lines.nearest_before(_refs(s, d), _spans(s, d), ["repo_name", "file_path"]),
         "enclosing_context": lambda s, d: lines.enclosing_class(_refs(s, d).withColumnRenamed("ref_id", "row_id"), _classes(s, d), ["repo_name", "file_path"]),
-        "orphan_lines": lambda s, d: lines.covered(_refs(s, d).withColumnRenamed("line", "at"), _spans(s, d).where("end_line is not null").select("repo_name", "file_path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi")), ["repo_name", "file_path"]).select("ref_id"),
+        "orphan_lines": lambda s, d: lines.covered(_ends(s, d), _spans(s, d).where("end_line is not null").select("repo_name", "file_path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi")), ["repo_name", "file_path"]).select("ref_id"),
         "watch_batches": _batches,
         "watch_dedup": lambda s, d: _t(s, d, "events").select("user_id", "event_type").distinct(),
     }

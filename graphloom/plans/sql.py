@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+from graphloom.functions.ids import NAMESPACE
 
-_NS = uuid.UUID("6b6e6f74-2d69-6e64-6578-65722d763500").hex
+_NS = NAMESPACE.hex
 
 E_ = """e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY coalesce(indexed_at, TIMESTAMP '0001-01-01') DESC, coalesce(signature, '') DESC, coalesce(docstring, '') DESC, coalesce(fqn, '') DESC, coalesce(start_line, -1) DESC) AS rn
   FROM entities WHERE uuid IS NOT NULL) WHERE rn = 1)"""
@@ -58,10 +58,12 @@ CALLS = (
         WHERE id NOT IN (SELECT id FROM direct) AND id NOT IN (SELECT id FROM fuzzy)),
       res AS (SELECT k.*, x.uuid, x.step FROM k JOIN (SELECT * FROM direct UNION ALL SELECT * FROM fuzzy UNION ALL SELECT * FROM last) x USING (id))""",
 )
-SECTION = "CASE " + " ".join(
-    f"WHEN kind IN ({', '.join(repr(k) for k in kinds)}) THEN '{name}'"
-    for name, kinds in __import__("graphloom.operators.graph", fromlist=["SECTIONS"]).SECTIONS
-) + " END"
+SECTION = """CASE kind WHEN 'class' THEN 'Classes' WHEN 'kotlin_class' THEN 'Classes' WHEN 'interface' THEN 'Interfaces' WHEN 'kotlin_interface' THEN 'Interfaces' WHEN 'kotlin_object' THEN 'Objects' WHEN 'kotlin_companion_object' THEN 'Companion objects'
+  WHEN 'method' THEN 'Methods' WHEN 'kotlin_method' THEN 'Methods' WHEN 'function' THEN 'Functions' WHEN 'kotlin_function' THEN 'Functions' WHEN 'kotlin_property' THEN 'Properties' WHEN 'python_class' THEN 'Python classes' WHEN 'python_constant' THEN 'Python constants'
+  WHEN 'python_function' THEN 'Python functions' WHEN 'python_method' THEN 'Python methods' WHEN 'python_module' THEN 'Python modules' WHEN 'rust_struct' THEN 'Rust structs' WHEN 'rust_enum' THEN 'Rust enums' WHEN 'rust_union' THEN 'Rust unions' WHEN 'rust_trait' THEN 'Rust traits'
+  WHEN 'rust_impl' THEN 'Rust impls' WHEN 'rust_function' THEN 'Rust functions' WHEN 'rust_method' THEN 'Rust methods' WHEN 'rust_macro_def' THEN 'Rust macros' WHEN 'rust_macro_invoke' THEN 'Rust macros' WHEN 'rust_type_alias' THEN 'Rust type aliases'
+  WHEN 'rust_constant' THEN 'Rust constants' WHEN 'rust_static' THEN 'Rust statics' WHEN 'rust_module' THEN 'Rust modules' WHEN 'constant' THEN 'Constants' WHEN 'enum' THEN 'Enums' WHEN 'html_element' THEN 'Elements' WHEN 'html_id' THEN 'Ids' WHEN 'css_id' THEN 'Ids'
+  WHEN 'html_class' THEN 'CSS classes' WHEN 'css_class' THEN 'CSS classes' WHEN 'css_variable' THEN 'Variables' WHEN 'scss_variable' THEN 'Variables' WHEN 'scss_mixin' THEN 'Mixins' WHEN 'scss_function' THEN 'SCSS functions' END"""
 SUP = (
     "sup AS (SELECT s_suppkey AS id, s_suppkey::VARCHAR AS uuid, s_name AS name, s_nationkey, 'n/' || s_nationkey AS file_path FROM supplier)",
     "g AS (SELECT a.uuid AS src, b.uuid AS dst, a.name || ' in ' || a.file_path AS sample, b.name AS callee, CASE WHEN a.s_nationkey < b.s_nationkey THEN 'CALLS' ELSE 'REFERENCES' END AS rel FROM sup a JOIN sup b ON b.id = a.id + 1)",
@@ -138,7 +140,7 @@ SQL: dict[str, str] = {
     (SELECT count(*) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'CALLS') AS caller_count, coalesce((SELECT string_agg(x.sample, '; ' ORDER BY x.sample) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'CALLS' AND x.r <= 3), '') AS caller_samples,
     (SELECT count(*) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'REFERENCES') AS type_usage_count, coalesce((SELECT string_agg(x.sample, '; ' ORDER BY x.sample) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'REFERENCES' AND x.r <= 3), '') AS type_usage_samples FROM h JOIN e ON e.uuid = h.uuid""",
     "entity_uuid5": f"SELECT DISTINCT uuid, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS computed FROM (SELECT uuid, sha1(unhex('{_NS}') || encode(concat_ws(':', repo_name, file_path, fqn))) AS h FROM entities)",
-    "point_ids": _with(E_) + "SELECT uuid, lower(printf('%016x', xor(('0x' || substr(replace(uuid, '-', ''), 1, 16))::UBIGINT, ('0x' || substr(replace(uuid, '-', ''), 17, 16))::UBIGINT))) AS point_id FROM e",
+    "point_ids": _with(E_) + "SELECT uuid, (CASE WHEN p >= 9223372036854775808 THEN p - 18446744073709551616 ELSE p END)::BIGINT AS point_id FROM (SELECT uuid, xor(('0x' || substr(replace(uuid, '-', ''), 1, 16))::UBIGINT, ('0x' || substr(replace(uuid, '-', ''), 17, 16))::UBIGINT)::HUGEINT AS p FROM e)",
     "embed_text": _with(E_) + """SELECT uuid, concat_ws(chr(10), '[' || kind || '] ' || name, CASE WHEN len(list_filter(decorators, lambda s: trim(s) <> '')) > 0 THEN 'Decorators: ' || array_to_string(list_filter(decorators, lambda s: trim(s) <> ''), ', ') END, 'Signature: ' || signature,
     CASE WHEN trim(docstring) <> '' THEN trim(docstring) END, CASE WHEN len(list_filter(inline_comments, lambda s: trim(s) <> '')) > 0 THEN 'Implementation context:' || chr(10) || array_to_string(list_transform(list_filter(inline_comments, lambda s: trim(s) <> ''), lambda s: trim(s)), chr(10)) END, 'File: ' || file_path || ':' || start_line) AS embed_text FROM e""",
     "strip_comments": f"SELECT DISTINCT docstring AS raw, coalesce(array_to_string(list_filter(list_transform(string_split(docstring, chr(10)), lambda x: trim(replace(replace({STRIP}, chr(9), ' '), chr(13), ' '))), lambda s: s <> ''), chr(10)), '') AS stripped FROM entities WHERE docstring IS NOT NULL",
@@ -170,7 +172,7 @@ SQL: dict[str, str] = {
     "nearest_entity_before": _with(E_, I_, SPAN) + "SELECT ref_id, arg_min(uuid, {'t': CASE WHEN start_line <= line THEN 0 ELSE 1 END, 'd': CASE WHEN start_line <= line THEN -start_line ELSE start_line END, 'u': uuid}) AS uuid FROM r JOIN sp USING (repo_name, file_path) GROUP BY 1",
     "enclosing_context": _with(E_, I_, SPAN, "cl AS (SELECT repo_name, file_path, name, start_line, end_line FROM e WHERE kind IN ('class', 'interface', 'python_class', 'kotlin_class') AND end_line IS NOT NULL)")
     + "SELECT r.ref_id AS row_id, arg_min(cl.name, {'l': cl.start_line, 'n': cl.name}) AS enclosing FROM r LEFT JOIN cl ON cl.repo_name = r.repo_name AND cl.file_path = r.file_path AND cl.start_line < r.line AND r.line < cl.end_line GROUP BY 1",
-    "orphan_lines": _with(E_, I_, SPAN) + "SELECT ref_id FROM r WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.repo_name = r.repo_name AND sp.file_path = r.file_path AND end_line IS NOT NULL AND r.line BETWEEN sp.start_line AND sp.end_line)",
+    "orphan_lines": _with(E_, I_, SPAN) + "SELECT x.uuid AS ref_id FROM e x WHERE x.end_line IS NOT NULL AND x.repo_name IS NOT NULL AND x.file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.repo_name = x.repo_name AND sp.file_path = x.file_path AND sp.end_line IS NOT NULL AND x.end_line + 1 BETWEEN sp.start_line AND sp.end_line)",
     "watch_batches": """SELECT path, batch, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT user_id AS path, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS batch FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 120 SECOND THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY 1, 2""",
     "watch_dedup": "SELECT DISTINCT user_id, event_type FROM events",

@@ -11,19 +11,28 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build(master: str = "local[8]", **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC and Arrow; `conf` overrides by keyword with `__` for dots."""
-    b = SparkSession.builder.master(master).appName("graphloom")
+def build(master: str | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive execution, UTC and Arrow; `conf` overrides by keyword with `__` for dots.
+
+    Master, partitions and memory that a cluster submits are kept: only where no master is given, here or by the submission, is it local[8]
+    with few partitions.
+    """
+    from pyspark import SparkConf
+
+    submitted = SparkConf().get("spark.master", None)
+    b = SparkSession.builder.appName("graphloom")
+    if master or not submitted:
+        b = b.master(master or "local[8]")
     base = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
     }
+    if master or not submitted:
+        base |= {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
     base |= {k.replace("__", "."): v for k, v in conf.items()}
     for k, v in base.items():
         b = b.config(k, v)

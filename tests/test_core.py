@@ -118,7 +118,7 @@ def test_ids(spark):
         assert r.u == (None if r.s is None else str(uuid.uuid5(ids.NAMESPACE, r.s)))
     u = str(uuid.uuid4())
     n = uuid.UUID(u).int
-    assert spark.createDataFrame([(u,)], "u string").select(ids.point_id(F.col("u"))).first()[0] == f"{(n >> 64) ^ (n & ((1 << 64) - 1)):016x}"
+    assert spark.createDataFrame([(u,)], "u string").select(ids.point_id(F.col("u"))).first()[0] % (1 << 64) == (n >> 64) ^ (n & ((1 << 64) - 1))
 
 
 def test_text(spark):
@@ -287,3 +287,27 @@ def test_extraction_is_registered_over_all_files(spark, tmp_path):
     found = e.queries()["extract_intents"](spark, str(tmp_path)).collect()
     plain = sorted(repr((r["repo_name"], r["file_path"], i["seq"], i["intent_type"], i["target"], i["receiver"], i["line"])) for r in want for i in r["intents"])
     assert sorted(repr((r.repo_name, r.src_file, r.seq, r.intent_type, r.target, r.receiver, r.line)) for r in found) == plain and plain
+
+
+def test_lines_against_all_pairs(spark):
+    rng = random.Random(11)
+    ents = [(f"f{rng.randrange(3)}", f"u{k:03d}", a, rng.choice([None, a, a + rng.randrange(0, 9), a + rng.randrange(0, 700)])) for k, a in enumerate(rng.randrange(1, 900) for _ in range(90))]
+    refs = [(f"f{rng.randrange(4)}", k, rng.randrange(1, 1000)) for k in range(300)]
+    e = spark.createDataFrame(ents, "file string, uuid string, start_line int, end_line int")
+    r = spark.createDataFrame(refs, "file string, ref_id int, line int")
+    big = 1 << 30
+    near, before, out = {}, {}, set()
+    for f, k, n in refs:
+        mine = [(u, a, big if b is None else b, b) for g, u, a, b in ents if g == f]
+        if mine:
+            near[k] = min(((0, b - a, a, u) if a <= n <= b else (1, n - a, a, u) if a <= n else (2, a - n, a, u)) for u, a, b, _ in mine)[3]
+            before[k] = min(((0, -a, u) if a <= n else (1, a, u)) for u, a, *_ in mine)[2]
+        if not any(b is not None and a <= n <= b for _, a, _, b in mine):
+            out.add(k)
+    assert {x.ref_id: x.uuid for x in lines.nearest_entity(r, e, ["file"]).collect()} == near
+    assert {x.ref_id: x.uuid for x in lines.nearest_before(r, e, ["file"]).collect()} == before
+    spans = e.where("end_line is not null").select("file", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    assert {x.ref_id for x in lines.covered(r.withColumnRenamed("line", "at"), spans, ["file"]).collect()} == out
+    got = {x.row_id: x.enclosing for x in lines.enclosing_class(r.withColumnRenamed("ref_id", "row_id"), e.withColumnRenamed("uuid", "name"), ["file"]).collect()}
+    want = {k: min(((a, u) for g, u, a, b in ents if g == f and b is not None and a < n < b), default=(0, None))[1] for f, k, n in refs}
+    assert got == want and any(want.values()) and out
