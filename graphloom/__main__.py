@@ -1,4 +1,4 @@
-"""python -m graphloom index | search | callers | explore ..."""
+"""python -m graphloom index | search | callers | explore | tools ..."""
 
 from __future__ import annotations
 
@@ -24,10 +24,23 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("text")
     s.add_argument("-k", type=int, default=5)
     for name in ("callers", "explore"):
-        sub.add_parser(name).add_argument("text")
+        q = sub.add_parser(name)
+        q.add_argument("text")
+        q.add_argument("--page", type=int, default=1)
+        q.add_argument("--size", type=int, default=Q.PAGE)
+    t = sub.add_parser("tools", help="answers tool calls, one JSON message a line, from standard input")
+    t.add_argument("--dry-run", action="store_true")
     a = p.parse_args(args)
     c = Config.load(root=a.root, repo_name=a.repo, output=a.output, repo_path=getattr(a, "path", None))
+    if a.what == "tools" and a.dry_run:
+        from graphloom import tools
+
+        return tools.serve(None, sys.stdin, sys.stdout)
     spark = build()
+    if a.what == "tools":
+        from graphloom import tools
+
+        return tools.serve(Q.CodeIndex.open(spark, c.root), sys.stdin, sys.stdout)
     if a.what == "index":
         from graphloom.streaming.watch import Indexer
 
@@ -42,7 +55,7 @@ def main(args: list[str] | None = None) -> int:
         show = {"json": Q.as_json, "markdown": Q.search_markdown, "table": Q.search_table}[c.output]
         print(show(got))
     else:
-        got = Q.rows(getattr(index, a.what)(a.text, a.repo))
+        got = Q.rows(getattr(index, a.what)(a.text, a.repo), a.page, a.size)
         by = {"callers": (Q.callers_markdown, Q.callers_table), "explore": (Q.explore_markdown, Q.explore_table)}[a.what]
         print(Q.as_json(got) if c.output == "json" else by[c.output == "table"](a.text, got))
     return 0

@@ -73,11 +73,16 @@ def dead_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.join(used, "uuid", "left_anti")
 
 
+def dependencies_of(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uuid, calls, n_calls) of each source of a CALLS edge: the sorted names of what it calls, as one string."""
+    callee = entities.select(F.col("uuid").alias("dst_uuid"), F.col("name").alias("callee"))
+    calls = edges.where("rel_type = 'CALLS'").join(callee, "dst_uuid")
+    return calls.groupBy(F.col("src_uuid").alias("uuid")).agg(F.array_join(F.array_sort(F.collect_list("callee")), ",").alias("calls"), F.count("callee").alias("n_calls"))
+
+
 def dependencies(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Each entity with the sorted names of what it calls, as one string; entities that call nothing keep an empty one."""
-    callee = entities.select(F.col("uuid").alias("dst_uuid"), F.col("name").alias("callee"))
-    calls = edges.where("rel_type = 'CALLS'").join(callee, "dst_uuid").groupBy(F.col("src_uuid").alias("uuid")).agg(F.array_join(F.array_sort(F.collect_list("callee")), ",").alias("calls"), F.count("callee").alias("n_calls"))
-    return entities.select("uuid", "name", "fqn").join(calls, "uuid", "left").select("uuid", "name", "fqn", F.coalesce("calls", F.lit("")).alias("calls"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
+    return entities.select("uuid", "name", "fqn").join(dependencies_of(entities, edges), "uuid", "left").select("uuid", "name", "fqn", F.coalesce("calls", F.lit("")).alias("calls"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
 
 
 def enriched(entities: DataFrame, edges: DataFrame, samples: int = 3) -> DataFrame:

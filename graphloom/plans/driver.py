@@ -36,7 +36,8 @@ def _files(s: SparkSession, d: str) -> DataFrame:
 
 def _intents(s: SparkSession, d: str) -> DataFrame:
     i = _t(s, d, "intents").withColumn("target", F.trim("target"))
-    return i.dropDuplicates(["intent_id"])
+    cols = [c for c in i.columns if c != "intent_id"]
+    return i.groupBy("intent_id").agg(F.min(F.struct(*cols)).alias("r")).select("intent_id", "r.*")  # rows of one id are alike; of others, the least
 
 
 def _targets(s: SparkSession, d: str) -> DataFrame:
@@ -62,8 +63,8 @@ def _index_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _index_query(s: SparkSession, d: str) -> list[float]:
     """What the searches of the index ask for: the vector of the smallest uuid; zeros, near to nothing, where there is none."""
-    first = _index_vectors(s, d).orderBy("uuid", "embedding").first()
-    return [float(x) for x in first["embedding"]] if first else [0.0] * vector.DIM
+    first = _index_vectors(s, d).agg(F.min(F.struct("uuid", "embedding")).alias("v")).first().v
+    return [float(x) for x in first.embedding] if first else [0.0] * vector.DIM
 
 
 def _index_top(s: SparkSession, d: str, repo: str | None = None) -> DataFrame:
@@ -129,6 +130,25 @@ def _calls(s: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_calls(_intents(s, d), _entities(s, d))
 
 
+def _partial_calls(s: SparkSession, d: str) -> DataFrame:
+    """Calls by parts of names: from each dotted name its class without two letters, and five letters of its last part."""
+    parts = F.split("fqn", r"\.")
+    e = _entities(s, d).where(F.contains("fqn", F.lit(".")))
+    return e.select(F.col("uuid").alias("src_uuid"), F.lit("?").alias("src_file"), F.lit(None).cast("string").alias("src_enclosing_class"), F.lit("Call").alias("intent_type"), F.substring(F.element_at(parts, -1), 1, 5).alias("target"), F.substring(F.element_at(parts, -2), 3, 1000).alias("receiver"), F.lit(0).alias("seq"))
+
+
+def _contexts(s: SparkSession, d: str) -> DataFrame:
+    """Every repository depends on REPO."""
+    return _entities(s, d).select("repo_name", F.lit(REPO).alias("context_repo")).where("repo_name is not null").distinct()
+
+
+def _relative_imports(s: SparkSession, d: str) -> DataFrame:
+    """Imports of files, their absolute paths written as seen from the importing file's folder."""
+    up = F.repeat(F.lit("../"), F.greatest(F.size(F.split("src_file", "/")) - 2, F.lit(0)))
+    i = _intents(s, d).where("intent_type in ('HtmlFileImport', 'CssFileImport')")
+    return i.withColumn("target", F.when(F.col("target").startswith("/") & F.col("src_file").startswith("/"), F.concat(F.lit("./"), up, F.substring("target", 2, 100_000))).otherwise(F.col("target")))
+
+
 def _extracted(s: SparkSession, d: str) -> DataFrame:
     return extraction.extract_files(_files(s, d))
 
@@ -137,23 +157,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphans(*(_t(spark, sf_dir, n) for n in ("intents", "edges", "entities", "files", "removals", "external_names")))
 
 
-def _tiny_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Supplier and nation as a graph over whose vectors one can search: vec_id is joined to suppliers by number."""
-    sup = _t(s, d, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("uuid"), F.col("s_name").alias("name"), F.lit("class").alias("kind"), F.concat(F.lit("s."), "s_name").alias("fqn"), F.lit(None).cast("string").alias("signature"),
-        F.lit(None).cast("string").alias("docstring"), F.concat(F.lit("n/"), F.col("s_nationkey").cast("string")).alias("file_path"), F.col("s_suppkey").cast("int").alias("start_line"), F.lit("r").alias("repo_name"), "s_nationkey",
-    )
-    e = sup.alias("a").join(sup.alias("b"), F.expr("b.uuid = cast(cast(a.uuid as bigint) + 1 as string)")).select(F.col("a.uuid").alias("src_uuid"), F.col("b.uuid").alias("dst_uuid"), F.when(F.col("a.s_nationkey") < F.col("b.s_nationkey"), "CALLS").otherwise("REFERENCES").alias("rel_type"))
-    return sup.drop("s_nationkey"), e
-
-
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
-    e, g = _tiny_graph(s, d)
-    v = _usable(s, d).withColumn("uuid", F.col("uuid").cast("string"))
-    return search.hybrid(e, g, v.join(e.select("uuid"), "uuid", "left_semi"), _query_vector(s, d), K).select("rank", "score", "uuid", "name", "calls", "caller_count", "caller_samples", "type_usage_count", "type_usage_samples")
-
-
-def _hybrid_index(s: SparkSession, d: str) -> DataFrame:
     """The search over the index's entities, edges and vectors; a hit without an entity has its rank but no row."""
     return search.hybrid(_entities(s, d), _edges(s, d), _index_vectors(s, d), _index_query(s, d), K).select(
         "rank", "score", "uuid", "name", "kind", "fqn", "signature", "docstring", "file_path", "start_line", "repo_name", "calls", "subclasses", "implementers", "caller_count", "caller_samples", "type_usage_count", "type_usage_samples",
@@ -162,7 +166,7 @@ def _hybrid_index(s: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search by meaning, with the graph around the hits."""
-    return _hybrid_index(spark, sf_dir)
+    return _hybrid(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -185,12 +189,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "explore_files": lambda s, d: graph.file_sections(_entities(s, d)),
         "contains_edges": lambda s, d: graph.contains_edges(_entities(s, d)),
         "impact": lambda s, d: graph.impact(_edges(s, d), _targets(s, d).select("uuid"), 3),
-        "vector_topk": lambda s, d: vector.top_k(_usable(s, d), _query_vector(s, d), K),
-        "vector_topk_filtered": lambda s, d: vector.top_k(_usable(s, d), _query_vector(s, d), K, repo="3"),
+        "vector_topk": _index_top,
+        "vector_topk_filtered": lambda s, d: _index_top(s, d, REPO),
+        "vector_topk_embeddings": lambda s, d: vector.top_k(_usable(s, d), _query_vector(s, d), K),
         "hybrid_search": _hybrid,
-        "vector_topk_index": _index_top,
-        "vector_topk_index_filtered": lambda s, d: _index_top(s, d, REPO),
-        "hybrid_search_index": _hybrid_index,
         "entity_uuid5": lambda s, d: _t(s, d, "entities").select("uuid", ids.uuid5(F.concat_ws(":", "repo_name", "file_path", "fqn")).alias("computed")).distinct(),
         "point_ids": lambda s, d: _entities(s, d).select("uuid", ids.point_id(F.col("uuid")).alias("point_id")),
         "embed_text": lambda s, d: _entities(s, d).select("uuid", text.embed_text(*[F.col(c) for c in ("kind", "name", "decorators", "signature", "docstring", "inline_comments", "file_path", "start_line")]).alias("embed_text")),
@@ -210,10 +212,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "upsert_calls": lambda s, d: store.upsert_calls(_edges(s, d).where("rel_type = 'EXTENDS'"), _edges(s, d), _entities(s, d)),
         "entity_dedup": lambda s, d: lines.one_per_declaration(_t(s, d, "entities").select("uuid", "name", "kind", "signature", "repo_name", "file_path", "start_line").distinct()).groupBy("repo_name", "kind").agg(F.count("*").alias("n"), F.count("signature").alias("with_signature")),
         "resolve_by_name": lambda s, d: resolve.resolve(_intents(s, d).where("intent_type not in ('Call', 'HtmlFileImport', 'CssFileImport')"), _entities(s, d)),
-        "resolve_imports": lambda s, d: resolve.resolve(_intents(s, d).where("intent_type in ('HtmlFileImport', 'CssFileImport')"), _entities(s, d)),
+        "resolve_imports": lambda s, d: resolve.resolve(_relative_imports(s, d), _entities(s, d)),
         "resolve_calls": lambda s, d: _calls(s, d).where("step <> 6").select("src_uuid", "method", "receiver", "uuid", "step"),
         "resolve_inherited": lambda s, d: resolve.parents(_intents(s, d), _entities(s, d)),
-        "fuzzy_fqn": lambda s, d: _calls(s, d).where("step = 6").select("src_uuid", "method", "receiver", "uuid"),
+        "fuzzy_fqn": lambda s, d: resolve.resolve_calls(_partial_calls(s, d), _entities(s, d)).where("step = 6").select("src_uuid", "method", "receiver", "uuid"),
+        "resolve_by_repo": lambda s, d: resolve.resolve(_intents(s, d).where("intent_type not in ('Call', 'HtmlFileImport', 'CssFileImport')"), _entities(s, d), contexts=_contexts(s, d)),
         "name_map": lambda s, d: resolve.name_map(_entities(s, d)),
         "cross_repo_context": lambda s, d: resolve.fqn_map(resolve.context(_entities(s, d), REPO, ["ember-vault-ba0", "vale-loom-ba1"]), REPO),
         "nearest_entity": lambda s, d: lines.nearest_entity(_refs(s, d), _spans(s, d), ["repo_name", "file_path"]),

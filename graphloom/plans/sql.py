@@ -43,18 +43,18 @@ CAP = "upper(substr(rc, 1, 1)) || substr(rc, 2)"
 CALLS = (
     E_, I_, NAMES,
     "par AS (SELECT e.name AS cls, i.target AS parent, min(i.seq) AS n FROM i JOIN e ON e.uuid = i.src_uuid WHERE i.intent_type = 'Extends' AND i.target IS NOT NULL GROUP BY 1, 2)",
-    "k AS (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT src_uuid, src_file, src_enclosing_class AS cls, target AS method, receiver, trim(split_part(receiver, '.', -1)) AS rc FROM i WHERE intent_type = 'Call' AND target IS NOT NULL AND src_uuid IS NOT NULL))",
+    "k AS (SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT src_uuid, src_file, repo_name AS of, src_enclosing_class AS cls, target AS method, receiver, trim(split_part(receiver, '.', -1)) AS rc FROM i WHERE intent_type = 'Call' AND target IS NOT NULL AND src_uuid IS NOT NULL))",
     f"""t AS (SELECT id, 1 AS p, cls || '.' || method AS fqn, 1 AS step FROM k WHERE (receiver IS NULL OR receiver IN ('this', 'self')) AND cls IS NOT NULL
       UNION ALL SELECT id, 99 + row_number() OVER (PARTITION BY id ORDER BY n, parent), parent || '.' || method, 2 FROM k JOIN par ON par.cls = k.cls WHERE receiver = 'self'
       UNION ALL SELECT id, 1000000, receiver || '.' || method, 3 FROM k WHERE regexp_matches(receiver, '^\\p{{Lu}}')
       UNION ALL SELECT id, 1000001, rc || '.' || method, 4 FROM k WHERE receiver IS NOT NULL
       UNION ALL SELECT id, 1000002, {CAP} || '.' || method, 5 FROM k WHERE receiver IS NOT NULL)""",
     "direct AS (SELECT t.id, arg_min(fm.uuid, p) AS uuid, arg_min(step, p) AS step FROM t JOIN fm ON fm.key = t.fqn GROUP BY 1)",
-    f"""pr AS (SELECT DISTINCT rc, method FROM k WHERE receiver IS NOT NULL AND id NOT IN (SELECT id FROM direct)),
+    f"""pr AS (SELECT DISTINCT rc, method FROM k WHERE rc <> '' AND method <> '' AND id NOT IN (SELECT id FROM direct)),
       fz AS (SELECT rc, method, arg_min(uuid, {{'k': key, 'u': uuid}}) AS uuid FROM pr JOIN fm ON contains(key, rc || '.' || method) OR contains(key, {CAP} || '.' || method) GROUP BY 1, 2),
       fuzzy AS (SELECT k.id, fz.uuid, 6 AS step FROM k JOIN fz USING (rc, method) WHERE receiver IS NOT NULL AND id NOT IN (SELECT id FROM direct))""",
-    """same AS (SELECT name AS method, file_path AS src_file, arg_min(uuid, {'l': coalesce(start_line, 0), 'u': uuid}) AS uuid FROM e WHERE name IS NOT NULL GROUP BY 1, 2),
-      last AS (SELECT k.id, coalesce(same.uuid, nm.uuid) AS uuid, CASE WHEN same.uuid IS NULL THEN 8 ELSE 7 END AS step FROM k JOIN nm ON nm.key = k.method LEFT JOIN same ON same.method = k.method AND same.src_file = k.src_file
+    """same AS (SELECT name AS method, file_path AS src_file, repo_name AS of, arg_min(uuid, {'l': coalesce(start_line, 0), 'u': uuid}) AS uuid FROM e WHERE name IS NOT NULL GROUP BY 1, 2, 3),
+      last AS (SELECT k.id, coalesce(same.uuid, nm.uuid) AS uuid, CASE WHEN same.uuid IS NULL THEN 8 ELSE 7 END AS step FROM k JOIN nm ON nm.key = k.method LEFT JOIN same ON same.method = k.method AND same.src_file = k.src_file AND same.of = k.of
         WHERE id NOT IN (SELECT id FROM direct) AND id NOT IN (SELECT id FROM fuzzy)),
       res AS (SELECT k.*, x.uuid, x.step FROM k JOIN (SELECT * FROM direct UNION ALL SELECT * FROM fuzzy UNION ALL SELECT * FROM last) x USING (id))""",
 )
@@ -64,12 +64,6 @@ SECTION = """CASE kind WHEN 'class' THEN 'Classes' WHEN 'kotlin_class' THEN 'Cla
   WHEN 'rust_impl' THEN 'Rust impls' WHEN 'rust_function' THEN 'Rust functions' WHEN 'rust_method' THEN 'Rust methods' WHEN 'rust_macro_def' THEN 'Rust macros' WHEN 'rust_macro_invoke' THEN 'Rust macros' WHEN 'rust_type_alias' THEN 'Rust type aliases'
   WHEN 'rust_constant' THEN 'Rust constants' WHEN 'rust_static' THEN 'Rust statics' WHEN 'rust_module' THEN 'Rust modules' WHEN 'constant' THEN 'Constants' WHEN 'enum' THEN 'Enums' WHEN 'html_element' THEN 'Elements' WHEN 'html_id' THEN 'Ids' WHEN 'css_id' THEN 'Ids'
   WHEN 'html_class' THEN 'CSS classes' WHEN 'css_class' THEN 'CSS classes' WHEN 'css_variable' THEN 'Variables' WHEN 'scss_variable' THEN 'Variables' WHEN 'scss_mixin' THEN 'Mixins' WHEN 'scss_function' THEN 'SCSS functions' END"""
-SUP = (
-    "sup AS (SELECT s_suppkey AS id, s_suppkey::VARCHAR AS uuid, s_name AS name, s_nationkey, 'n/' || s_nationkey AS file_path FROM supplier)",
-    "g AS (SELECT a.uuid AS src, b.uuid AS dst, a.name || ' in ' || a.file_path AS sample, b.name AS callee, CASE WHEN a.s_nationkey < b.s_nationkey THEN 'CALLS' ELSE 'REFERENCES' END AS rel FROM sup a JOIN sup b ON b.id = a.id + 1)",
-    QV,
-    "h AS (SELECT vec_id::VARCHAR AS uuid, round(list_cosine_similarity(embedding::DOUBLE[], x), 6) AS score FROM embeddings, q WHERE vec_id::VARCHAR IN (SELECT uuid FROM sup) ORDER BY score DESC, uuid LIMIT 5)",
-)
 COSINE = "SELECT vec_id AS uuid, score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], x), 6) AS score FROM embeddings, q {w} ORDER BY score DESC, vec_id LIMIT 5)"
 INDEX = (
     "v AS (SELECT uuid, repo_name, embedding::DOUBLE[] AS embedding FROM vectors WHERE uuid IS NOT NULL AND len(embedding) = 384 AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = 384 AND len(list_filter(embedding, lambda y: y <> 0)) > 0)",
@@ -127,14 +121,10 @@ SQL: dict[str, str] = {
     "explore_files": _with(E_) + f"SELECT repo_name, file_path, section, count(*) AS n, min(start_line) AS first_line, max(start_line) AS last_line FROM (SELECT *, {SECTION} AS section FROM e) WHERE section IS NOT NULL GROUP BY 1, 2, 3",
     "contains_edges": _with(E_) + "SELECT o.src_uuid, e.uuid AS dst_uuid, 'CONTAINS' AS rel_type FROM e JOIN (SELECT repo_name, file_path, name, min(uuid) AS src_uuid FROM e WHERE kind IN ('class', 'interface', 'enum', 'kotlin_class', 'kotlin_interface', 'kotlin_object', 'python_class', 'rust_struct', 'rust_enum', 'rust_trait') GROUP BY 1, 2, 3) o ON o.repo_name = e.repo_name AND o.file_path = e.file_path AND o.name = e.enclosing_class",
     "impact": "WITH RECURSIVE " + ", ".join((E_, G_, "w AS (SELECT uuid, 0 AS depth FROM e WHERE contains(lower(name), 'index') UNION SELECT g.src_uuid, w.depth + 1 FROM w JOIN g ON g.dst_uuid = w.uuid WHERE w.depth < 3)")) + " SELECT uuid, min(depth) AS depth FROM w GROUP BY 1",
-    "vector_topk": _with(QV) + COSINE.format(w=""),
-    "vector_topk_filtered": _with(QV) + COSINE.format(w="WHERE label = 3"),
-    "hybrid_search": _with(*SUP) + """SELECT row_number() OVER (ORDER BY score DESC, uuid)::INT AS rank, score, uuid, sup.name, coalesce((SELECT string_agg(callee, ',' ORDER BY callee) FROM g WHERE src = uuid AND rel = 'CALLS'), '') AS calls,
-    (SELECT count(*) FROM g WHERE dst = uuid AND rel = 'CALLS') AS caller_count, coalesce((SELECT string_agg(sample, '; ') FROM g WHERE dst = uuid AND rel = 'CALLS'), '') AS caller_samples,
-    (SELECT count(*) FROM g WHERE dst = uuid AND rel = 'REFERENCES') AS type_usage_count, coalesce((SELECT string_agg(sample, '; ') FROM g WHERE dst = uuid AND rel = 'REFERENCES'), '') AS type_usage_samples FROM h JOIN sup USING (uuid)""",
-    "vector_topk_index": _with(*INDEX) + TOP.format(w=""),
-    "vector_topk_index_filtered": _with(*INDEX) + TOP.format(w="WHERE repo_name = 'harbor-core'"),
-    "hybrid_search_index": _with(E_, G_, *INDEX, f"h AS ({TOP.format(w='')})", "x AS (SELECT g.dst_uuid AS uuid, g.rel_type, e.name, coalesce(e.name, '?') || ' in ' || coalesce(e.file_path, '?') AS sample, row_number() OVER (PARTITION BY g.dst_uuid, g.rel_type ORDER BY coalesce(e.name, '?') || ' in ' || coalesce(e.file_path, '?'), e.uuid) AS r FROM g JOIN e ON e.uuid = g.src_uuid)")
+    "vector_topk_embeddings": _with(QV) + COSINE.format(w=""),
+    "vector_topk": _with(*INDEX) + TOP.format(w=""),
+    "vector_topk_filtered": _with(*INDEX) + TOP.format(w="WHERE repo_name = 'harbor-core'"),
+    "hybrid_search": _with(E_, G_, *INDEX, f"h AS ({TOP.format(w='')})", "x AS (SELECT g.dst_uuid AS uuid, g.rel_type, e.name, coalesce(e.name, '?') || ' in ' || coalesce(e.file_path, '?') AS sample, row_number() OVER (PARTITION BY g.dst_uuid, g.rel_type ORDER BY coalesce(e.name, '?') || ' in ' || coalesce(e.file_path, '?'), e.uuid) AS r FROM g JOIN e ON e.uuid = g.src_uuid)")
     + """SELECT h.rank, h.score, h.uuid, e.name, e.kind, e.fqn, e.signature, e.docstring, e.file_path, e.start_line, e.repo_name, coalesce((SELECT string_agg(t.name, ',' ORDER BY t.name) FROM g JOIN e t ON t.uuid = g.dst_uuid WHERE g.src_uuid = h.uuid AND g.rel_type = 'CALLS'), '') AS calls,
     coalesce((SELECT string_agg(DISTINCT x.name, ',' ORDER BY x.name) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'EXTENDS'), '') AS subclasses, coalesce((SELECT string_agg(DISTINCT x.name, ',' ORDER BY x.name) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'IMPLEMENTS'), '') AS implementers,
     (SELECT count(*) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'CALLS') AS caller_count, coalesce((SELECT string_agg(x.sample, '; ' ORDER BY x.sample) FROM x WHERE x.uuid = h.uuid AND x.rel_type = 'CALLS' AND x.r <= 3), '') AS caller_samples,
@@ -161,10 +151,17 @@ SQL: dict[str, str] = {
     "upsert_calls": _with(E_, G_) + "SELECT * FROM g WHERE rel_type = 'EXTENDS' OR (rel_type = 'CALLS' AND src_uuid IN (SELECT uuid FROM e) AND dst_uuid IN (SELECT uuid FROM e))",
     "entity_dedup": "SELECT repo_name, kind, count(*) AS n, count(signature) AS with_signature FROM (SELECT repo_name, file_path, name, kind, start_line, max(signature) AS signature FROM entities GROUP BY ALL) GROUP BY 1, 2",
     "resolve_by_name": _with(E_, I_, NAMES) + f"SELECT DISTINCT i.src_uuid, nm.uuid AS dst_uuid, {REL} AS rel_type FROM i JOIN nm ON nm.key = i.target WHERE intent_type NOT IN ('Call', 'HtmlFileImport', 'CssFileImport') AND src_uuid IS NOT NULL",
-    "resolve_imports": _with(E_, I_) + f"SELECT DISTINCT i.src_uuid, x.uuid AS dst_uuid, {REL} AS rel_type FROM i JOIN (SELECT file_path, arg_min(uuid, {{'l': coalesce(start_line, 0), 'u': uuid}}) AS uuid FROM e GROUP BY 1) x ON x.file_path = i.target WHERE intent_type IN ('HtmlFileImport', 'CssFileImport') AND src_uuid IS NOT NULL",
+    "resolve_imports": _with(E_, I_) + f"SELECT DISTINCT i.src_uuid, x.uuid AS dst_uuid, {REL} AS rel_type FROM i JOIN (SELECT repo_name, file_path, arg_min(uuid, {{'l': coalesce(start_line, 0), 'u': uuid}}) AS uuid FROM e GROUP BY 1, 2) x ON x.file_path = i.target AND x.repo_name = i.repo_name WHERE intent_type IN ('HtmlFileImport', 'CssFileImport') AND src_uuid IS NOT NULL",
     "resolve_calls": _with(*CALLS) + "SELECT src_uuid, method, receiver, uuid, step FROM res WHERE step <> 6",
     "resolve_inherited": _with(*CALLS) + "SELECT cls, parent, n FROM par",
-    "fuzzy_fqn": _with(*CALLS) + "SELECT src_uuid, method, receiver, uuid FROM res WHERE step = 6",
+    "fuzzy_fqn": _with(E_, "fm AS (SELECT coalesce(fqn, name) AS key, arg_min(uuid, {'f': coalesce(file_path, ''), 'l': coalesce(start_line, 0), 'u': uuid}) AS uuid FROM e WHERE coalesce(fqn, name) IS NOT NULL GROUP BY 1)",
+      "k AS (SELECT uuid AS src_uuid, substr(string_split(fqn, '.')[-1], 1, 5) AS method, substr(string_split(fqn, '.')[-2], 3) AS rc FROM e WHERE contains(fqn, '.'))",
+      "kk AS (SELECT * FROM k WHERE rc <> '' AND method <> '' AND rc || '.' || method NOT IN (SELECT key FROM fm) AND upper(substr(rc, 1, 1)) || substr(rc, 2) || '.' || method NOT IN (SELECT key FROM fm))",
+      "pr AS (SELECT DISTINCT rc, method FROM kk)", "fz AS (SELECT rc, method, arg_min(uuid, {'k': key, 'u': uuid}) AS uuid FROM pr JOIN fm ON contains(key, rc || '.' || method) OR contains(key, upper(substr(rc, 1, 1)) || substr(rc, 2) || '.' || method) GROUP BY 1, 2)")
+      + "SELECT kk.src_uuid, kk.method, kk.rc AS receiver, fz.uuid FROM kk JOIN fz USING (rc, method)",
+    "resolve_by_repo": _with(E_, I_, "cx AS (SELECT DISTINCT repo_name, repo_name AS of FROM e UNION SELECT DISTINCT repo_name, 'harbor-core' FROM e)",
+      "nm AS (SELECT cx.repo_name, e.name AS key, arg_min(e.uuid, {'o': cx.of <> cx.repo_name, 'f': coalesce(file_path, ''), 'l': coalesce(start_line, 0), 'u': e.uuid}) AS uuid FROM cx JOIN e ON e.repo_name = cx.of WHERE e.name IS NOT NULL GROUP BY 1, 2)")
+      + f"SELECT DISTINCT i.src_uuid, nm.uuid AS dst_uuid, {REL} AS rel_type FROM i JOIN nm ON nm.key = i.target AND nm.repo_name = i.repo_name WHERE intent_type NOT IN ('Call', 'HtmlFileImport', 'CssFileImport') AND src_uuid IS NOT NULL",
     "name_map": _with(E_, NAMES) + "SELECT key, uuid FROM nm",
     "cross_repo_context": _with(E_) + "SELECT coalesce(fqn, name) AS key, arg_min(uuid, {'o': repo_name <> 'harbor-core', 'f': coalesce(file_path, ''), 'l': coalesce(start_line, 0), 'u': uuid}) AS uuid FROM e WHERE repo_name IN ('harbor-core', 'ember-vault-ba0', 'vale-loom-ba1') GROUP BY 1",
     "nearest_entity": _with(E_, I_, SPAN) + """SELECT ref_id, arg_min(uuid, {'t': CASE WHEN start_line <= line AND line <= coalesce(end_line, 1073741824) THEN 0 WHEN start_line <= line THEN 1 ELSE 2 END,

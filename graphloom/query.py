@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,47 @@ class CodeIndex:
         return graph.explore_file(self.entities, os.path.realpath(path) if os.path.exists(path) else path, repo).orderBy("position")
 
 
-def rows(df: DataFrame, most: int = 10_000) -> list[dict]:
-    """The rows of an answer, for showing."""
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+class Answer(list):
+    """A page of an answer's rows; `total` counts all rows and `groups` those of each value of the column rel_type or section, exactly."""
+
+    total: int
+    page: int
+    pages: int
+    groups: dict
+
+    @classmethod
+    def of(cls, found: list[dict]) -> Answer:
+        """A list of rows as an answer of one page."""
+        if isinstance(found, cls):
+            return found
+        a = cls(found)
+        a.total, a.page, a.pages = len(a), 1, 1
+        by = next((c for c in _GROUPED if a and c in a[0]), None)
+        a.groups = dict(Counter(r[by] for r in a)) if by else {}
+        return a
+
+    def note(self) -> str:
+        """What a cut answer leaves out; empty for a whole one."""
+        return f"Page {self.page} of {self.pages}: {len(self)} of {self.total} rows shown" if self.pages > 1 else ""
+
+
+_GROUPED = ("rel_type", "section")
+PAGE = 10_000
+
+
+def rows(df: DataFrame, page: int = 1, size: int = PAGE) -> Answer:
+    """A page (from 1) of the rows of an answer, in its order. Of an answer longer than a page all rows are counted, never cut in silence."""
+    if page < 1 or size < 1:
+        raise ValueError("page and size are 1 or more")
+    found = [r.asDict(recursive=True) for r in (df if page == 1 else df.offset((page - 1) * size)).limit(size + 1).collect()]
+    a = Answer.of(found[:size])
+    if page > 1 or len(found) > size:
+        by = next((c for c in _GROUPED if c in df.columns), None)
+        a.page = page
+        a.groups = {r[0]: r[1] for r in df.groupBy(by).count().collect()} if by else {}
+        a.total = sum(a.groups.values()) if by else df.count()
+        a.pages = -(-a.total // size)
+    return a
 
 
 def as_json(answer: list[dict]) -> str:
@@ -63,6 +102,10 @@ def as_table(head: list[str], body: list[list]) -> str:
     return "\n".join([out[0], "-+-".join("-" * w for w in width), *out[1:]])
 
 
+def _noted(text: str, answer: Answer) -> str:
+    return f"{text}\n{answer.note()}" if answer.note() else text
+
+
 def search_table(answer: list[dict]) -> str:
     return as_table(["Kind", "Name", "File", "Line"], [[r["kind"], r["name"], r["file_path"], r["start_line"]] for r in answer]) if answer else NO_MATCH
 
@@ -70,13 +113,13 @@ def search_table(answer: list[dict]) -> str:
 def callers_table(name: str, answer: list[dict]) -> str:
     if not answer:
         return f"No references found for `{name}`. This entity may be unused."
-    return as_table(["Relationship", "Target", "Caller", "File", "Line"], [[r["rel_type"], r["target"], r["name"], r["file_path"], r["start_line"]] for r in answer])
+    return _noted(as_table(["Relationship", "Target", "Caller", "File", "Line"], [[r["rel_type"], r["target"], r["name"], r["file_path"], r["start_line"]] for r in answer]), Answer.of(answer))
 
 
 def explore_table(path: str, answer: list[dict]) -> str:
     if not answer:
         return f"No entities found in `{path}`."
-    return as_table(["Type", "Name", "Line", "Signature"], [[r["kind"], r["name"], r["start_line"], r["signature"]] for r in answer])
+    return _noted(as_table(["Type", "Name", "Line", "Signature"], [[r["kind"], r["name"], r["start_line"], r["signature"]] for r in answer]), Answer.of(answer))
 
 
 def search_markdown(answer: list[dict]) -> str:
@@ -99,17 +142,18 @@ def callers_markdown(name: str, answer: list[dict]) -> str:
     """By relation, then by target where a relation has several."""
     if not answer:
         return f"No references found for `{name}`. This entity may be unused."
-    out = [f"# References to `{name}`", f"{len(answer)} in all"]
+    answer = Answer.of(answer)
+    out = [f"# References to `{name}`", f"{answer.total} in all"]
     for rel in sorted({r["rel_type"] for r in answer}):
         mine = [r for r in answer if r["rel_type"] == rel]
-        out.append(f"## {rel} ({len(mine)})")
+        out.append(f"## {rel} ({answer.groups[rel]})")
         key = lambda r: f"{r['target_file']}:{r['target_line']}" if r["target_file"] else "unknown"
         targets = sorted({key(r) for r in mine})
         for t in targets:
             if len(targets) > 1:
                 out.append(f"### {t}")
             out += [f"- {r['name']} ({r['kind']}) in {r['file_path']}:{r['start_line']}" for r in mine if key(r) == t]
-    return "\n".join(out)
+    return _noted("\n".join(out), answer)
 
 
 def explore_markdown(path: str, answer: list[dict]) -> str:
@@ -121,7 +165,7 @@ def explore_markdown(path: str, answer: list[dict]) -> str:
         if mine:
             out.append(f"## {name}")
             out += [f"- {r['name']}{r['signature'] or ''} (line {r['start_line']})" for r in mine]
-    return "\n".join(out)
+    return _noted("\n".join(out), Answer.of(answer))
 
 
 def payload(df: DataFrame) -> DataFrame:

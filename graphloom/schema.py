@@ -18,14 +18,12 @@ ENTITIES = _of(
 )
 INTENTS = _of(("repo_name", _S), ("src_uuid", _S), ("src_file", _S), ("src_enclosing_class", _S), ("seq", IntegerType()), ("intent_type", _S), ("target", _S), ("receiver", _S), ("line", IntegerType()))
 EDGES = _of(("src_uuid", _S), ("dst_uuid", _S), ("rel_type", _S))
-VECTORS = _of(("uuid", _S), ("repo_name", _S), ("embedding", ArrayType(FloatType())))
+VECTORS = _of(
+    ("uuid", _S), ("repo_name", _S), ("embedding", ArrayType(FloatType())), ("name", _S), ("kind", _S), ("language", _S), ("file_path", _S), ("start_line", IntegerType()), ("signature", _S), ("docstring", _S),
+)
 STATE = _of(("repo_name", _S), ("path", _S), ("sha256", _S))
 
-# The kinds of entities, and the relations that intents resolve to.
-KINDS = """class interface method function constant enum kotlin_class kotlin_interface kotlin_object kotlin_companion_object kotlin_function kotlin_method
-kotlin_property html_element html_id html_class css_class css_id css_variable scss_variable scss_mixin scss_function rust_struct rust_enum rust_union
-rust_trait rust_impl rust_function rust_method rust_macro_def rust_type_alias rust_constant rust_static rust_module rust_macro_invoke python_class
-python_function python_method python_module python_constant""".split()
+# The relations that intents resolve to.
 RELATION = {
     "Call": "CALLS", "Extends": "EXTENDS", "Implements": "IMPLEMENTS", "TypeReference": "REFERENCES", "ValueReference": "REFERENCES", "DomElementReference": "REFERENCES_DOM",
     "CssClassUsage": "USES_CSS_CLASS", "HtmlFileImport": "IMPORTS_SCRIPT", "CssFileImport": "IMPORTS_STYLESHEET", "RustMacroCall": "MACRO_CALLS",
@@ -33,7 +31,3 @@ RELATION = {
 #: The relations that a reverse lookup covers unless told otherwise.
 REFERENCE_RELATIONS = ("CALLS", "EXTENDS", "IMPLEMENTS", "REFERENCES")
 
-
-def label(kind: str) -> str:
-    """The graph label of a kind: its words in capitals, joined."""
-    return "".join(w.capitalize() for w in kind.split("_"))

@@ -60,6 +60,19 @@ def test_other_references(spark):
     assert resolved(spark, [], ints) == set() and resolved(spark, ents, []) == set()
 
 
+def test_resolution_of_many_repositories(spark):
+    """Equal paths and names in two repositories; lib is known to app only."""
+    both = [ent(f"{r}-{n}", n, f"C.{n}" if n == "run" else n, file="/src/x.py", repo=r) for r in ("app", "web") for n in ("go", "run")]
+    ents = [*both, ent("lib-util", "util", repo="lib", file="/u.py"), ent("lib-go", "go", repo="lib", file="/a.py"), ent("app-js", "page", repo="app", file="/d/js/app.js"), ent("web-js", "page", repo="web", file="/d/js/app.js")]
+    ints = []
+    for r in ("app", "web"):
+        for kind, target, recv, file in (("Call", "go", None, "/src/x.py"), ("Call", "run", "C", "/src/x.py"), ("Call", "util", None, "/src/x.py"), ("TypeReference", "util", None, "/src/x.py"), ("HtmlFileImport", "../js/./app.js", None, "/d/html/p.html"), ("Call", "ru", "C", "/q")):
+            ints.append((f"s-{r}", file, None, kind, target, recv, 0, r, 1))
+    want = {("s-app", "app-go", "CALLS"), ("s-app", "app-run", "CALLS"), ("s-app", "lib-util", "CALLS"), ("s-app", "lib-util", "REFERENCES"), ("s-app", "app-js", "IMPORTS_SCRIPT"), ("s-web", "web-go", "CALLS"), ("s-web", "web-run", "CALLS"), ("s-web", "web-js", "IMPORTS_SCRIPT")}
+    contexts = spark.createDataFrame([("app", "lib")], "repo_name string, context_repo string")
+    assert resolved(spark, ents, ints, contexts=contexts) == want
+
+
 def test_resolution_against_a_loop(spark):
     rng = random.Random(3)
     classes, methods = ["Alpha", "Beta", "Gamma"], ["run", "stop", "getAll", "x"]
@@ -252,7 +265,7 @@ def test_search_of_the_index_reads_its_own_tables(spark, sf):
     rows = [(r.uuid, r.repo_name, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{sf}/vectors.parquet").collect() if r.uuid and r.embedding and len(r.embedding) == 384 and None not in r.embedding]
     rows = [(u, repo, x) for u, repo, x in rows if np.isfinite(x).all() and x.any()]
     q = min(rows, key=lambda r: (r[0], list(r[2])))[2]
-    for name, repo in (("vector_topk_index", None), ("vector_topk_index_filtered", "harbor-core")):
+    for name, repo in (("vector_topk", None), ("vector_topk_filtered", "harbor-core")):
         score = {}
         for u, r, x in rows:
             if repo in (None, r):
@@ -262,7 +275,7 @@ def test_search_of_the_index_reads_its_own_tables(spark, sf):
         assert [u for u, _ in got] == [u for u, _ in want] and all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(got, want))
         if repo is None:
             known = {r.uuid: r.name for r in graph.current_entities(spark.read.parquet(f"{sf}/entities.parquet")).collect()}
-            hits = [(r.uuid, r.name) for r in found["hybrid_search_index"](spark, sf).collect()]
+            hits = [(r.uuid, r.name) for r in found["hybrid_search"](spark, sf).collect()]
             assert hits == [(u, known[u]) for u, _ in want if u in known] and hits
 
 
