@@ -1,14 +1,18 @@
 """The most similar vectors of every vector (problem 5): hierarchical navigable small-world graphs, one per shard, results merged.
 
-Shards are groups of neighbouring Voronoi cells of centroids that are fitted, in a projection, on a bounded sample (SAMPLE); every
-usable vector is indexed, in one shard. A vector near a border asks the neighbouring shard too, and a shard that is too full is split
-at random, its vectors then asking every part. Graphs are flat arrays of neighbours per layer, built and walked in batches of numpy operations;
-the candidates found are ranked by the exact cosine in double precision, rounded to six decimals, the smaller uuid first among equals.
+Shards are groups of neighbouring Voronoi cells in a projection. Cells come in two levels: the centroids of the first are fitted on a
+bounded sample (SAMPLE), those of the second per first cell, in the cluster, each on a bounded sample of its own (CELL_SAMPLE), so that
+their number grows with the rows and a shard keeps its size. Every usable vector is indexed, in one shard. A vector near a border asks up
+to ASK neighbouring shards too. Graphs are flat arrays of neighbours per layer, built and walked in batches of numpy operations; the
+candidates found are ranked by the exact cosine in double precision, rounded to six decimals, the smaller uuid first among equals, and a
+row is a candidate of each of its own candidates.
 
 Usable are vectors of DIM finite numbers that are not all zero; of several for one uuid the smallest in bytes counts. Null uuids are left
 out. Vectors of one direction, as nearly as six decimals tell, are one node of a graph that stands for all their uuids. A row of which the
 candidates cannot settle the ten, as more may tie with the tenth or as a node's members may round differently, is compared with its whole
-shard. Fewer than two usable vectors give no pairs.
+shard. Of a direction that fills a large part of a shard only the smallest uuids are indexed; the others have the same neighbours and get
+them by a join. A shard that is too full all the same is split at random, its vectors then asking every part. Fewer than two usable
+vectors give no pairs. Building the result runs jobs: a count, the two fits and the search, whose result is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,14 +28,19 @@ from pyspark.sql import functions as F
 from graphloom.session import written
 
 DIM, TOP = 384, 10
-#: Rows of the fitted sample, at most; dimensions of the projection for cells; members of a shard, at most, by the sample's counts.
+#: Rows of the first fitted sample, at most; dimensions of the projection for cells; members of a shard, at most, by the sample's counts.
 SAMPLE, LOW, MOST = 12_000, 64, 16_000
 #: Cells for each shard's worth of rows, and sampled rows that a cell needs at least.
 CELLS, ROWS_A_CELL = 24, 40
-#: A neighbouring shard is asked if one of its centroids is at most so many times as far as the nearest.
-SPILL = 1.08
+#: Cells of the first level, at most, where one level is not enough; cells of the second level for each shard's worth of rows; rows of the
+#: sample on which those of one first cell are fitted, at most. So there are never more than 256 * 1,000 centroids.
+FIRST, LEAVES, CELL_SAMPLE = 256, 4, 40_000
+#: Other shards that a vector asks, at most; one is asked if its nearest centroid is at most so many times as far as the nearest of all.
+ASK, SPILL = 2, 1.12
+#: Members that a direction needs for only its smallest uuids to be indexed.
+HOT = 4_000
 #: Links of a node (twice as many in the lowest layer), the beam while building and while asking, candidates ranked exactly.
-LINKS, BEAM_BUILD, BEAM, RANKED = 16, 56, 76, 24
+LINKS, BEAM_BUILD, BEAM, RANKED = 20, 32, 32, 24
 BATCH = 512
 #: Directions at most so far apart (their cosine then rounds to 1) are one node; rounds of looking for them, and the width of a cell.
 NEAR, NEAR_ROUNDS, NEAR_CELL = 1e-3, 4, 2e-2
@@ -101,7 +110,7 @@ class Hnsw:
         best = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
         nbr[rows], sim[rows] = np.take_along_axis(all_i, best, axis=1), np.take_along_axis(all_s, best, axis=1)
 
-    def _entries(self, q: np.ndarray, below: int, many: int = 4) -> np.ndarray:
+    def _entries(self, q: np.ndarray, below: int, many: int = 8) -> np.ndarray:
         """Good nodes of the layer above `below` to begin at, found from the top down."""
         top = len(self.layers) - 1
         if below >= top:
@@ -109,7 +118,7 @@ class Hnsw:
         at = np.zeros((len(q), 1), np.int32)
         for k in range(top, below, -1):
             size = len(self.layers[k][0])
-            if size <= 256:  # few nodes: the beam holds them all
+            if size <= 2048:  # few nodes: the beam holds them all
                 s = q @ self.x[:size].T
                 keep = min(many, size)
                 at = np.argpartition(-s, keep - 1, axis=1)[:, :keep].astype(np.int32)
@@ -179,15 +188,14 @@ class Hnsw:
             part = slice(at, min(len(q), at + BATCH))
             x = np.ascontiguousarray(q[part], dtype=np.float32)
             here = np.full(len(x), -1) if member is None else member[part]
-            entry = np.full((len(x), 9), -1, np.int32)
+            entry = np.full((len(x), 16), -1, np.int32)
             known = here >= 0
             if known.any():  # a node's own links are where its walk begins
                 p = place[here[known]]
                 entry[known, 0] = p
-                entry[known, 1:] = nbr[p][:, :8]
-            if (~known).any():
-                e = self._entries(x[~known], 0)
-                entry[~known, : e.shape[1]] = e
+                entry[known, 1:8] = nbr[p][:, :7]
+            e = self._entries(x, 0)
+            entry[:, 8 : 8 + e.shape[1]] = e
             ids, _ = self._walk(0, x, entry, beam, len(self.x))
             out[part] = np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1)
         return out
@@ -227,29 +235,141 @@ def _conflicts(vectors: DataFrame) -> bool:
     return not h.groupBy("uuid").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty()
 
 
-def _fit(vectors: DataFrame, n: int, low: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Projection, centroids, the shard of each cell and the parts of each shard, from at most SAMPLE rows, the same at every run."""
-    share = min(1.0, 0.9 * SAMPLE / max(1, n))
-    chosen = vectors.where(F.pmod(F.xxhash64("uuid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-    got = usable(chosen, dim).limit(SAMPLE).toPandas().drop_duplicates("uuid").sort_values("uuid")
+class Cells:
+    """Where a vector belongs: a projection, first centroids, and per first cell its centroids with their shards."""
+
+    def __init__(self, basis: np.ndarray, top: np.ndarray, leaves: list[np.ndarray], shard: list[np.ndarray], parts: np.ndarray):
+        self.basis, self.top, self.leaves, self.shard, self.parts = basis, top, leaves, shard, parts
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+        return unit @ self.basis
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shard of each row, and the other shards that it asks (-1 for none), nearest first."""
+        z = self.project(x)
+        near = _nearest(z, self.top, 3)[0]
+        keep = 2 * (ASK + 1)
+        dist, at = np.full((len(z), near.shape[1] * keep), np.inf, np.float32), np.full((len(z), near.shape[1] * keep), -1, np.int64)
+        for t in np.unique(near):
+            rows, col = np.nonzero(near == t)
+            i, d = _nearest(z[rows], self.leaves[t], keep)
+            spot = col[:, None] * keep + np.arange(i.shape[1])
+            dist[rows[:, None], spot], at[rows[:, None], spot] = d, self.shard[t][i]
+        order = np.argsort(dist, axis=1, kind="stable")
+        dist, at = np.take_along_axis(dist, order, axis=1), np.take_along_axis(at, order, axis=1)
+        others = np.full((len(z), ASK), -1, np.int64)
+        n = np.zeros(len(z), int)
+        for c in range(1, at.shape[1]):
+            new = (n < ASK) & (at[:, c] >= 0) & (dist[:, c] <= SPILL * dist[:, 0]) & (at[:, c] != at[:, 0]) & ~(others == at[:, c, None]).any(axis=1)
+            others[new, n[new]] = at[new, c]
+            n += new
+        return at[:, 0], others
+
+
+def _nearest(z: np.ndarray, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest centroids of each row and how far they are."""
+    k = min(k, len(centre))
+    d = np.sqrt(np.maximum(0.0, (z**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * z @ centre.T))
+    i = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return i, np.take_along_axis(d, i, axis=1)
+
+
+def _means(z: np.ndarray, cells: int, seed: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of the rows of z and the nearest one of each row."""
+    cells = max(1, min(cells, len(z)))
+    rng = np.random.default_rng(seed)
+    centre = z[rng.choice(len(z), cells, replace=False)].astype(np.float32) if len(z) else np.zeros((1, z.shape[1]), np.float32)
+    near = np.zeros(len(z), int)
+    for r in range(rounds + 1):
+        half = 0.5 * (centre**2).sum(axis=1)
+        for i in range(0, len(z), 4096):
+            near[i : i + 4096] = np.argmax(z[i : i + 4096] @ centre.T - half, axis=1)
+        if r == rounds or not len(z):
+            break
+        count = np.bincount(near, minlength=cells)
+        order = np.argsort(near, kind="stable")
+        at = np.flatnonzero(np.diff(np.r_[-1, near[order]]))
+        centre[near[order][at]] = np.add.reduceat(z[order], at, axis=0) / count[near[order][at]][:, None]
+    return centre, near
+
+
+def _chosen(vectors: DataFrame, share: float, salt: int = 0) -> DataFrame:
+    """A share of the rows by the hash of their uuid: the same at every run."""
+    return vectors.where(F.pmod(F.xxhash64("uuid", F.lit(salt)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
+
+
+def _fit(vectors: DataFrame, n: int, low: int, dim: int) -> Cells:
+    """Cells and shards for n rows; one level where the first sample is enough for all cells."""
+    got = usable(_chosen(vectors, min(1.0, 0.9 * SAMPLE / max(1, n))), dim).limit(SAMPLE).toPandas().drop_duplicates("uuid").sort_values("uuid")
     x = unpack(list(got["v"]), dim).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     _, basis = np.linalg.eigh(x.T @ x)
     basis = basis[:, ::-1][:, :low].astype(np.float32)
     z = (x.astype(np.float32) @ basis).astype(np.float32)
-    cells = max(1, min(len(z) // ROWS_A_CELL, CELLS * -(-n // MOST)))
-    rng = np.random.default_rng(11)
-    centre = z[rng.choice(len(z), cells, replace=False)] if len(z) else np.zeros((1, low), np.float32)
-    near = np.zeros(len(z), int)
-    for _ in range(12):
-        near = np.argmax(z @ centre.T - 0.5 * (centre**2).sum(axis=1), axis=1) if len(z) else near
-        for c in range(cells):
-            if (near == c).any():
-                centre[c] = z[near == c].mean(axis=0)
-    count = np.bincount(near, minlength=cells) / max(1, len(z)) * n
-    shard = _grouped(centre, count, MOST)
-    full = np.bincount(shard, weights=count)
-    return basis, centre, shard, np.maximum(1, np.ceil(1.1 * full / MOST - 0.1).astype(int))
+    shards = -(-n // MOST)
+    if CELLS * shards * ROWS_A_CELL <= SAMPLE:
+        centre, near = _means(z, max(1, min(len(z) // ROWS_A_CELL, CELLS * shards)), 11)
+        count = np.bincount(near, minlength=len(centre)) / max(1, len(z)) * n
+        shard = _grouped(centre, count, MOST)
+        # one first cell: every leaf belongs to it
+        return Cells(basis, np.zeros((1, basis.shape[1]), np.float32), [centre], [shard], _parts(np.bincount(shard, weights=count)))
+    top, near = _means(z, int(min(FIRST, len(z) // ROWS_A_CELL, np.ceil(np.sqrt(shards)))), 11)
+    count = np.maximum(1.0, np.bincount(near, minlength=len(top)) / max(1, len(z)) * n)
+    leaves, shard, full = _second_level(vectors, dim, basis, top, count)
+    return Cells(basis, top, leaves, shard, _parts(full))
+
+
+def _parts(full: np.ndarray) -> np.ndarray:
+    return np.maximum(1, np.ceil(1.1 * full / MOST - 0.5).astype(int))
+
+
+def _second_level(vectors: DataFrame, dim: int, basis: np.ndarray, top: np.ndarray, count: np.ndarray) -> tuple[list, list, np.ndarray]:
+    """Per first cell its centroids and their shards, numbered through, with the rows expected in each shard.
+
+    Each first cell is fitted in a task of its own, on at most CELL_SAMPLE of its rows.
+    """
+    wanted = np.minimum(CELL_SAMPLE, ROWS_A_CELL * LEAVES * np.ceil(count / MOST))
+    share = np.minimum(1.0, wanted / count)
+    rate = min(1.0, 1.2 * float(share.max()))  # chosen before vectors are unpacked; of those, each cell takes its part
+    shared = vectors.sparkSession.sparkContext.broadcast((basis, top, share, rate))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        basis, top, share, rate = shared.value
+        cells = Cells(basis, top, [], [], np.zeros(0))
+        for b in batches:
+            if not len(b):
+                continue
+            z = cells.project(unpack(list(b["v"]), dim))
+            t = _nearest(z, top, 1)[0][:, 0]
+            ok = (pd.util.hash_array(b["uuid"].to_numpy(dtype=object)) / 2.0**64) < share[t] / rate
+            yield pd.DataFrame({"top": t[ok].astype(np.int32), "uuid": b["uuid"].to_numpy()[ok], "z": [r.tobytes() for r in z[ok].astype(np.float32)]})
+
+    def second(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        share = shared.value[2]
+        b = b.drop_duplicates("uuid").sort_values("uuid")
+        b = b.iloc[: 2 * CELL_SAMPLE]  # never reached: the expected number is CELL_SAMPLE at most
+        z = np.frombuffer(b"".join(b["z"]), np.float32).reshape(len(b), -1)
+        rows = len(b) / share[key[0]]
+        centre, near = _means(z, int(LEAVES * np.ceil(rows / MOST)), 13)
+        full = np.bincount(near, minlength=len(centre)) / max(1, len(z)) * rows
+        return pd.DataFrame({"top": np.int32(key[0]), "leaf": np.arange(len(centre), dtype=np.int32), "shard": _grouped(centre, full, MOST).astype(np.int32), "full": full, "centre": [c.tobytes() for c in centre.astype(np.float16)]})
+
+    got = usable(_chosen(vectors, rate), dim).mapInPandas(first, "top int, uuid string, z binary").repartition(max(8, len(top)), "top").groupBy("top").applyInPandas(second, "top int, leaf int, shard int, full double, centre binary").toPandas()
+    leaves, shard, full, base = [], [], [], 0
+    for t in range(len(top)):
+        mine = got[got["top"] == t].sort_values("leaf")
+        if len(mine):
+            leaves.append(np.frombuffer(b"".join(mine["centre"]), np.float16).astype(np.float32).reshape(len(mine), -1))
+            local = mine["shard"].to_numpy().astype(np.int64)
+        else:
+            leaves.append(top[t : t + 1])
+            local = np.zeros(1, np.int64)
+        weight = np.bincount(local, weights=mine["full"]) if len(mine) else np.zeros(1)
+        shard.append(local + base)
+        full.append(weight)
+        base += len(weight)
+    return leaves, shard, np.concatenate(full)
 
 
 def _grouped(centre: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
@@ -267,35 +387,61 @@ def _grouped(centre: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
     return np.unique(root, return_inverse=True)[1]
 
 
-def _assign(rows: DataFrame, basis: np.ndarray, centre: np.ndarray, shard: np.ndarray, parts: np.ndarray, dim: int) -> DataFrame:
+def _assign(rows: DataFrame, cells: Cells, dim: int) -> DataFrame:
     """(shard, part, uuid, v, member, several): where each vector is indexed (member) or only asks; `several` if it asks more than once."""
-    shared = rows.sparkSession.sparkContext.broadcast((basis, centre, shard, parts))
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        basis, centre, shard, parts = shared.value
+        cells = shared.value
         for b in batches:
-            x = unpack(list(b["v"]), dim)
-            x /= np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-            z = x @ basis
-            d = np.sqrt(np.maximum(0.0, (z**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * z @ centre.T))
-            order = np.argsort(d, axis=1)[:, :4]
-            near = np.take_along_axis(d, order, axis=1)
-            cell = shard[order]
-            home = cell[:, 0]
-            other = (cell != home[:, None]) & (near <= SPILL * near[:, :1])
-            second = np.where(other.any(axis=1), cell[np.arange(len(b)), np.argmax(other, axis=1)], -1)
-            h = pd.util.hash_array(b["uuid"].to_numpy(dtype=object)).astype(np.uint64)
-            place = (h % parts[home].astype(np.uint64)).astype(int)
-            several = (second >= 0) | (parts[home] > 1)
-            for c, mine in ((home, True), (second, False)):
-                for part in range(int(parts.max())):
-                    ok = (c >= 0) & (part < parts[np.maximum(c, 0)])
-                    if ok.any():
-                        yield pd.DataFrame({"shard": c[ok], "part": part, "uuid": b["uuid"].to_numpy()[ok], "v": b["v"].to_numpy()[ok], "member": (place[ok] == part) & mine, "several": several[ok]})
+            if not len(b):
+                continue
+            home, others = cells.place(unpack(list(b["v"]), dim))
+            uuid, v = b["uuid"].to_numpy(dtype=object), b["v"].to_numpy()
+            place = (pd.util.hash_array(uuid).astype(np.uint64) % cells.parts[home].astype(np.uint64)).astype(int)
+            several = (others >= 0).any(axis=1) | (cells.parts[home] > 1)
+            for c, mine in ((home, True), *((others[:, k], False) for k in range(others.shape[1]))):
+                count = np.where(c >= 0, cells.parts[np.maximum(c, 0)], 0)
+                for part in range(int(count.max(initial=0))):
+                    ok = part < count
+                    yield pd.DataFrame({"shard": c[ok].astype(np.int32), "part": np.int32(part), "uuid": uuid[ok], "v": v[ok], "member": (place[ok] == part) & mine, "several": several[ok]})
 
     return rows.mapInPandas(run, "shard int, part int, uuid string, v binary, member boolean, several boolean")
 
 
+def _directed(rows: DataFrame, dim: int) -> DataFrame:
+    """`rows` with `way`, a hash of the vector's direction on a grid so fine that those of one value have cosines that round to one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mix = np.random.default_rng(17).integers(-(1 << 62), 1 << 62, dim)
+        for b in batches:
+            x = unpack(list(b["v"]), dim).astype(np.float64)
+            grid = np.rint(x / np.linalg.norm(x, axis=1, keepdims=True) * 65536.0).astype(np.int64)
+            with np.errstate(over="ignore"):
+                yield b.assign(way=(grid * mix).sum(axis=1))
+
+    return rows.mapInPandas(run, "uuid string, v binary, way long")
+
+
+def _thinned(rows: DataFrame, dim: int, top: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows to be indexed, and (uuid, lead, last) of the rows left out: the smallest and the largest uuid indexed of their direction.
+
+    Left out are, of a direction with HOT rows or more, all but the smallest top + 1 uuids: each of those left out has ten nearest that
+    are nearest to the smallest uuid as well, as all of their cosines round to one.
+    """
+    ways = _directed(rows, dim).select("uuid", "way")
+    hot = ways.groupBy("way").count().where(F.col("count") >= HOT).select("way")  # at most a row for every HOT rows given
+    if hot.isEmpty():
+        return rows, None
+    mine = ways.join(hot, "way")
+    w = Window.partitionBy("way").orderBy("uuid")
+    kept = mine.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1)  # cut down in each task before the shuffle
+    kept = written(kept, "directions")
+    last = kept.groupBy("way").agg(F.max("uuid").alias("last"), F.min("uuid").alias("lead"))
+    left = written(mine.join(last, "way").where(F.col("uuid") > F.col("last")).select("uuid", "lead", "last"), "copies")
+    return rows.join(left.select("uuid"), "uuid", "left_anti"), left
+
+
 def _directions(x: np.ndarray) -> np.ndarray:
     """For each row of x, of length one, the row that stands for its direction: one within about NEAR of it. A few may stay apart."""
     rep = np.arange(len(x))
@@ -355,7 +501,7 @@ def shard_neighbours(uuids: np.ndarray, full: np.ndarray, member: np.ndarray, to
         out_s[rows[:, None], np.arange(k)] = np.where(real, np.take_along_axis(sims, best, axis=1), -2.0)
 
     beam = min(BEAM, max(8, len(nodes)))
-    open_rows = []
+    open_rows, forth, back, how = [], [], [], []
     for at in range(0, len(uuids), BATCH):
         rows = np.arange(at, min(len(uuids), at + BATCH))
         cand = graph.ask(unit[rows], node_of[rows], beam=beam)[:, :RANKED]
@@ -371,11 +517,17 @@ def shard_neighbours(uuids: np.ndarray, full: np.ndarray, member: np.ndarray, to
         sim = np.round(cos, 6)
         ids = names[np.maximum(cand, 0)].reshape(len(rows), -1)
         keep(rows, ids, np.repeat(sim, wide, axis=1), (ids < 0) | np.repeat(cand < 0, wide, axis=1) | (ids == rows[:, None]))
+        real = (ids >= 0) & ~np.repeat(cand < 0, wide, axis=1) & (ids != rows[:, None])
+        forth.append(np.repeat(rows, real.sum(axis=1)).astype(np.int32))
+        back.append(ids[real].astype(np.int32))
+        how.append(np.round(np.repeat(2.0 - sim, wide, axis=1)[real] * 1e6).astype(np.int32))
         least = out_s[rows].min(axis=1) - 1.5e-6  # what may tie with the last that is kept
         more = (ranked == RANKED) & (cand[:, ranked - 1] >= 0) & (sim[:, ranked - 1] >= least - reach.max(initial=0.0))
         far = np.where(cand >= 0, reach[np.maximum(cand, 0)], 0.0)
         split = (far > 0) & (np.round(cos - far, 6) != np.round(cos + far, 6)) & (cos + far >= least[:, None])
         open_rows.append(rows[more | split.any(axis=1)])
+    if forth:
+        _both_ways(np.concatenate(forth), np.concatenate(back), np.concatenate(how), out_i, out_s)
     asked = np.concatenate(open_rows) if open_rows else np.empty(0, int)
     whole = full[mem].astype(np.float64) if len(asked) else None
     for i in range(0, len(asked), 64):
@@ -386,6 +538,27 @@ def shard_neighbours(uuids: np.ndarray, full: np.ndarray, member: np.ndarray, to
     return out_i, out_s
 
 
+def _both_ways(forth: np.ndarray, back: np.ndarray, how: np.ndarray, out_i: np.ndarray, out_s: np.ndarray) -> None:
+    """Takes each row as a candidate of its candidates too: `how` is 2 - cosine in millionths, the same from both ends."""
+    top = out_i.shape[1]
+    worst = np.round((2.0 - out_s[:, -1]) * 1e6).astype(np.int64)
+    worst[out_i[:, -1] < 0] = np.iinfo(np.int64).max
+    worst = np.maximum(worst, np.round((2.0 - out_s.min(axis=1)) * 1e6).astype(np.int64))
+    ok = how <= worst[back]  # others change nothing
+    to, new, cost = back[ok].astype(np.int64), forth[ok].astype(np.int64), how[ok].astype(np.int64)
+    rows, cols = np.nonzero(out_i >= 0)
+    to, new, cost = np.r_[rows, to], np.r_[out_i[rows, cols], new], np.r_[np.round((2.0 - out_s[rows, cols]) * 1e6).astype(np.int64), cost]
+    o = np.lexsort((new, cost, to))
+    to, new, cost = to[o], new[o], cost[o]
+    first = np.r_[True, (to[1:] != to[:-1]) | (new[1:] != new[:-1]) | (cost[1:] != cost[:-1])] if len(to) else np.zeros(0, bool)
+    to, new, cost = to[first], new[first], cost[first]
+    begin = np.flatnonzero(np.r_[True, np.diff(to) > 0]) if len(to) else np.empty(0, int)
+    rank = np.arange(len(to)) - np.repeat(begin, np.diff(np.r_[begin, len(to)]))
+    keep = rank < top
+    out_i[to[keep], rank[keep]] = new[keep]
+    out_s[to[keep], rank[keep]] = 2.0 - cost[keep] / 1e6
+
+
 def _search(dim: int, top: int):
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("uuid").sort_values("uuid", ignore_index=True)
@@ -416,17 +589,86 @@ def nearest_pairs(vectors: DataFrame, top: int = TOP, dim: int = DIM, low: int =
     if _conflicts(vectors):
         rows = rows.groupBy("uuid").agg(F.min("v").alias("v"))
     n = vectors.where(F.col("uuid").isNotNull() & (F.size("embedding") == dim)).count()
-    basis, centre, shard, parts = _fit(vectors, n, min(low, dim), dim)
-    placed = _assign(rows, basis, centre, shard, parts, dim)
-    cells = int(parts.sum())
-    spots = placed.repartition(8 * cells, "shard", "part") if cells > 1 else placed  # few keys: else they often meet in one task
+    every = rows
+    rows, copies = _thinned(rows, dim, top) if n >= HOT else (rows, None)
+    cells = _fit(vectors, n, min(low, dim), dim)
+    placed = _assign(rows, cells, dim)
+    groups = int(cells.parts.sum())
+    spots = placed.repartition(groups * (8 if groups < 200 else 1), "shard", "part") if groups > 1 else placed  # few keys: else they often meet in one task
     found = spots.groupBy("shard", "part").applyInPandas(_search(dim, top), "kind int, a string, b string, sim double")
     found = written(found, "neighbours")
     w = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
     merged = found.where("kind = 2").groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
     merged = merged.select(F.least("a", "b").alias("uuid_a"), F.greatest("a", "b").alias("uuid_b"))
     shaky = found.where("kind = 1").select(F.col("a").alias("uuid_a"), F.col("b").alias("uuid_b")).unionByName(merged).distinct()
-    return found.where("kind = 0").select(F.col("a").alias("uuid_a"), F.col("b").alias("uuid_b")).unionByName(shaky)
+    out = found.where("kind = 0").select(F.col("a").alias("uuid_a"), F.col("b").alias("uuid_b")).unionByName(shaky)
+    return out if copies is None else _with_copies(out, copies, every, dim, top)
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
+    """The (lead, b) of `pairs` whose cosine rounds to one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (unpack(list(b[c]), dim).astype(np.float64) for c in ("v", "w"))
+            cos = (x * y).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            yield b.loc[np.round(cos, 6) >= 1.0, ["lead", "b"]]
+
+    both = pairs.join(rows.select(F.col("uuid").alias("lead"), "v"), "lead").join(rows.select(F.col("uuid").alias("b"), F.col("v").alias("w")), "b")
+    return both.select("lead", "b", "v", "w").mapInPandas(run, "lead string, b string")
+
+
+def _with_copies(pairs: DataFrame, copies: DataFrame, rows: DataFrame, dim: int, top: int) -> DataFrame:
+    """`pairs` and those of the rows that were not indexed: with the `top` smallest uuids that are alike.
+
+    Those are among the lead, its ten nearest and what has it among its own ten, and no larger than the last uuid indexed of the direction.
+    """
+    leads = copies.select("lead", "last").distinct()
+    near = pairs.select(F.col("uuid_a").alias("lead"), F.col("uuid_b").alias("b")).unionByName(pairs.select(F.col("uuid_b").alias("lead"), F.col("uuid_a").alias("b"))).join(leads, "lead").where("b <= last").select("lead", "b").distinct()
+    near = _alike(near, rows, dim).unionByName(leads.select("lead", F.col("lead").alias("b")))
+    w = Window.partitionBy("lead").orderBy("b")
+    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("lead", "b")
+    more = copies.join(near, "lead").select(F.least("uuid", "b").alias("uuid_a"), F.greatest("uuid", "b").alias("uuid_b"))
+    return pairs.unionByName(more).distinct()
+
+
+def recall(vectors: DataFrame, pairs: DataFrame, top: int = TOP, dim: int = DIM, one_in: int = 100, chunk: int = 100_000) -> DataFrame:
+    """One row: queries, true_pairs (their nearest by brute force), found_pairs (those of them in `pairs`) and recall.
+
+    Queries are all uuids whose hash is divisible by `one_in`, against all rows, in blocks of `chunk` rows: every block gives each query its
+    best, and the best of all blocks count.
+    """
+    rows = usable(vectors, dim).groupBy("uuid").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-vectors.count() // chunk))
+    asked = rows.where(F.pmod(F.xxhash64("uuid"), F.lit(one_in)) == 0)
+    a = rows.withColumn("block", F.pmod(F.xxhash64("uuid", F.lit(1)), F.lit(blocks)).cast("int"))
+    b = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("uuid", "v", "block")
+
+    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"uuid": np.array([], object), "near": np.array([], object), "sim": np.array([], float)})]
+        if len(a) and len(b):
+            a = a.sort_values("uuid", ignore_index=True)
+            names = a["uuid"].to_numpy(dtype=object)
+            x = unpack(list(a["v"]), dim).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for i in range(0, len(b), 256):
+                part = b.iloc[i : i + 256]
+                q = unpack(list(part["v"]), dim).astype(np.float64)
+                s = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T, 6)
+                for r, u in enumerate(part["uuid"]):
+                    k = min(top + 1, len(names))
+                    edge = np.partition(s[r], len(names) - k)[len(names) - k]
+                    near = np.flatnonzero(s[r] >= edge)
+                    near = near[np.lexsort((near, -s[r][near]))]
+                    near = near[names[near] != u][:top]
+                    out.append(pd.DataFrame({"uuid": u, "near": names[near], "sim": s[r][near]}))
+        return pd.concat(out, ignore_index=True)
+
+    near = a.groupBy("block").cogroup(b.groupBy("block")).applyInPandas(best, "uuid string, near string, sim double")
+    w = Window.partitionBy("uuid").orderBy(F.desc("sim"), "near")
+    true = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("uuid", F.least("uuid", "near").alias("uuid_a"), F.greatest("uuid", "near").alias("uuid_b"))
+    j = true.join(pairs.withColumn("hit", F.lit(1)), ["uuid_a", "uuid_b"], "left")
+    return j.agg(F.countDistinct("uuid").alias("queries"), F.count("*").alias("true_pairs"), F.count("hit").alias("found_pairs"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
 def exact_neighbours(full: np.ndarray, queries: np.ndarray, top: int = TOP) -> np.ndarray:

@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": lambda s, d: origin.not_handwritten(t(s, d, "files"), t(s, d, "library_files")),
         "p4_labels": lambda s, d: origin.file_origins(t(s, d, "files"), t(s, d, "library_files")),
         "p5_found": lambda s, d: neighbours.nearest_pairs(t(s, d, "vectors")),
+        "p5_recall": lambda s, d: neighbours.recall(t(s, d, "vectors"), neighbours.nearest_pairs(t(s, d, "vectors"))),
         "p7_packing": lambda s, d: packing.pack(t(s, d, "documents")),
         "p7_summary": lambda s, d: packing.summary(packing.pack(t(s, d, "documents")), t(s, d, "documents")),
         "p6_ids": lambda s, d: bpe.encode_documents(t(s, d, "documents")),

@@ -205,6 +205,58 @@ def test_nearest_pairs(spark):
     assert neighbours.nearest_pairs(df.limit(0), dim=8, low=4).count() == 0
 
 
+def _clustered(spark, n, dim, seed, clusters=60, hot=0):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(clusters, dim))
+    x = (centre[rng.integers(0, clusters, n)] + 0.6 * rng.normal(size=(n, dim))).astype(np.float32)
+    if hot:
+        x[rng.permutation(n)[:hot]] = x[0] * rng.choice([0.5, 1.0, 2.0, 4.0], hot)[:, None]  # a third of all rows in one direction
+    rows = [(f"{i:06d}", [float(v) for v in x[i]]) for i in rng.permutation(n)]
+    return x, spark.createDataFrame(rows, "uuid string, embedding array<float>")
+
+
+def _recall(x, pairs):
+    got = {(int(r.uuid_a), int(r.uuid_b)) for r in pairs.collect()}
+    exact = neighbours.exact_neighbours(x, np.arange(len(x)))
+    want = {(min(i, int(j)), max(i, int(j))) for i, near in enumerate(exact) for j in near}
+    return len(got & want) / len(want), len(got & want) / len(got)
+
+
+@pytest.mark.parametrize("most,sample,n", [(200, 12_000, 2000), (400, 4_000, 6000)])
+def test_many_shards(spark, monkeypatch, most, sample, n):
+    """One level of cells (10 shards or more), then two (15 or more, on a sample that would not do for one level)."""
+    monkeypatch.setattr(neighbours, "MOST", most)
+    monkeypatch.setattr(neighbours, "SAMPLE", sample)
+    monkeypatch.setattr(neighbours, "SPILL", 1.25)
+    x, df = _clustered(spark, n, 16, 3)
+    cells = neighbours._fit(df, n, 12, 16)
+    placed = neighbours._assign(neighbours.usable(df, 16), cells, 16).toPandas()
+    assert (len(cells.top) > 1) == (most == 400) and placed["shard"].nunique() >= 0.8 * n / most and placed.groupby(["shard", "part"])["member"].sum().max() <= 2.5 * most
+    assert placed["member"].sum() == n and placed["uuid"].nunique() == n and placed["several"].any() and not placed["several"].all()
+    found, right = _recall(x, neighbours.nearest_pairs(df, dim=16, low=12))
+    assert found > 0.9 and right > 0.85, (found, right)
+
+
+def test_copies_stay_few_as_shards_grow(spark, monkeypatch):
+    """As many shards as 24 million vectors make with the real MOST: each vector still goes to two shards or fewer, and shards have one part."""
+    monkeypatch.setattr(neighbours, "MOST", 20)
+    x, df = _clustered(spark, 30_000, 32, 5, clusters=400)
+    cells = neighbours._fit(df, 30_000, 16, 32)
+    home, others = cells.place(x)
+    assert len(cells.parts) > 1400 and 1 + (others >= 0).sum() / len(x) <= 2.0 and np.average(cells.parts[home]) < 1.1 and sum(map(len, cells.leaves)) <= 256 * 1000
+
+
+def test_a_direction_with_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HOT", 100)
+    x, df = _clustered(spark, 1500, 16, 9, hot=500)
+    left = neighbours._thinned(neighbours.usable(df, 16), 16, 10)
+    assert left[1].count() >= 480 and left[0].count() + left[1].count() == 1500
+    found, right = _recall(x, neighbours.nearest_pairs(df, dim=16, low=8))
+    assert found > 0.97 and right > 0.95, (found, right)
+    r = neighbours.recall(df, neighbours.nearest_pairs(df, dim=16, low=8), dim=16, one_in=10, chunk=400).first()
+    assert r.queries > 100 and r.true_pairs == 10 * r.queries and r.recall > 0.97
+
+
 @needs_tokenizer
 def test_tree_encoding_is_exact():
     enc = bpe.bpe(tokenizer_path())
