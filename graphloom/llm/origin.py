@@ -1,11 +1,15 @@
 """Where source files come from (problem 4): handwritten, generated, minified, vendored or blob.
 
-Each file gives evidence (logs of likelihoods per label) from its text alone; the labels are then inferred by belief propagation over
-the tree of directories: every directory has a hidden dominant label, files and subdirectories tend to share their parent's, so that
-siblings speak for each other. The tree has no cycles, so one pass up and one pass down, a level at a time, are exact. Messages of a
-directory's entries are summed before they are shuffled; no directory or repository is ever gathered into one task.
-
-Null, empty and blank contents give no evidence of their own; null paths and file_ids are left out; repeated deliveries count once.
+Each file gives evidence (logs of likelihoods per label, against handwritten) from its own text and name; the labels are then inferred by
+belief propagation over the tree of directories: every directory has a hidden dominant label, files and subdirectories tend to share their
+parent's, so that siblings speak for each other. Evidence is graded by how much text there is: a long file speaks for itself, one of a
+few lines leaves the word to its folder. The tree has no cycles, so one pass up and one pass down are exact. Messages of a directory's
+entries are summed before they are shuffled. Directories of a repository are worked off in one task where they are few (MANY), else a
+level at a time over all tasks; the results are equal.
+
+Null, empty and blank contents give no evidence of their own and count as written by hand, whatever stands beside them; null paths and
+file_ids are left out; repeated deliveries count once. Building the result runs jobs: one that sums the messages per directory and, only
+where a repository has more than MANY directories, two a level.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -27,13 +31,16 @@ from graphloom.session import cut
 
 LABELS = ("hand", "generated", "minified", "vendored", "blob")
 #: P(a child's label = its directory's) against each other label.
-SAME, OTHER = 0.60, 0.10
+SAME, OTHER = 0.80, 0.05
+#: Directories of a repository, at most, that are worked off in one task.
+MANY = 50_000
 #: A library of known third-party files up to this many characters travels to the tasks; a longer one is joined by its shingles.
 SMALL_LIBRARY = 20_000_000
 WORDS = 5
-COPY = 0.8
-#: Shingles that a file needs to be called a copy.
-LEAST = 20
+#: Shares of shingles below this are as good as none.
+FLOOR = 0.4
+#: Tasks over which the files of one directory are spread, at most.
+SALTS = 16
 
 # Names of directories and what they say, in logs; weak, since hand-written code may live anywhere.
 DIRECTORIES = {
@@ -43,6 +50,11 @@ DIRECTORIES = {
 }
 DIRECTORY_SAYS = {"generated": 1.0, "vendored": 0.3, "minified": 0.5}
 ROOT = (1.5, 0.0, 0.0, 0.0, 0.0)
+#: How much likelier a file is handwritten than anything else before it is read, in logs; a blank one.
+HAND, BLANK = 2.0, 9.0
+# How often a sign is seen in the label it speaks for, and in handwritten files: lines of the commonest shape, lines alike up to numbers, and
+# five-word runs known from a library.
+SHAPE, TWIN, KNOWN = (0.55, 0.12), (0.40, 0.05), (0.90, 0.15)
 
 _MARK = re.compile(
     r"@generated\b|\bauto-?generated\b|automatically (?:generated|produced|created)|code generated by|generated (?:by|on|from|with|code|file|automatically)|"
@@ -77,86 +89,127 @@ def head_mark(text: str) -> bool:
     return False
 
 
-def evidence(path: str, text: str | None, copied: float) -> tuple[float, ...]:
-    """Logs of likelihoods per label from the file's name, text and similarity to known third-party files."""
+def _weight(n: float, few: float, many: float) -> float:
+    """How many independent signs n are worth: nearly none of a few, and no more than `many` however long the file."""
+    return n / (1 + n / many) * n / (n + few) if n else 0.0
+
+
+def _odds(share: float, n: float, rates: tuple[float, float], few: float, many: float) -> float:
+    """The log of the likelihoods' ratio of seeing a sign in `share` of n places, by its rates."""
+    p, q = rates
+    return _weight(n, few, many) * (share * math.log(p / q) + (1 - share) * math.log((1 - p) / (1 - q)))
+
+
+def _ramp(x: float, low: float, high: float) -> float:
+    return min(1.0, max(0.0, (x - low) / (high - low)))
+
+
+_NUMBER, _IDENT, _DIGITS = re.compile(r"\b\d\w*"), re.compile(r"\b[^\W\d]\w*"), re.compile(r"\d+")
+
+
+def evidence(path: str, text: str | None, copied: float, n: int) -> tuple[float, ...]:
+    """Logs of likelihoods per label from the file's name, text and the share `copied` of its n shingles that a known third-party file has."""
     e = dict.fromkeys(LABELS, 0.0)
     name = path.rsplit("/", 1)[-1].lower()
     ext = name.rsplit(".", 1)[-1]
+    if not text or not text.strip():
+        e["hand"] = BLANK
+        return tuple(e[x] for x in LABELS)
+    e["hand"] = HAND
     if _NAMED.search(name):
         e["minified"] += 1.5
     if _GEN_NAMED.search(name):
         e["generated"] += 1.0
-    if not text or not text.strip():
-        e["hand"] += 2.0
-        return tuple(e[x] for x in LABELS)
-    if copied >= COPY:
-        e["vendored"] += 9.0
-    elif copied >= 0.6:
-        e["vendored"] += 3.0
+    e["vendored"] += _odds(copied if copied >= FLOOR else 0.0, n, KNOWN, 10, 30)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    lines = [x for x in text.split("\n") if x.strip()]
-    n_chars = sum(map(len, lines))
-    long_share = sum(len(x) for x in lines if len(x) > 200) / n_chars
-    blank_share = sum(map(str.isspace, text)) / len(text)
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    sizes = [len(x) for x in lines]
+    code_chars = max(1, len("".join(text.split())))
+    long_share = sum(k for k in sizes if k > 200) / sum(sizes)
+    blank_share = 1 - code_chars / len(text)
     toks = _TOKEN.findall(text)
-    literal = sum(1 for t in toks if t[0] in "\"'`" or t[0].isdigit())
-    literal_chars = sum(len(t) for t in toks if t[0] in "\"'`" or t[0].isdigit())
-    code_chars = max(1, sum(1 for c in text if not c.isspace()))
-    told = head_mark(text)
-    if told:
-        e["generated"] += 5.0
-    if long_share > 0.6 and blank_share < 0.08 and literal < 0.6 * max(1, len(toks)):
-        e["minified"] += 7.0
-    if len(toks) >= 8 and (literal > 0.7 * len(toks) or literal_chars > 0.75 * code_chars) and ext not in ("css", "scss", "html"):
-        if n_chars > 300:
-            e["blob"] += 7.0
-    shapes = Counter(re.sub(r"\w+", lambda m: "9" if m.group()[0].isdigit() else "a", x.strip()) for x in lines)
-    del shapes["}"], shapes[")"], shapes["*/"]
-    top = max(shapes.values(), default=0) / len(lines)
-    numbers = Counter(re.sub(r"\d+", "9", x.strip()) for x in lines if any(map(str.isdigit, x)))
-    twin = max(numbers.values(), default=0) / len(lines)
-    if ext not in ("css", "scss", "html") and len(lines) >= 12 and (top > 0.38 or twin > 0.3):
-        e["generated"] += 6.0
-    if not any(v >= 3 for k, v in e.items() if k != "hand"):
-        e["hand"] += 4.0 if len(lines) >= 12 else 3.0
+    literals = [t for t in toks if t[0] in "\"'`" or t[0].isdigit()]
+    literal, literal_chars = len(literals) / max(1, len(toks)), sum(map(len, literals)) / code_chars
+    sure = max(len(toks) / (len(toks) + 8), code_chars / (code_chars + 300))
+    dense = _ramp(long_share, 0.45, 0.75) * _ramp(-blank_share, -0.10, -0.06) * _ramp(-literal, -0.7, -0.5)
+    e["minified"] += sure * (7.0 * dense - 3.0 * (1 - dense))
+    if ext in ("css", "scss", "html"):  # their lines are alike and full of values whoever wrote them
+        e["blob"] -= 3.0 * sure
+        shape = twin = 0.0
+    else:
+        data = max(_ramp(literal, 0.6, 0.78), _ramp(literal_chars, 0.65, 0.85))
+        e["blob"] += sure * (9.0 * data - 3.0 * (1 - data))
+        plain = _NUMBER.sub("9", "\n".join(lines))
+        shapes = Counter(_IDENT.sub("a", plain).split("\n"))
+        del shapes["}"], shapes[")"], shapes["*/"]
+        shape = max(shapes.values(), default=0) / len(lines)
+        numbers = Counter(b for a, b in zip(lines, _DIGITS.sub("9", "\n".join(lines)).split("\n")) if a != b or "9" in a)
+        twin = max(numbers.values(), default=0) / len(lines)
+        e["generated"] += max(_odds(shape, len(lines), SHAPE, 3, 30), _odds(twin, len(lines), TWIN, 2, 30))
+    if head_mark(text):
+        e["generated"] = max(0.0, e["generated"]) + 6.0
     return tuple(e[x] for x in LABELS)
 
 
-def _library(library_files: DataFrame) -> dict[int, list[int]] | None:
-    """Shingle -> files of the library; None if the library is too long to be sent to tasks."""
+def _library(library_files: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted shingles of the library and the file of each, as two flat arrays; None if the library is too long to be sent to tasks.
+
+    Bounded: SMALL_LIBRARY characters are at most a shingle for every two of them, 12 bytes each.
+    """
     size = library_files.agg(F.sum(F.length("content"))).first()[0] or 0
     if size > SMALL_LIBRARY:
         return None
-    found: dict[int, list[int]] = {}
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
     for k, r in enumerate(library_files.select("content").where("content is not null").collect()):
-        for s in shingles(r.content):
-            found.setdefault(s, []).append(k)
-    return found
+        s = shingles(r.content)
+        keys.append(np.fromiter(s, np.uint64, len(s)))
+        owners.append(np.full(len(s), k, np.int32))
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    o = np.argsort(keys, kind="stable")
+    return keys[o], owners[o]
+
+
+def _share(s: set[int], known: tuple[np.ndarray, np.ndarray]) -> float:
+    """The largest share of the shingles that one file of the library has."""
+    keys, owners = known
+    if not s or not len(keys):
+        return 0.0
+    x = np.fromiter(s, np.uint64, len(s))
+    lo, hi = np.searchsorted(keys, x, "left"), np.searchsorted(keys, x, "right")
+    lo, hi = lo[hi > lo], hi[hi > lo]
+    if not len(lo):
+        return 0.0
+    if int((hi - lo).max()) == 1:
+        return float(np.bincount(owners[lo]).max()) / len(s)
+    at = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange(int((hi - lo).sum()))
+    return float(np.bincount(owners[at]).max()) / len(s)
 
 
 def _similarity_join(files: DataFrame, library_files: DataFrame) -> DataFrame:
-    """The files with copied: the largest share of a content's shingles that one library file holds, by a shuffled join on shingles.
+    """The files with copied (the largest share of a content's shingles that one library file holds, null if below FLOOR), by shuffled joins.
 
-    Each content is cut up once, however often it is delivered; a content of fewer than LEAST shingles is no copy.
+    Each content is cut up once, however often it is delivered. A library file that holds FLOOR of a content's n shingles holds one of the
+    n - FLOOR n + 1 that are rarest in the library: only those are joined, so that a licence text that all have brings nobody together; the
+    pairs found are then counted exactly.
     """
 
-    def cut_up(least: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for k, text in zip(b["k"], b["content"]):
-                    s = shingles(text)
-                    if len(s) >= least:
-                        yield pd.DataFrame({"k": k, "n": len(s), "s": [x - (1 << 63) for x in s]})
-
-        return run
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"k": b["k"], "s": [[x - (1 << 63) for x in shingles(t)] for t in b["content"]]})
 
-    def pieces(df: DataFrame, least: int) -> DataFrame:
+    def pieces(df: DataFrame) -> DataFrame:
         texts = df.where("content is not null").select(F.md5("content").alias("k"), "content").dropDuplicates(["k"])
-        return texts.mapInPandas(cut_up(least), "k string, n long, s long")
-
-    b = pieces(library_files, 1).select(F.col("k").alias("lib"), "s")
-    hits = pieces(files, LEAST).join(b, "s").groupBy("k", "n", "lib").count()
-    shares = hits.groupBy("k").agg(F.max(F.col("count") / F.col("n")).alias("copied"))
+        return cut(texts.mapInPandas(cut_up, "k string, s array<long>").where(F.size("s") > 0))
+
+    a, b = pieces(files), pieces(library_files)
+    posted = b.select(F.col("k").alias("lib"), F.explode("s").alias("x"))
+    common = posted.groupBy("x").agg(F.count("*").alias("df"))
+    single = a.select("k", F.size("s").alias("n"), F.explode("s").alias("x")).join(common, "x", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    w = Window.partitionBy("k").orderBy("df", "x")
+    rare = single.withColumn("r", F.row_number().over(w)).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * FLOOR) + 1) & (F.col("df") > 0))
+    pairs = rare.join(posted, "x").select("k", "lib").distinct()
+    both = pairs.join(a, "k").join(b.select(F.col("k").alias("lib"), F.col("s").alias("t")), "lib")
+    shares = both.groupBy("k").agg(F.max(F.size(F.array_intersect("s", "t")) / F.size("s")).alias("copied")).where(F.col("copied") >= FLOOR)
     return files.withColumn("k", F.md5("content")).join(shares, "k", "left").drop("k")
 
 
@@ -176,13 +229,10 @@ def file_evidence(files: DataFrame, library_files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for file_id, repo, path, text, copied in zip(b["file_id"], b["repo_name"], b["path"], b["content"], b["copied"]):
-                if known is not None and text:
-                    s = shingles(text)
-                    hits: Counter = Counter()
-                    for x in s:
-                        hits.update(known.get(x, ()))
-                    copied = max(hits.values(), default=0) / len(s) if len(s) >= LEAST else 0.0
-                rows.append((file_id, repo, path, evidence(path, text, 0.0 if copied is None or math.isnan(copied) else copied)))
+                s = shingles(text) if text else set()
+                if known is not None:
+                    copied = _share(s, known)
+                rows.append((file_id, repo, path, evidence(path, text, 0.0 if copied is None or math.isnan(copied) else copied, len(s))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     out = spread(df, "content", "file_id", partitions(files)).mapInPandas(run, schema)
@@ -237,15 +287,10 @@ def _parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", ""))
 
 
-def propagate(evidence_rows: DataFrame) -> DataFrame:
-    """file_id and b0..b4, the file's log-beliefs, from file_id, repo_name, path and e, the evidence."""
-    tidy = F.concat(F.lit("."), F.regexp_replace(F.concat(F.lit("/"), F.col("path")), "/+", "/"))
-    leaves = _with(evidence_rows, "e", [F.col("e")[i] for i in _K])
-    leaves = cut(_through(leaves.select("file_id", "repo_name", _parent(tidy).alias("dir"), *_cols("e")), "e", "m").select("file_id", "repo_name", "dir", *_cols("e"), *_cols("m")))
-    own = cut(leaves.groupBy("repo_name", "dir").agg(*_sums("m")).withColumn("depth", F.size(F.split("dir", "/"))))
+def _levels(own: DataFrame) -> DataFrame:
+    """(repo_name, dir, w0..): beliefs of the directories, a level at a time up and down; `own` holds the sums of their files' messages."""
+    own = own.withColumn("depth", F.size(F.split("dir", "/")))
     deepest = own.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return _with(leaves, "b", _cols("e")).select("file_id", *_cols("b"))
     up: dict[int, DataFrame] = {}
     below = None
     for d in range(deepest, 0, -1):  # a path's length bounds the number of levels
@@ -256,17 +301,82 @@ def propagate(evidence_rows: DataFrame) -> DataFrame:
         here = _with(here, "u", [m + p for m, p in zip(_cols("m"), _prior(F.col("dir")))]).drop(*(f"m{i}" for i in _K))
         up[d] = below = cut(_through(here, "u", "m").select("repo_name", "dir", *_cols("u"), *_cols("m")))
     whole = _with(up[1], "w", _cols("u")).select("repo_name", "dir", *_cols("w"))
-    done = [whole]
+    every = whole
     for d in range(2, deepest + 1):
         above = whole.select("repo_name", F.col("dir").alias("up"), *_cols("w"))
         kids = up[d].withColumn("up", _parent(F.col("dir"))).join(above, ["repo_name", "up"])
         kids = _through(_with(kids, "r", [w - m for w, m in zip(_cols("w"), _cols("m"))]), "r", "d")
         whole = cut(_with(kids, "w", [u + x for u, x in zip(_cols("u"), _cols("d"))]).select("repo_name", "dir", *_cols("w")))
-        done.append(whole)
-    every = done[0]
-    for x in done[1:]:
-        every = every.unionByName(x)
-    at = leaves.join(every, ["repo_name", "dir"])
+        every = every.unionByName(whole)
+    return every
+
+
+def _sent(x: np.ndarray) -> np.ndarray:
+    """As _through, for rows of an array."""
+    p = np.exp(x - x.max(axis=1, keepdims=True))
+    return np.log(p.sum(axis=1, keepdims=True) * OTHER + p * (SAME - OTHER))
+
+
+def _tree(b: pd.DataFrame) -> pd.DataFrame:
+    """As _levels, for one repository's directories."""
+    at: dict[str, int] = {}
+    up: list[int] = []
+
+    def place(d: str) -> int:
+        if d not in at:
+            above = place(d.rsplit("/", 1)[0]) if "/" in d else -1
+            at[d] = len(up)
+            up.append(above)
+        return at[d]
+
+    rows = np.array([place(d) for d in b["dir"]], dtype=np.int64)
+    names = list(at)  # in the order of their numbers: a parent before its children
+    u = np.zeros((len(names), len(LABELS)))
+    np.add.at(u, rows, b[[f"m{i}" for i in _K]].to_numpy(dtype=float))
+    for i, d in enumerate(names):
+        base = d.rsplit("/", 1)[-1].lower()
+        if "/" not in d:
+            u[i] += ROOT
+        for k, x in enumerate(LABELS):
+            if x in DIRECTORIES and base in DIRECTORIES[x]:
+                u[i, k] += DIRECTORY_SAYS[x]
+    parent = np.array(up, dtype=np.int64)
+    depth = np.zeros(len(names), int)
+    for i, p in enumerate(up):
+        depth[i] = depth[p] + 1 if p >= 0 else 0
+    m = np.zeros_like(u)
+    for d in range(int(depth.max(initial=0)), -1, -1):
+        here = np.flatnonzero(depth == d)
+        m[here] = _sent(u[here])
+        if d:
+            np.add.at(u, parent[here], m[here])
+    w = u.copy()
+    for d in range(1, int(depth.max(initial=0)) + 1):
+        here = np.flatnonzero(depth == d)
+        w[here] = u[here] + _sent(w[parent[here]] - m[here])
+    out = pd.DataFrame(w[np.unique(rows)], columns=[f"w{i}" for i in _K])
+    out.insert(0, "dir", [names[i] for i in np.unique(rows)])
+    out.insert(0, "repo_name", b["repo_name"].iloc[0] if len(b) else "")
+    return out
+
+
+def propagate(evidence_rows: DataFrame) -> DataFrame:
+    """file_id and b0..b4, the file's log-beliefs, from file_id, repo_name, path and e, the evidence."""
+    tidy = F.concat(F.lit("."), F.regexp_replace(F.concat(F.lit("/"), F.col("path")), "/+", "/"))
+    leaves = _with(evidence_rows, "e", [F.col("e")[i] for i in _K]).withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int"))
+    leaves = cut(_through(leaves.select("file_id", "repo_name", _parent(tidy).alias("dir"), "salt", *_cols("e")), "e", "m"))
+    own = cut(leaves.groupBy("repo_name", "dir").agg(*_sums("m"), F.collect_set("salt").alias("salts")))
+    messages = own.drop("salts")
+    big = messages.groupBy("repo_name").count().where(F.col("count") > MANY).select("repo_name")
+    each = "repo_name string, dir string, " + ", ".join(f"w{i} double" for i in _K)
+    if big.isEmpty():
+        beliefs = messages.groupBy("repo_name").applyInPandas(_tree, each)
+    else:
+        big = cut(big)
+        beliefs = messages.join(big, "repo_name", "left_anti").groupBy("repo_name").applyInPandas(_tree, each).unionByName(_levels(messages.join(big, "repo_name", "left_semi")))
+    # a directory's belief goes to as many places as its files do, so that a flat directory of very many files fills no single task
+    beliefs = beliefs.join(own.select("repo_name", "dir", F.explode("salts").alias("salt")), ["repo_name", "dir"])
+    at = leaves.join(beliefs, ["repo_name", "dir", "salt"])
     at = _through(_with(at, "r", [w - m for w, m in zip(_cols("w"), _cols("m"))]), "r", "d")
     return _with(at, "b", [e + x for e, x in zip(_cols("e"), _cols("d"))]).select("file_id", *_cols("b"))
 
