@@ -1,9 +1,13 @@
 """Per-document text quality (problem 8): each line is labelled prose, list, table or junk by a hidden Markov model over statistics
 of the line, and the labels' shares of the text's characters are summed up per document.
 
-A line is observed as a tuple of small factors (form, common words, length, symbols, repetition, end), independent given the label.
+A line is observed as a tuple of small factors (form, common words, length, symbols, repetition, end), independent given the label, and
+written as one number. The texts are read once: their observations go to a table in the shared folder, of which the model is fitted (by
+expectation maximisation, on counts of neighbouring observations of all documents) and the documents are labelled. What a line is called
+depends on its neighbours: a short line among bullets is an item, the same line in a narrow column of text is prose.
 Words in a run that the document has three times or more count, from the second time on, as junk and not as prose, however long the repeated block is.
 Null, empty and blank texts have no lines: all counts are 0, shares null, and they are no case. Every row given yields one row.
+Building the result runs two jobs: one that writes the observations, one that counts them.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import partitions
+from graphloom.session import written
 
 LABELS = ("prose", "list", "table", "junk")
 
@@ -43,6 +48,7 @@ _GRID = re.compile(r"[│┃┌┐└┘├┤┬┴┼─━═║╔╗╚╝]
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d|\[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\]?\b|at [\w.$<>]+\(|File \"|Traceback|Caused by:|\$ |>>> |@@ |[+-]{3} |\w+ +\d+ \d\d:\d\d:\d\d)")
 _CODE = re.compile(r"(?:[;{}]|\)\s*[:{]|=>|\\)\s*$|^\s*(?:def|class|import|from|return|if|for|while|const|let|var|fn|fun|func|public|private|static|#include|package|use|SELECT|INSERT|else|try|except|catch)\b.*[(){};:=]|[\w\])]\s*(?:[+\-*/|&]?=|==|!=|:=|->|::)\s*[\w\[({\"'].*[(;\"'{]|^\s*[\w.]+\([^)]*\)\s*;?$|</?\w+[^>]*>|^\s*[\w.]+(?:\[[^\]]*\])? [+\-*/|]?= \S|^\s*@\w+(?:\([^)]*\))?$|^\s*(?:return|raise|yield|break|continue|pass|import)\b(?: [\w.]+)?$|^\s*from [\w.]+ import\b|^\s*(?:try|else|finally):$")
 _SENT = regex.compile(r"(?<=[.!?。！？])\s*")
+_STOP = tuple(".!?。！？…")
 _END = tuple(".!?。！？…:;\"”»)’'")
 
 # The model before it is fitted. Rows are the values of a factor, columns the labels.
@@ -52,18 +58,22 @@ PRIOR = {
         "bullet": (0.06, 0.62, 0.01, 0.01),
         "item": (0.01, 0.15, 0.04, 0.03),
         "grid": (0.01, 0.02, 0.80, 0.10),
-        "code": (0.02, 0.02, 0.03, 0.45),
+        "code": (0.006, 0.02, 0.03, 0.45),
         "head": (0.10, 0.04, 0.04, 0.05),
     },
     "common": {"void": (0.004, 0.10, 0.20, 0.20), "none": (0.076, 0.62, 0.60, 0.55), "few": (0.12, 0.16, 0.15, 0.17), "many": (0.60, 0.09, 0.03, 0.05), "other": (0.20, 0.03, 0.02, 0.03)},
     "words": {"1-3": (0.10, 0.60, 0.30, 0.30), "4-7": (0.20, 0.28, 0.30, 0.27), "8+": (0.70, 0.12, 0.40, 0.43)},
     "symbols": {"low": (0.88, 0.62, 0.12, 0.22), "mid": (0.11, 0.33, 0.38, 0.33), "high": (0.01, 0.05, 0.50, 0.45)},
-    "again": {"new": (0.985, 0.93, 0.93, 0.70), "again": (0.015, 0.07, 0.07, 0.30)},
+    "again": {"new": (0.9845, 0.92, 0.92, 0.60), "again": (0.015, 0.06, 0.06, 0.20), "few": (0.0005, 0.02, 0.02, 0.20)},
     "end": {"stop": (0.62, 0.14, 0.10, 0.18), "open": (0.38, 0.86, 0.90, 0.82)},
 }
 STAY = 0.76
 #: Words in a row that count as a repetition if they stand in a document at least so many times.
 RUN, TIMES = 8, 3
+#: Different words, at most, of a text that says the same few over and over.
+FEW = 12
+#: What the model before fitting weighs against all lines of the corpus.
+TRUST = 0.2
 START = (0.55, 0.15, 0.15, 0.15)
 _FACTORS = tuple(PRIOR)
 
@@ -144,8 +154,8 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict, np.ndarray]:
             same += x in before
             before.add(x)
         n = len(ws) - (han * 2) // 3
-        sym = odd + max(0.0, digits - 0.05) + (0.3 if ws and max(map(len, ws)) > 45 else 0.0)
-        out.append((form, kind, "1-3" if n <= 3 else "4-7" if n <= 7 else "8+", "low" if sym < 0.05 else "mid" if sym < 0.16 else "high", "again" if same * 2 > len(sents) else "new", "stop" if s.endswith(_END) else "open"))
+        sym = odd + max(0.0, digits - 0.05) + (0.3 if ws and max(map(len, ws)) > max(45, 0.5 * n_chars) else 0.0)
+        out.append((form, kind, "1-3" if n <= 3 else "4-7" if n <= 7 else "8+", "low" if sym < 0.06 else "mid" if sym < 0.16 else "high", "again" if same * 2 > len(sents) else "new", "stop" if s.endswith(_END if form != "code" else _STOP) else "open"))
         weights.append(n_chars)
         words_all += low
         ends.append(len(words_all))
@@ -154,8 +164,8 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict, np.ndarray]:
         symbols += len(body) - plain
         chars += n_chars
     types = len(set(words_all))
-    if len(words_all) >= 30 and types <= max(12, 0.02 * len(words_all)):
-        out = [x[:4] + ("again",) + x[5:] for x in out]
+    if len(words_all) >= 30 and types <= FEW:
+        out = [x[:4] + ("few",) + x[5:] for x in out]  # the same few words over and over
     total = len(words_all)
     stats = {
         "n_words": total,
@@ -169,116 +179,181 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict, np.ndarray]:
     return out, weights, stats, np.diff(done) / np.maximum(1, np.diff([0, *ends]))
 
 
+# Observations as numbers: mixed radix over the factors' values.
+_VALUES = [{v: i for i, v in enumerate(PRIOR[f])} for f in _FACTORS]
+_RADIX = [len(v) for v in _VALUES]
+N_CODES = math.prod(_RADIX)
+
+
+def encode(lines: list[tuple]) -> list[int]:
+    out = []
+    for line in lines:
+        c = 0
+        for v, values, r in zip(line, _VALUES, _RADIX):
+            c = c * r + values[v]
+        out.append(c)
+    return out
+
+
+def _digits(codes: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for r in reversed(_RADIX):
+        out.insert(0, codes % r)
+        codes = codes // r
+    return out
+
+
+_EVERY = _digits(np.arange(N_CODES))
+
+
 class Model:
-    """Start, transition and emission logs of the hidden Markov model."""
+    """Start, transition and emission probabilities of the hidden Markov model; `like` has a row for each observation."""
 
-    def __init__(self, trans: np.ndarray | None = None, emit: dict | None = None):
+    def __init__(self, start: np.ndarray | None = None, trans: np.ndarray | None = None, emit: list[np.ndarray] | None = None):
         k = len(LABELS)
-        t = np.full((k, k), (1 - STAY) / (k - 1))
-        np.fill_diagonal(t, STAY)
-        self.trans = t if trans is None else trans
-        self.emit = {f: {v: np.array(p) for v, p in PRIOR[f].items()} for f in _FACTORS} if emit is None else emit
-        self.start = np.array(START)
-        self._cache: dict[tuple, np.ndarray] = {}
-
-    def likelihood(self, seen: tuple) -> np.ndarray:
-        p = self._cache.get(seen)
-        if p is None:
-            p = np.ones(len(LABELS))
-            for f, v in zip(_FACTORS, seen):
-                p = p * self.emit[f][v]
-            self._cache[seen] = p
-        return p
-
-    def posteriors(self, lines: list[tuple]) -> np.ndarray:
-        """P(label | all lines) of each line, by the forward and backward recursions."""
-        n = len(lines)
-        like = np.array([self.likelihood(x) for x in lines])
-        alpha, beta = np.empty_like(like), np.ones_like(like)
-        a = self.start * like[0]
-        alpha[0] = a / a.sum()
-        for i in range(1, n):
-            a = (alpha[i - 1] @ self.trans) * like[i]
-            alpha[i] = a / a.sum()
-        for i in range(n - 2, -1, -1):
-            b = self.trans @ (like[i + 1] * beta[i + 1])
-            beta[i] = b / b.sum()
+        if trans is None:
+            trans = np.full((k, k), (1 - STAY) / (k - 1))
+            np.fill_diagonal(trans, STAY)
+        self.start = np.array(START) if start is None else start
+        self.trans = trans
+        self.emit = [np.array(list(PRIOR[f].values())) for f in _FACTORS] if emit is None else emit
+        self.like = np.ones((N_CODES, k))
+        for e, at in zip(self.emit, _EVERY):
+            self.like *= e[at]
+
+    def alone(self) -> Model:
+        """The same without a chain: every line by itself (for comparison)."""
+        return Model(self.start, np.tile(self.start, (len(LABELS), 1)), self.emit)
+
+    def posteriors(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """P(label | all lines) of each line of each text, by the forward and backward recursions over all texts at once."""
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        begin = np.r_[0, np.cumsum(size)]
+        flat = self.like[np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, int)]
+        live = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size.max(initial=0)))]  # texts longer than t lines come first
+        alpha, beta = np.empty_like(flat), np.ones_like(flat)
+        for t, n in enumerate(live):
+            at = begin[:n] + t
+            a = (self.start if t == 0 else alpha[at - 1] @ self.trans) * flat[at]
+            alpha[at] = a / a.sum(axis=1, keepdims=True)
+        for t in range(len(live) - 2, -1, -1):
+            at = begin[: live[t + 1]] + t
+            b = (flat[at + 1] * beta[at + 1]) @ self.trans.T
+            beta[at] = b / b.sum(axis=1, keepdims=True)
         g = alpha * beta
-        return g / g.sum(axis=1, keepdims=True)
-
-    def fitted(self, pairs: dict[tuple[tuple, tuple], int], rounds: int = 5, trust: float = 1.0) -> Model:
-        """The model after expectation maximisation on counts of neighbouring observations.
+        g /= g.sum(axis=1, keepdims=True)
+        out: list = [None] * len(texts)
+        for j, i in enumerate(order):
+            out[i] = g[begin[j] : begin[j + 1]]
+        return out
 
-        `pairs` holds every pair of neighbouring lines of the corpus; the prior weighs as much as `trust` times all of them.
-        """
-        model = self
-        total = sum(pairs.values())
+    def fitted(self, first: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], rounds: int = 6, trust: float = TRUST) -> Model:
+        """The model after expectation maximisation on how often each observation begins a text (`first`) and each pair (x, y, times) of
+        neighbouring lines is seen; the start before it weighs `trust` times as much as all of them."""
+        x, y, n = pairs
+        total = n.sum() + first.sum()
         if not total:
-            return model
+            return self
+        model = self
+        k = len(LABELS)
         for _ in range(rounds):
-            trans = self.trans * trust * total / len(LABELS)
-            emit = {f: {v: p * trust * total for v, p in vs.items()} for f, vs in self.emit.items()}
-            for (x, y), n in pairs.items():
-                joint = np.outer(model.start * model.likelihood(x), model.likelihood(y)) * model.trans
-                joint *= n / joint.sum()
-                trans = trans + joint
-                for f, v in zip(_FACTORS, y):
-                    emit[f][v] = emit[f][v] + joint.sum(axis=0)
-            emit = {f: {v: p / sum(vs.values()) for v, p in vs.items()} for f, vs in emit.items()}
-            model = Model(trans / trans.sum(axis=1, keepdims=True), emit)
+            trans = self.trans * trust * total / k
+            seen = np.zeros((N_CODES, k))
+            p = model.start * model.like
+            p *= (first / p.sum(axis=1))[:, None]
+            seen += p
+            start = self.start * trust * max(1.0, first.sum()) + p.sum(axis=0)
+            for i in range(0, len(x), 50_000):
+                part = slice(i, i + 50_000)
+                joint = (model.start * model.like[x[part]])[:, :, None] * model.trans * model.like[y[part]][:, None, :]
+                joint *= (n[part] / joint.sum(axis=(1, 2)))[:, None, None]
+                trans = trans + joint.sum(axis=0)
+                np.add.at(seen, y[part], joint.sum(axis=1))
+            emit = []
+            for prior, at, r in zip(self.emit, _EVERY, _RADIX):
+                e = prior * trust * total / k
+                np.add.at(e, at, seen)
+                emit.append(e / e.sum(axis=0))
+            model = Model(start / start.sum(), trans / trans.sum(axis=1, keepdims=True), emit)
         return model
 
 
+def shares(codes: list[np.ndarray], weights: list[np.ndarray], again: list[np.ndarray], model: Model) -> np.ndarray:
+    """Per text the labels' shares of its characters, of which `again` of each line are repeated; a text without lines has none."""
+    out = np.full((len(codes), len(LABELS)), np.nan)
+    for i, (p, w, r) in enumerate(zip(model.posteriors(codes), weights, again)):
+        if len(w):
+            labels = p.copy()
+            labels[:, -1] += r * p[:, 0]
+            labels[:, 0] *= 1 - r
+            w = np.asarray(w, dtype=float) + 1e-9
+            out[i] = (labels * (w / w.sum())[:, None]).sum(axis=0)
+    return np.round(out, 6)
+
+
 def measure(text: str | None, model: Model) -> dict:
     """The statistics and the labels' shares of one text."""
     lines, weights, stats, again = observe(text or "")
-    if not lines:
-        return stats | {f"{x}_share": None for x in LABELS}
-    w = np.array(weights, dtype=float) + 1e-9
-    labels = model.posteriors(lines)
-    labels[:, -1] += again * labels[:, 0]
-    labels[:, 0] *= 1 - again
-    share = (labels * (w / w.sum())[:, None]).sum(axis=0)
-    return stats | {f"{x}_share": round(float(s), 6) for x, s in zip(LABELS, share)}
+    s = shares([np.array(encode(lines), dtype=np.int64)], [np.array(weights)], [again], model)[0]
+    return stats | {f"{x}_share": float(v) if lines else None for x, v in zip(LABELS, s)}
 
 
 SCHEMA = "doc_id long, n_words long, n_lines long, mean_word_length double, symbol_ratio double, ended_share double, common_share double, prose_share double, list_share double, table_share double, junk_share double"
 _COLS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
-    for b in batches:
-        for t in b["text"]:
-            lines = observe(t)[0]
-            counts.update(zip(lines, lines[1:]))
-    yield pd.DataFrame([("\t".join(x), "\t".join(y), n) for (x, y), n in counts.items()], columns=["x", "y", "n"])
+_STATS = SCHEMA.split(", prose_share")[0]
+_SEEN = _STATS + ", codes array<int>, weights array<int>, again array<float>"
+
 
+def observations(documents: DataFrame) -> DataFrame:
+    """One row per document: its statistics and, per line that is not blank, observation, characters and repeated share; written once."""
 
-def fit(documents: DataFrame) -> Model:
-    """The model fitted on all neighbouring lines of all documents.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b["text"]:
+                lines, weights, stats, again = observe(t or "")
+                rows.append(stats | {"codes": encode(lines), "weights": weights, "again": again.astype(np.float32)})
+            out = pd.DataFrame(rows, columns=[*_COLS[1:7], "codes", "weights", "again"], index=b.index)
+            out.insert(0, "doc_id", b["doc_id"])
+            for c in _COLS[3:7]:
+                out[c] = out[c].astype(float)
+            yield out
 
-    Only counts per pair of observations reach the driver: of the 6 * 5 * 3 * 3 * 2 * 2 observations, so a bounded table.
+    df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(df.repartition(partitions(documents), F.xxhash64("doc_id")).mapInPandas(run, _SEEN), "observations")
+
+
+def fit(seen: DataFrame) -> Model:
+    """The model fitted on all lines of all documents.
+
+    Only counts reach the driver, one for each pair of the N_CODES observations that occurs: at most N_CODES * (N_CODES + 1), about a million.
     """
-    rows = documents.select("text").where("text is not null").mapInPandas(_pairs, "x string, y string, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
-    return Model().fitted({(tuple(r.x.split("\t")), tuple(r.y.split("\t"))): r.n for r in sorted(rows, key=lambda r: (r.x, r.y))})
+    before = F.concat(F.array(F.lit(N_CODES)), F.slice("codes", F.lit(1), F.size("codes") - 1))
+    both = seen.where(F.size("codes") > 0).select(F.explode(F.zip_with(before, F.col("codes"), lambda x, y: x * F.lit(N_CODES) + y)).alias("c"))
+    got = both.groupBy("c").count().toPandas().sort_values("c")
+    c, n = got["c"].to_numpy(dtype=np.int64), got["count"].to_numpy(dtype=float)
+    x, y = c // N_CODES, c % N_CODES
+    begins = x == N_CODES
+    first = np.bincount(y[begins], weights=n[begins], minlength=N_CODES) if begins.any() else np.zeros(N_CODES)
+    return Model().fitted(first, (x[~begins], y[~begins], n[~begins]))
 
 
 def text_quality(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row of statistics and label shares per document (see SCHEMA)."""
-    model = model or Model()
+    """One row of statistics and label shares per document (see SCHEMA); without a model one is fitted on these documents."""
+    seen = observations(documents)
+    model = model or fit(seen)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [measure(t, model) for t in b["text"]]
-            out = pd.DataFrame(rows, columns=_COLS[1:], index=b.index)
-            out.insert(0, "doc_id", b["doc_id"])
-            for c in _COLS[3:]:
-                out[c] = out[c].astype(float)
-            yield out
+            s = shares([np.asarray(x, dtype=np.int64) for x in b["codes"]], list(b["weights"]), [np.asarray(x, dtype=float) for x in b["again"]], model)
+            yield b[_COLS[:7]].assign(**{f"{x}_share": s[:, i] for i, x in enumerate(LABELS)})
 
-    df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return df.repartition(partitions(documents), F.xxhash64("doc_id")).mapInPandas(run, SCHEMA)
+    out = seen.mapInPandas(run, SCHEMA)
+    return out.withColumns({f"{x}_share": F.when(F.col("n_lines") > 0, F.col(f"{x}_share")) for x in LABELS})
 
 
 def not_prose(documents: DataFrame, model: Model | None = None, least: float = 0.5) -> DataFrame:

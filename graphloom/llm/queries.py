@@ -17,8 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_pairs": lambda s, d: code.documented_functions(t(s, d, "files"), full=True),
         "p3_found": lambda s, d: code.unparsable(t(s, d, "files")),
         "p3_rates": lambda s, d: code.unparsable_rates(t(s, d, "files")),
-        "p8_found": lambda s, d: quality.not_prose(t(s, d, "documents"), quality.fit(t(s, d, "documents"))),
-        "p8_stats": lambda s, d: quality.text_quality(t(s, d, "documents"), quality.fit(t(s, d, "documents"))),
+        "p8_found": lambda s, d: quality.not_prose(t(s, d, "documents")),
+        "p8_stats": lambda s, d: quality.text_quality(t(s, d, "documents")),
         "p4_found": lambda s, d: origin.not_handwritten(t(s, d, "files"), t(s, d, "library_files")),
         "p4_labels": lambda s, d: origin.file_origins(t(s, d, "files"), t(s, d, "library_files")),
         "p5_found": lambda s, d: neighbours.nearest_pairs(t(s, d, "vectors")),
