@@ -47,6 +47,11 @@ _NAME = re.compile(r"\s*[\w$]+(?:(?:\.|::|/|->)[\w$]+)+(?:\(\))?[,;]?\s*$")
 _GRID = re.compile(r"[│┃┌┐└┘├┤┬┴┼─━═║╔╗╚╝]|^\s*[-=+|: ]{4,}$")
 _LOG = re.compile(r"\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d|\[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\]?\b|at [\w.$<>]+\(|File \"|Traceback|Caused by:|\$ |>>> |@@ |[+-]{3} |\w+ +\d+ \d\d:\d\d:\d\d)")
 _CODE = re.compile(r"(?:[;{}]|\)\s*[:{]|=>|\\)\s*$|^\s*(?:def|class|import|from|return|if|for|while|const|let|var|fn|fun|func|public|private|static|#include|package|use|SELECT|INSERT|else|try|except|catch)\b.*[(){};:=]|[\w\])]\s*(?:[+\-*/|&]?=|==|!=|:=|->|::)\s*[\w\[({\"'].*[(;\"'{]|^\s*[\w.]+\([^)]*\)\s*;?$|</?\w+[^>]*>|^\s*[\w.]+(?:\[[^\]]*\])? [+\-*/|]?= \S|^\s*@\w+(?:\([^)]*\))?$|^\s*(?:return|raise|yield|break|continue|pass|import)\b(?: [\w.]+)?$|^\s*from [\w.]+ import\b|^\s*(?:try|else|finally):$")
+_QUOTED = re.compile(r"^(?:>\s?)+")
+#: What is no letter, digit, blank or plain punctuation.
+_ODD = re.compile(r"[^\w\s,.!?'’\-()。，！？、：；“”\"`]|_")
+_HAS_DIGIT = regex.compile(r"[\d\p{No}]")
+_GAPS = re.compile(r"\S {3,}\S")
 _SENT = regex.compile(r"(?<=[.!?。！？])\s*")
 _STOP = tuple(".!?。！？…")
 _END = tuple(".!?。！？…:;\"”»)’'")
@@ -108,26 +113,26 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict, np.ndarray]:
         s = line.strip()
         if not s:
             continue
-        body = re.sub(r"^(?:>\s?)+", "", s)
+        body = _QUOTED.sub("", s) if s[0] == ">" else s
         ws = _WORD.findall(body)
         low = [w.lower() for w in ws]
-        han = sum(1 for w in ws if len(w) == 1 and "\u4e00" <= w <= "\u9fff")
-        letters = sum(map(str.isalpha, body))
+        han = 0 if body.isascii() else sum(1 for w in ws if len(w) == 1 and "\u4e00" <= w <= "\u9fff")
         common = sum(1 for w in low if w in _COMMON or w in _HAN or (("'" in w or "’" in w) and re.split("['’]", w)[-1] in _COMMON))
-        n_chars = len(body) - sum(map(str.isspace, body))
-        plain = sum(1 for c in body if c.isalnum() or c.isspace() or c in ",.!?'’-()。，！？、：；“”\"`")
-        odd = (len(body) - plain) / max(1, len(body))
-        digits = sum(map(str.isdigit, body)) / max(1, len(body))
-        longest = max(map(len, body.split()), default=0)
+        pieces = body.split()
+        n_chars = sum(map(len, pieces))
+        n_odd = len(_ODD.findall(body))
+        odd = n_odd / max(1, len(body))
+        digits = sum(map(str.isdigit, body)) / max(1, len(body)) if _HAS_DIGIT.search(body) else 0.0
+        longest = max(map(len, pieces), default=0)
         if s.startswith(("```", "~~~")):
             fence = 1 - fence
             form = "code"
         elif coded and (s.count('"""') == 1 or s.count("'''") == 1):
             fence = 1 - fence
             form = "code"
-        elif fence or (longest > 60 and longest > 0.5 * len(body) and not han and longest / max(1, letters) < 3 and odd < 0.2):
+        elif fence or (longest > 60 and longest > 0.5 * len(body) and not han and longest / max(1, sum(map(str.isalpha, body))) < 3 and odd < 0.2):
             form = "code"
-        elif body.count("|") >= 2 or body.count("\t") >= 2 or _GRID.search(body) or len(re.findall(r"\S {3,}\S", body)) >= 2 or (body.count(",") >= 3 and ", " not in body) or body.count(";") >= 2 and body.count("=") >= 2:
+        elif body.count("|") >= 2 or body.count("\t") >= 2 or _GRID.search(body) or ("   " in body and len(_GAPS.findall(body)) >= 2) or (body.count(",") >= 3 and ", " not in body) or body.count(";") >= 2 and body.count("=") >= 2:
             form = "grid"
         elif _BULLET.match(body):
             form = "bullet"
@@ -142,8 +147,8 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict, np.ndarray]:
             form = "plain"
         share = common / max(1, len(ws))
         if share < 0.04:
-            other = sum(1 for c in body if c.isalpha() and ord(c) > 0x24F and not "\u4e00" <= c <= "\u9fff")
-            kind = "other" if letters and other > 0.6 * letters and odd < 0.1 else "void" if share < 0.03 and len(ws) >= 10 and not han else "none"
+            other = 0 if body.isascii() else sum(1 for c in body if c.isalpha() and ord(c) > 0x24F and not "\u4e00" <= c <= "\u9fff")
+            kind = "other" if other and other > 0.6 * sum(map(str.isalpha, body)) and odd < 0.1 else "void" if share < 0.03 and len(ws) >= 10 and not han else "none"
         else:
             kind = "few" if share < 0.16 else "many"
         if han > 0.3 * len(ws) and kind == "none" and len(ws) > 8:
@@ -161,7 +166,7 @@ def observe(text: str) -> tuple[list[tuple], list[int], dict, np.ndarray]:
         ends.append(len(words_all))
         n_common += common
         ended += s.endswith(_END)
-        symbols += len(body) - plain
+        symbols += n_odd
         chars += n_chars
     types = len(set(words_all))
     if len(words_all) >= 30 and types <= FEW:
@@ -231,7 +236,7 @@ class Model:
         order = np.argsort(-size, kind="stable")
         size = size[order]
         begin = np.r_[0, np.cumsum(size)]
-        flat = self.like[np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, int)]
+        flat = self.like[np.concatenate([np.asarray(texts[i], dtype=np.int64) for i in order]) if len(texts) else np.zeros(0, int)]
         live = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size.max(initial=0)))]  # texts longer than t lines come first
         alpha, beta = np.empty_like(flat), np.ones_like(flat)
         for t, n in enumerate(live):
