@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text
 from graphloom.llm.common import language_of, partitions, spread
 
 #: Contents whose results a worker keeps, at most; others are worked out again.
@@ -23,12 +24,12 @@ CACHED_CHARS = 20_000
 def _cached(work: Callable[[str, str], object]) -> Callable[[str, str], object]:
     kept: OrderedDict = OrderedDict()
 
-    def run(language: str, text: str) -> object:
-        if len(text) > CACHED_CHARS:
-            return work(language, text)
-        k = (language, text)
+    def run(language: str, content: str) -> object:
+        if len(content) > CACHED_CHARS:
+            return work(language, content)
+        k = (language, content)
         if k not in kept:
-            kept[k] = work(language, text)
+            kept[k] = work(language, content)
             if len(kept) > CACHE:
                 kept.popitem(last=False)
         else:
@@ -54,37 +55,69 @@ def _reject(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def unparsable(files: DataFrame) -> DataFrame:
-    """file_id of every file that all dialects of its extension's language reject."""
-    return source_files(files).mapInPandas(_reject, "file_id long").distinct()
+    """file_id of every file that all current dialects of its extension reject; of a file delivered twice, as last scanned."""
+    return source_files(latest(files)).mapInPandas(_reject, "file_id long").distinct()
+
+
+def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from graphloom.llm.grammars import accepting
+
+    run = _cached(lambda language, text: ",".join(sorted(accepting(language, text, besides=True))))
+    for b in batches:
+        b = b[[not t.isspace() and t != "\ufeff" for t in b["content"]]]
+        yield pd.DataFrame({"file_id": b["file_id"], "dialects": [run(lang, t) for lang, t in zip(b["lang"], b["content"])]})
+
+
+def dialects(files: DataFrame) -> DataFrame:
+    """(file_id, dialects): per file with a grammar and a text the supported dialects that accept it, with commas, earlier versions included.
+
+    A file that none accepts has an empty string. Of a file delivered twice with different texts the latest counts, as far as scanned_at tells.
+    """
+    return source_files(latest(files)).mapInPandas(_ask, "file_id long, dialects string")
+
+
+def latest(files: DataFrame) -> DataFrame:
+    """Each file_id once: as last scanned, of equally late ones the largest content."""
+    when = F.col("scanned_at") if "scanned_at" in files.columns else F.lit(None).cast("timestamp")
+    cols = [c for c in ("repo_name", "path", "content") if c in files.columns]
+    order = F.struct(F.coalesce(when.cast("timestamp"), F.lit("0001-01-01").cast("timestamp")), F.coalesce("content", F.lit("")), F.coalesce("path", F.lit("")))
+    return files.where("file_id is not null").groupBy("file_id").agg(F.max_by(F.struct(*cols), order).alias("r")).select("file_id", "r.*")
 
 
 def unparsable_rates(files: DataFrame) -> DataFrame:
-    """Per repo_name and language: files with a grammar, files that do not parse, their share."""
-    one = files.select("file_id", "repo_name", language_of(F.col("path")).alias("language"), (F.coalesce(F.trim("content"), F.lit("")) != "").alias("has")).where("file_id is not null and language is not null")
-    one = one.groupBy("file_id").agg(F.max("repo_name").alias("repo_name"), F.max("language").alias("language"))
-    bad = unparsable(files).withColumn("bad", F.lit(1))
-    j = one.join(bad, "file_id", "left")
-    return j.groupBy("repo_name", "language").agg(F.count("*").alias("files"), F.count("bad").alias("unparsable"), F.round(F.count("bad") / F.count("*"), 6).alias("share"))
+    """Per repo_name and language: files, those of them without a grammar (html, css, scss), those that do not parse, and their share.
+
+    A file counts as last scanned.
+    """
+    one = latest(files)
+    ext = language_of(F.col("path"))
+    one = one.select("file_id", "repo_name", F.coalesce(F.split_part(ext, F.lit("-"), F.lit(1)), text.language(F.col("path"))).alias("language"), ext.isNull().cast("int").alias("none"), "path", "content").where("language is not null")
+    bad = unparsable(one).withColumn("bad", F.lit(1))
+    j = one.select("file_id", "repo_name", "language", "none").join(bad, "file_id", "left")
+    n = F.count("*")
+    return j.groupBy("repo_name", "language").agg(n.alias("files"), F.sum("none").alias("no_grammar"), F.count("bad").alias("unparsable"), F.round(F.count("bad") / n, 6).alias("share"))
 
 
 def _pairs(full: bool) -> Callable:
-    def work(language: str, text: str) -> list:
+    def work(language: str, content: str) -> list:
         from graphloom.llm.docpairs import documented
         from graphloom.llm.grammars import accepting
 
-        found = documented(language, text)
-        return found if found and accepting(language, text) else []
+        found = documented(language.split("-")[0], content)
+        return found if full or (found and accepting(language, content)) else []
+
+    cols = ["file_id", "fn_name", "fn_line"] + (["language", "kind", "signature", "docstring", "code"] if full else [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = _cached(work)
         for b in batches:
             rows = []
-            for file_id, lang, text in zip(b["file_id"], b["lang"], b["content"]):
-                if text.isspace() or text == "﻿":
+            for file_id, lang, content in zip(b["file_id"], b["lang"], b["content"]):
+                if content.isspace() or content == "\ufeff":
                     continue
-                for f in of(lang, text):
-                    rows.append((file_id, f["name"], f["line"]) + ((lang, f["kind"], f["signature"], f["docstring"]) if full else ()))
-            yield pd.DataFrame(rows, columns=["file_id", "fn_name", "fn_line"] + (["language", "kind", "signature", "docstring"] if full else []))
+                for f in of(lang, content):
+                    rows.append((file_id, f["name"], f["line"]) + ((lang.split("-")[0], f["kind"], f["signature"], f["docstring"], f["code"]) if full else ()))
+            yield pd.DataFrame(rows, columns=cols)
 
     return run
 
@@ -92,7 +125,8 @@ def _pairs(full: bool) -> Callable:
 def documented_functions(files: DataFrame, full: bool = False) -> DataFrame:
     """file_id, fn_name, fn_line of every function with real documentation, in files that parse.
 
-    `full` adds language, kind, signature and docstring: the pairs themselves.
+    `full` adds language, kind, signature, docstring and code: the pairs themselves, also from files that do not parse as a whole, as far
+    as their brackets close.
     """
-    cols = "file_id long, fn_name string, fn_line int" + (", language string, kind string, signature string, docstring string" if full else "")
-    return source_files(files).mapInPandas(_pairs(full), cols).dropDuplicates(["file_id", "fn_name", "fn_line"])
+    cols = "file_id long, fn_name string, fn_line int" + (", language string, kind string, signature string, docstring string, code string" if full else "")
+    return source_files(latest(files)).mapInPandas(_pairs(full), cols).dropDuplicates(["file_id", "fn_name", "fn_line"])

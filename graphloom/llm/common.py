@@ -7,8 +7,11 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Extension -> language, for the languages that have a grammar. Fixed values.
-CODE = {"py": "python", "java": "java", "kt": "kotlin", "ts": "typescript", "js": "javascript", "rs": "rust"}
+#: Extension -> dialect, for the languages that have a grammar. Fixed values.
+CODE = {
+    "py": "python", "pyi": "python", "pyw": "python", "java": "java", "kt": "kotlin", "kts": "kotlin-script", "ts": "typescript", "cts": "typescript", "mts": "typescript", "tsx": "typescript-jsx",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript-jsx", "rs": "rust",
+}
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -26,7 +29,7 @@ def partitions(df: DataFrame, least: int = 24) -> int:
 
 
 def language_of(path: Column) -> Column:
-    """The language of a path's extension; null where there is no grammar."""
+    """The dialect of a path's extension (language, or language-dialect); null where there is no grammar."""
     ext = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
     out = F.lit(None).cast("string")
     for e, lang in CODE.items():

@@ -1,4 +1,8 @@
-"""Functions paired with their documentation: one recursive pattern per language takes comment, signature and balanced body together."""
+"""Functions paired with their documentation: one recursive pattern per language takes comment, signature and balanced body together.
+
+The body is matched ahead of the end of the match, so that functions within it are found too, and captured; bodies that are expressions
+reach to the end of their statement.
+"""
 
 from __future__ import annotations
 
@@ -14,15 +18,16 @@ _ECMA_DEF = r"""(?(DEFINE)
  (?<rx>(?<=[=(,:;!&|?\[{}+\-*%<>~^]\s*|\b(?:return|typeof|case|in|of|void|delete)\s*)/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+)
  (?<inner>(?:[^(){}\[\]"'`/]++|(?&str)|(?&com)|(?&rx)|/|\((?&inner)\)|\[(?&inner)\]|\{(?&inner)\})*+)
  (?<par>\((?&inner)\)) (?<body>\{(?&inner)\})
+ (?<value>(?:[^(){}\[\]"'`/;,\n]++|(?&str)|(?&com)|(?&rx)|/|\((?&inner)\)|\[(?&inner)\]|\{(?&inner)\}|\n(?=\s*+[.?:&|+*<>=-])|(?<=[=+\-*/&|?:>.][ \t]*)\n)*+)
  (?<ang><(?:[^<>()\[\]{}"'`]++|(?<==)>|(?&ang)|(?&par)|(?&body)|\[(?&inner)\]|(?&str))*+>)
  (?<note>@[\w$]+(?:\.[\w$]+)*+(?&ang)?+\s*+(?&par)?+)
  (?<type>(?:[^(){}\[\]"'`=;,<>]|(?&str)|(?&par)|(?&ang)|\[(?&inner)\]|=>|(?&body)(?=\s*[\[|&{=])|(?<=[|&:]\s*)(?&body))+?)
  (?<id>\#?[\p{L}_$][\w$]*+)
 )"""
 _ECMA_SIG = r"""(?:
-  (?:export\s++(?:default\s++)?+|declare\s++)*+(?:async\s++)?+function\s*+\*?+\s*+(?<name>(?&id))\s*+(?&ang)?+\s*+(?&par)\s*+(?::(?&type))?\s*+(?=(?<end>\{)(?&inner)\}|(?<end>;))
- |(?:export\s++)?+(?:const|let|var)\s++(?<name>(?&id))\s*+(?::(?&type))?=\s*+(?:async\b\s*+)?+(?:(?&ang)?+\s*+(?&par)\s*+(?::(?&type))?|(?&id)\s*+)=>\s*+(?=(?<end>\{)(?&inner)\}|(?<end>[^{]))
- |(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override)\s++)*+\*?+\s*+(?<name>(?!(?:if|for|while|switch|catch|function|return|with|do|else|await|yield|typeof|new|throw|super)\b)(?&id))\??+\s*+(?&ang)?+\s*+(?&par)\s*+(?::(?&type))?\s*+(?=(?<end>\{)(?&inner)\}|(?<end>;)(?<=:[^;]*))
+  (?:export\s++(?:default\s++)?+|declare\s++)*+(?:async\s++)?+function\s*+\*?+\s*+(?<name>(?&id))\s*+(?&ang)?+\s*+(?&par)\s*+(?::(?&type))?\s*+(?=(?<code>(?&body))|(?<code>;))
+ |(?:export\s++)?+(?:const|let|var)\s++(?<name>(?&id))\s*+(?::(?&type))?=\s*+(?:async\b\s*+)?+(?:(?&ang)?+\s*+(?&par)\s*+(?::(?&type))?|(?&id)\s*+)=>\s*+(?=(?<code>(?&body))|(?<code>[^{](?&value)))
+ |(?:(?:static|async|get|set|public|private|protected|readonly|abstract|override)\s++)*+\*?+\s*+(?<name>(?!(?:if|for|while|switch|catch|function|return|with|do|else|await|yield|typeof|new|throw|super)\b)(?&id))\??+\s*+(?&ang)?+\s*+(?&par)\s*+(?::(?&type))?\s*+(?=(?<code>(?&body))|(?<code>;)(?<=:[^;]*))
 )"""
 _JAVA_DEF = r"""(?(DEFINE)
  (?<str>\"\"\"(?:[^\\"]|\\.|"(?!""))*+\"\"\"|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
@@ -35,20 +40,21 @@ _JAVA_DEF = r"""(?(DEFINE)
  (?<id>[\p{L}_$][\w$]*+)
 )"""
 _JAVA_SIG = r"""(?:(?:public|private|protected|static|final|abstract|native|synchronized|default|strictfp)\s++|(?&note)\s*+)*+(?:(?&ang)\s*+)?+(?!(?:new|return|else|throw|case|assert|record|class|yield)\b)
- (?&id)(?:\s*+\.\s*+(?&id))*+(?:\s*+(?&ang))?+(?:\s*+\[\s*\])*+\s++(?<name>(?!(?:if|for|while|switch|catch)\b)(?&id))\s*+(?&par)(?:\s*+\[\s*\])*+\s*+(?:throws\s[^{;]++)?+(?=(?<end>\{)(?&inner)\}|(?<end>;)|(?<end>default\b))"""
+ (?&id)(?:\s*+\.\s*+(?&id))*+(?:\s*+(?&ang))?+(?:\s*+\[\s*\])*+\s++(?<name>(?!(?:if|for|while|switch|catch)\b)(?&id))\s*+(?&par)(?:\s*+\[\s*\])*+\s*+(?:throws\s[^{;]++)?+(?=(?<code>(?&body))|(?<code>;)|(?<code>default\b[^;]*+;?))"""
 _KT_DEF = r"""(?(DEFINE)
  (?<str>\"\"\"(?:[^"$]++|\$\{(?&inner)\}|\$|"(?!""))*+\"\"\""*+|"(?:[^"\\\n$]++|\\.|\$\{(?&inner)\}|\$)*+"|'(?:[^'\\\n]|\\.)*+')
  (?<com>//[^\n]*+|/\*(?:[^*/]++|(?&nest)|\*(?!/)|/(?!\*))*+\*/) (?<nest>/\*(?:[^*/]++|(?&nest)|\*(?!/)|/(?!\*))*+\*/)
  (?<rx>`[^`\n]+`)
  (?<inner>(?:[^(){}\[\]"'/`]++|(?&str)|(?&com)|(?&rx)|/|\((?&inner)\)|\[(?&inner)\]|\{(?&inner)\})*+)
  (?<par>\((?&inner)\)) (?<body>\{(?&inner)\})
+ (?<value>(?:[^(){}\[\]"'/`;\n]++|(?&str)|(?&com)|(?&rx)|/|\((?&inner)\)|\[(?&inner)\]|\{(?&inner)\}|\n(?=\s*+(?:[.?:&|+*\-]|else\b))|(?<=[=+\-*/&|?:.][ \t]*)\n)*+)
  (?<ang><(?:[^<>(){}"']++|(?<=-)>|(?&ang)|(?&par))*+>)
  (?<note>@(?:\w+:)?[\w.]++(?&ang)?+(?&par)?+|@\w*:?\[(?&inner)\])
  (?<id>[\p{L}_]\w*+|`[^`\n]+`)
  (?<type>(?:[^(){}\[\]"'=;<>\n]|(?&par)|(?&ang)|->)+?)
 )"""
 _KT_SIG = r"""(?:(?:public|private|protected|internal|abstract|final|open|override|suspend|inline|operator|infix|external|tailrec|expect|actual)\s++|(?&note)\s*+)*+fun\s++(?:(?&ang)\s*+)?+
- (?:(?:(?&id)(?&ang)?+\?*+\.)*+)?+(?<name>(?&id))\s*+(?&par)\s*?(?::\s*(?&type))?(?:\s*+where\s[^{=]++)?+(?:\s*+(?=(?<end>\{)(?&inner)\}|(?<end>=))|(?=(?<end>[ \t]*\n|[ \t]*\}|[ \t]*;|[ \t]*$)))"""
+ (?:(?:(?&id)(?&ang)?+\?*+\.)*+)?+(?<name>(?&id))\s*+(?&par)\s*?(?::\s*(?&type))?(?:\s*+where\s[^{=]++)?+(?:\s*+(?=(?<code>(?&body))|(?<code>=(?&value)))|(?=(?<code>)(?:[ \t]*\n|[ \t]*\}|[ \t]*;|[ \t]*$)))"""
 _RS_DEF = r"""(?(DEFINE)
  (?<str>\b(?:br|r|cr)(?<h>\#*+)".*?"(?P=h)|[bc]?"(?:[^"\\]|\\.)*+"|b?'(?:[^'\\\n]|\\(?:u\{[^}]*\}|x..|.))'|'[^\W\d]\w*+)
  (?<com>//[^\n]*+|/\*(?:[^*/]++|(?&nest)|\*(?!/)|/(?!\*))*+\*/) (?<nest>/\*(?:[^*/]++|(?&nest)|\*(?!/)|/(?!\*))*+\*/)
@@ -59,7 +65,7 @@ _RS_DEF = r"""(?(DEFINE)
  (?<note>\#!?\[(?&inner)\])
  (?<id>(?:r\#)?[\p{L}_]\w*+)
 )"""
-_RS_SIG = r"""(?:pub(?:\s*\([^)]*\))?\s++)?+(?:(?:const|async|unsafe|default|extern(?:\s*"[^"]*")?)\s++)*+fn\s++(?<name>(?&id))\s*+(?&ang)?+\s*+(?&par)\s*+(?:->(?:[^{;\[("']|(?&par)|\[(?&inner)\]|(?&str))++)?+(?=(?<end>\{)(?&inner)\}|(?<end>;))"""
+_RS_SIG = r"""(?:pub(?:\s*\([^)]*\))?\s++)?+(?:(?:const|async|unsafe|default|extern(?:\s*"[^"]*")?)\s++)*+fn\s++(?<name>(?&id))\s*+(?&ang)?+\s*+(?&par)\s*+(?:->(?:[^{;\[("']|(?&par)|\[(?&inner)\]|(?&str))++)?+(?=(?<code>(?&body))|(?<code>;))"""
 _PY = r"""(?(DEFINE)
  (?<str>(?i:[rbuf]{0,3})(?:\"\"\"(?:[^\\"]|\\.|"(?!""))*+\"\"\"|'''(?:[^\\']|\\.|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'))
  (?<com>\#[^\n]*+)
@@ -70,7 +76,7 @@ _PY = r"""(?(DEFINE)
  (?:^(?<ind>[ \t]*+)(?<pre>(?:(?:(?&com)|@(?&line))[ \t]*+\n(?:[ \t]*+\n)*+[ \t]*+)*+)
  (?<sig>(?:async[ \t]++)?+def[ \t]++(?<name>[^\W\d]\w*+)\s*+(?:\[(?&inner)\])?+\s*+(?&par)\s*+(?:->(?:[^:\n(){}\[\]"']|(?&str)|\((?&inner)\)|\[(?&inner)\]|\{(?&inner)\})++)?+):
  (?=(?<body>(?&line)(?:\n(?:[ \t]*+(?:\#[^\n]*+)?+(?=\n|$)|(?P=ind)[ \t]++(?&line)))*+))
- |(?&str)|(?&com)|\w++)"""
+ |(?:[^"'\#\w\n]++|\w++(?!["']))++|(?&str)|(?&com)|\w++)"""
 _PYDOC = regex.compile(r"""\s*+(?:\#[^\n]*+\s*+)*+(?i:r|u)?(?:\"\"\"(?<d>(?:[^\\"]|\\.|"(?!""))*+)\"\"\"|'''(?<d>(?:[^\\']|\\.|'(?!''))*+)'''|"(?!"")(?<d>(?:[^"\\\n]|\\.)*+)"|'(?!'')(?<d>(?:[^'\\\n]|\\.)*+)')""", regex.S | regex.X)
 
 _LANGS = {"javascript": (_ECMA_DEF, _ECMA_SIG), "typescript": (_ECMA_DEF, _ECMA_SIG), "java": (_JAVA_DEF, _JAVA_SIG), "kotlin": (_KT_DEF, _KT_SIG), "rust": (_RS_DEF, _RS_SIG)}
@@ -82,7 +88,8 @@ def pattern(language: str) -> regex.Pattern:
     if language == "python":
         return regex.compile(_PY, regex.X | regex.S | regex.M)
     define, sig = _LANGS[language]
-    return regex.compile(define + r"(?:(?<pre>(?=/|[@\#])(?:(?:(?&com)|(?&note))\s*+)++)(?<sig>" + sig + r")|(?&str)|(?&com)|(?&rx)|\w++)", regex.X | regex.S)
+    skip = r"(?:[^\"'/@\#\w]++|\w++(?![\"'\#]))++" if language == "rust" else r"[^\"'`/@\#]++"  # where nothing of interest begins
+    return regex.compile(define + r"(?:(?<pre>(?=/|[@\#])(?:(?:(?&com)|(?&note))\s*+)++)(?<sig>" + sig + r")|" + skip + r"|(?&str)|(?&com)|(?&rx)|\w++)", regex.X | regex.S)
 
 
 _PIECE = {k: regex.compile(d + r"(?<com1>(?&com))|(?<note1>(?&note))|(?<gap>\s++)", regex.X | regex.S) for k, (d, _) in _LANGS.items()}
@@ -102,8 +109,15 @@ def _own_comments(language: str, pre: str, own_line: bool) -> str:
     return "\n".join(parts)
 
 
+def _shifted(text: str, m: regex.Match) -> str:
+    """Signature and body, moved to the left by what the signature's line is indented."""
+    at = m.start("sig")
+    line = text[text.rfind("\n", 0, at) + 1 : at]
+    return dedent(line[: len(line) - len(line.lstrip())] + text[at : m.end("code")]).rstrip()
+
+
 def functions(language: str, text: str) -> list[dict]:
-    """Every named function with a comment or docstring: name, line, kind, signature, raw documentation, body."""
+    """Every named function with a comment or docstring: name, line, kind, signature, raw documentation, code."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if text.startswith("﻿"):
         text = text[1:]
@@ -125,7 +139,7 @@ def functions(language: str, text: str) -> list[dict]:
             if d:
                 docs.append('"""' + d["d"])
             if docs:
-                out.append({"name": m["name"], "line": text.count("\n", 0, m.start("name")) + 1, "kind": "python_method" if m["ind"] else "python_function", "signature": m["sig"], "docs": docs, "body": m["body"]})
+                out.append({"name": m["name"], "line": text.count("\n", 0, m.start("name")) + 1, "kind": "python_method" if m["ind"] else "python_function", "signature": m["sig"], "docs": docs, "code": dedent(m["ind"] + text[m.start("sig") : m.end("body")]).rstrip()})
         return out
     for m in pattern(language).finditer(text):
         name = m["name"]
@@ -135,7 +149,7 @@ def functions(language: str, text: str) -> list[dict]:
         own = not text[text.rfind("\n", 0, at) + 1 : at].strip()
         doc = _own_comments(language, m["pre"], own)
         if doc:
-            out.append({"name": name.strip("`"), "line": text.count("\n", 0, m.start("name")) + 1, "kind": {"kotlin": "kotlin_function", "rust": "rust_function"}.get(language, "method" if language == "java" else "function"), "signature": m["sig"], "docs": [doc], "body": ""})
+            out.append({"name": name.strip("`"), "line": text.count("\n", 0, m.start("name")) + 1, "kind": {"kotlin": "kotlin_function", "rust": "rust_function"}.get(language, "method" if language == "java" else "function"), "signature": m["sig"].rstrip(), "docs": [doc], "code": _shifted(text, m)})
     return out
 
 

@@ -170,51 +170,78 @@ class Grammar:
 
     def furthest(self, tokens: list[tuple[str, ...]], rule: str = "file") -> int:
         """How many tokens some parse can begin with; len(tokens) + 1 if the whole is of the language."""
-        acts, soft = self.acts, self.soft
-        root: list = []
-        here = [(self.start[rule], root)]
-        n = len(tokens)
-        for pos in range(n + 1):
-            terms = tokens[pos] if pos < n else ("$",)
-            work, nodes, seen = here, {}, set()
-            here, ahead = [], set()
-            skip = soft in terms
-            if skip:
-                here = list(work)
-                ahead = {(s, id(x)) for s, x in here}
-            while work:
-                s, node = work.pop()
-                table = acts[s]
-                for t in terms:
-                    act = table.get(t)
-                    if act is None:
-                        continue
-                    to, calls, end = act
-                    if to >= 0:
-                        k = (to, id(node))
-                        if k not in ahead:
-                            ahead.add(k)
-                            here.append((to, node))
-                    for begin, after in calls:
-                        called = nodes.get(begin)
-                        if called is None:
-                            nodes[begin] = called = [(after, node)]
-                            work.append((begin, called))
-                        elif all(a != after or b is not node for a, b in called):
-                            called.append((after, node))
-                    if end:
-                        if node is root:
-                            if t == "$":
-                                return n + 1
-                            continue
-                        for edge in node:
-                            k = (edge[0], id(edge[1]))
-                            if k not in seen:
-                                seen.add(k)
-                                work.append(edge)
-            if not here:
-                return pos
-        return n
+        run = Run(self, rule)
+        for pos, terms in enumerate([*tokens, ("$",)]):
+            run.step(terms)
+            if not run.here:
+                return len(tokens) + 1 if run.done else pos
+        return len(tokens)
 
     def accepts(self, tokens: list[tuple[str, ...]], rule: str = "file") -> bool:
         return self.furthest(tokens, rule) == len(tokens) + 1
+
+
+class Run:
+    """A recognition under way: descriptors (state, stack node) after some tokens; `done` once the end was accepted."""
+
+    def __init__(self, grammar: Grammar, rule: str = "file"):
+        self.acts, self.soft = grammar.acts, grammar.soft
+        self.root: list = []
+        self.here = [(grammar.start[rule], self.root)]
+        self.done = False
+
+    def step(self, terms: tuple[str, ...]) -> None:
+        """Takes one token, given by its terminals; `$` is the end."""
+        acts, root = self.acts, self.root
+        work, nodes, seen = self.here, {}, set()
+        here, ahead = [], set()
+        if self.soft in terms:
+            here = list(work)
+            ahead = {(s, id(x)) for s, x in here}
+        while work:
+            s, node = work.pop()
+            table = acts[s]
+            for t in terms:
+                act = table.get(t)
+                if act is None:
+                    continue
+                to, calls, end = act
+                if to >= 0:
+                    k = (to, id(node))
+                    if k not in ahead:
+                        ahead.add(k)
+                        here.append((to, node))
+                for begin, after in calls:
+                    called = nodes.get(begin)
+                    if called is None:
+                        nodes[begin] = called = [(after, node)]
+                        work.append((begin, called))
+                    elif all(a != after or b is not node for a, b in called):
+                        called.append((after, node))
+                if end:
+                    if node is root:
+                        if t == "$":
+                            self.here, self.done = [], True
+                            return
+                        continue
+                    for edge in node:
+                        k = (edge[0], id(edge[1]))
+                        if k not in seen:
+                            seen.add(k)
+                            work.append(edge)
+        self.here = here
+
+
+def together(tokens: list, dialects: list[tuple[str, Grammar, object]]) -> list[str]:
+    """The dialects that accept the tokens, all run side by side, a token at a time; one without descriptors left drops out."""
+    runs = [(name, Run(g), terms) for name, g, terms in dialects]
+    for kind, t, _ in tokens:
+        for _, run, terms in runs:
+            run.step(terms(kind, t))
+        if not all(run.here for _, run, _ in runs):
+            runs = [r for r in runs if r[1].here]
+            if not runs:
+                return []
+    for _, run, _ in runs:
+        run.step(("$",))
+    return [name for name, run, _ in runs if run.done]

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from graphloom.llm.gll import Grammar
+from graphloom.llm.gll import Grammar, together
+from graphloom.llm.rewrites import python2_tokens, without_jsx
 from graphloom.parse.lexers import LexError, lex
 
 PYTHON = r"""
@@ -77,6 +78,14 @@ closed = '-'? NUM (('-' | BIN) NUM)? | CONST | (STR | fstring)+ | dotted ('(' (p
 patitems = ('*' ID | pattern) (',' ('*' ID | pattern))* ','? ;
 patpair = closed ':' pattern | '**' ID ;
 """
+# What Python 2 says otherwise: statements print and exec, exceptions and values after a comma.
+PYTHON2 = {
+    "| 'pass' |": "| PRINT (exprs | '>>' expr (',' exprs)?)? | EXEC disj ('in' expr (',' expr)?)? | 'pass' |",
+    "'raise' (expr ('from' expr)?)?": "'raise' (expr (',' expr (',' expr)?)?)?",
+    "(expr ('as' ID)?)? ':' block ;\nwiths": "(expr (('as' | ',') target)?)? ':' block ;\nwiths",
+    "| SOFTMATCH exprs ':' NL IN (SOFTCASE patterns ('if' named)? ':' block)+ DE ;": ";",
+    "p = ID (':' expr)? ;": "p = ID | '(' ID (',' ID)* ','? ')' ;",
+}
 _ECMA_EXPR = r"""
 expr = aexpr (',' aexpr)* ;
 aexpr = unit (bin unit | SUFFIXTYPE)* ('?' aexpr ':' aexpr)? ;
@@ -576,7 +585,7 @@ def _line_ends(tokens: list, kotlin: bool) -> list:
     """Keeps the line ends that may end a statement; adds one before each `}` and at the end, where one is implied."""
     out: list = []
     after = _NO_END_AFTER | ({"<"} if not kotlin else set())
-    before = _NO_END_BEFORE - ({"in", "as", "*", "instanceof", "[", "?", "&", "<"} if True else set())
+    before = _NO_END_BEFORE - {"in", "as", "*", "instanceof", "[", "?", "&", "<"}
     depth: list[str] = []
     pend = False
     for tok in tokens:
@@ -590,7 +599,7 @@ def _line_ends(tokens: list, kotlin: bool) -> list:
             pend = True
         if pend:
             inner = depth and depth[-1] in "(["
-            if out and not inner and not (out[-1][0] == "op" and out[-1][1] in after) and out[-1][0] not in ("nl", "sh", "sm") and not (kind == "op" and t in before) and not (kotlin and kind == "id" and t in ("else", "catch", "finally") and False):
+            if out and not inner and not (out[-1][0] == "op" and out[-1][1] in after) and out[-1][0] not in ("nl", "sh", "sm") and not (kind == "op" and t in before):
                 out.append(("nl", "\n", at))
             pend = False
         if kind == "op":
@@ -649,7 +658,11 @@ def _rust_labels(tokens: list) -> list:
 
 
 def _prepared(language: str, text: str) -> list:
-    toks = lex(language, text)
+    if language == "python2":
+        text, language = python2_tokens(text), "python"
+    jsx = language.endswith("-jsx")
+    language = language.split("-")[0]
+    toks = lex(language, without_jsx(text, language == "typescript") if jsx else text)
     if language in ("javascript", "typescript"):
         return _line_ends(toks, False)
     if language == "kotlin":
@@ -661,30 +674,64 @@ def _prepared(language: str, text: str) -> list:
     return [x for x in toks if x[0] not in ("com", "nl")]
 
 
+def _py2_terms(kind: str, t: str) -> tuple[str, ...]:
+    if kind == "id" and t in ("print", "exec"):
+        return (t.upper(),)
+    if kind == "id" and t in ("nonlocal", "async", "await"):
+        return ("ID",)
+    if kind == "op" and t == ">>":
+        return ("BIN", ">>")
+    return _py_terms(kind, t)
+
+
+#: The current dialects of what an extension stands for, which run side by side on one sequence of tokens.
+CURRENT = {"python": "python", "java": "java", "kotlin": "kotlin", "kotlin-script": "kotlin-script", "rust": "rust", "javascript": "javascript", "typescript": "typescript", "javascript-jsx": "javascript", "typescript-jsx": "typescript"}
+#: Dialects that are supported besides, each on tokens of its own: earlier versions of a language, and extensions of it under its plain name.
+BESIDES = {"python": ("python2",), "kotlin": ("kotlin-script",), "javascript": ("javascript-jsx",), "typescript": ("typescript-jsx",)}
+
+
 @lru_cache(maxsize=None)
 def dialects(language: str) -> list[tuple[str, Grammar, object]]:
-    """(dialect, grammar, token -> terminals) of every supported dialect of the language."""
+    """(dialect, grammar, token -> terminals) of the dialects of a language that share its tokens."""
     if language == "python":
         return [("python3", Grammar(PYTHON, soft="NEVER"), lru_cache(20_000)(_py_terms))]
+    if language == "python2":
+        text = PYTHON
+        for a, b in PYTHON2.items():
+            assert a in text, a
+            text = text.replace(a, b)
+        return [("python2", Grammar(text, soft="NEVER"), lru_cache(20_000)(_py2_terms))]
     if language == "java":
         return [("java", Grammar(_sub(JAVA, MODULEKW="NEVER")), lru_cache(20_000)(_java_terms))]
-    if language == "kotlin":
-        return [("kotlin", Grammar(_sub(KOTLIN, CLASSREF="NEVER").replace("Q2 = Q ;", "")), lru_cache(20_000)(_kt_terms))]
+    if language in ("kotlin", "kotlin-script"):
+        text = _sub(KOTLIN, CLASSREF="NEVER").replace("Q2 = Q ;", "")
+        if language == "kotlin-script":
+            assert "(decl | ';' | NL)* ;\nend" in text
+            text = text.replace("(decl | ';' | NL)* ;\nend", "stmts? ;\nend")
+        return [(language, Grammar(text), lru_cache(20_000)(_kt_terms))]
     if language == "rust":
         return [("rust2021", Grammar(RUST.replace("LABEL2 = LIFE ':' ;", "").replace("PREX2 = '-' ;", "")), lru_cache(20_000)(_rust_terms))]
     ts = language == "typescript"
     return [(f"{language}-{'module' if m else 'script'}", _ecma(m, ts), lru_cache(20_000)(_ecma_terms(ts, m))) for m in (True, False)]
 
 
-def accepting(language: str, text: str) -> list[str]:
-    """The dialects that accept the text. All run on the same tokens; empty if it has no tokens."""
+def accepting(language: str, text: str, besides: bool = False) -> list[str]:
+    """The dialects that accept the text; empty if it has no tokens. `language` may be one of CURRENT.
+
+    Those that share tokens run side by side. `besides` asks the dialects of BESIDES too.
+    """
     try:
-        toks = _prepared(language, text)
-    except LexError:
-        return []
-    except RecursionError:
-        return []
-    return [name for name, g, terms in dialects(language) if g.accepts([terms(k, t) for k, t, _ in toks])]
+        found = together(_prepared(language, text), dialects(CURRENT[language]))
+    except (LexError, RecursionError):
+        found = []
+    if besides:
+        for other in BESIDES.get(language, ()):
+            try:
+                more = together(_prepared(other, text), dialects(CURRENT.get(other, other)))
+            except (LexError, RecursionError):
+                continue
+            found += [name.replace(language, other, 1) if other.endswith("-jsx") else name for name in more]
+    return found
 
 
 def explain(language: str, text: str) -> str:
@@ -693,7 +740,7 @@ def explain(language: str, text: str) -> str:
         toks = _prepared(language, text)
     except LexError as e:
         return f"tokens: {e}"
-    best = max(((g.furthest([terms(k, t) for k, t, _ in toks]), name) for name, g, terms in dialects(language)), key=lambda x: x[0])
+    best = max(((g.furthest([terms(k, t) for k, t, _ in toks]), name) for name, g, terms in dialects(CURRENT.get(language, language))), key=lambda x: x[0])
     k = best[0]
     if k > len(toks):
         return "ok"

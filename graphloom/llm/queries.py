@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: code.documented_functions(t(s, d, "files")),
         "p1_pairs": lambda s, d: code.documented_functions(t(s, d, "files"), full=True),
         "p3_found": lambda s, d: code.unparsable(t(s, d, "files")),
+        "p3_dialects": lambda s, d: code.dialects(t(s, d, "files")),
         "p3_rates": lambda s, d: code.unparsable_rates(t(s, d, "files")),
         "p8_found": lambda s, d: quality.not_prose(t(s, d, "documents")),
         "p8_stats": lambda s, d: quality.text_quality(t(s, d, "documents")),

@@ -56,6 +56,31 @@ def test_python_grammar_against_the_real_parser():
         assert bool(grammars.accepting("python", t)) == ok, (t, ok)
 
 
+DIALECTS = [
+    ("python", "print 'x'\nexec 'a' in d\nraise E, 'x'\ntry:\n  pass\nexcept E, e:\n  print >>f, `x`, 10L, 0777\nif a <> b: pass\ndef f((a, b), c): print\n", "python2"), ("python", "print 'a' 'b', ur'c'\n", "python2"),
+    ("javascript", "const A = () => <div/>;", "javascript-jsx-module"), ("javascript", "function f() {\n  return <ul className='x' {...p}>{xs.map(x => <li key={x}>don't {x} </li>)}{/* c */}</ul>;\n}", "javascript-jsx-module"),
+    ("typescript", "const A = <T,>(x: T) => <B<T> y={x}/>;", "typescript-jsx-module"), ("typescript", "const A = (x: number) => { if (x < 3) { return <><B a='1' on={() => { go(x); }}>it's</B></>; } return null; }", "typescript-jsx-module"),
+    ("kotlin", "plugins {\n  id(\"x\")\n}\nval a = 1\nprintln(a)\n", "kotlin-script"),
+]
+
+
+@pytest.mark.parametrize("language,text,dialect", DIALECTS)
+def test_dialects_besides(language, text, dialect):
+    """Rejected by the current dialects of the plain extension, accepted by the other."""
+    assert not grammars.accepting(language, text) and dialect in grammars.accepting(language, text, besides=True)
+    if dialect.startswith(("java", "type", "kot")):
+        assert grammars.accepting(dialect.replace("-module", ""), text)
+
+
+def test_dialects_reject():
+    for text in ("const A = () => <div>;", "const A = () => <div></p>;", "const A = () => <div a={let x}></div>;", "const A = () => <div a=></div>;", "x = <a>{</a>;"):
+        assert not grammars.accepting("javascript-jsx", text), text
+    assert grammars.accepting("javascript-jsx", "let a = b < c; let d = e > f; const g = /<div>/; const h = `<p>${<b>{x}</b>}</p>`;")
+    assert grammars.accepting("typescript-jsx", "const f = <T extends X>(a: T) => a; const b = c < d && e > (f);")
+    assert not grammars.accepting("python", "print 'x", besides=True) and not grammars.accepting("python", "def f(:\n", besides=True)
+    assert grammars.accepting("python", "x = 1\n", besides=True) == ["python3", "python2"]
+
+
 def test_gll_is_general():
     g = Grammar("file = s ; s = s s | 'a' | '(' s ')' ;")
     assert g.accepts([("a",)] * 40) and g.accepts([("(",), ("a",), (")",), ("a",)]) and not g.accepts([("(",), ("a",)]) and not g.accepts([])
@@ -78,6 +103,17 @@ def test_documented_functions():
     assert names("rust", f"/// {D}\n#[inline]\npub async fn f<'a>(x: &'a str) -> u8 {{ 1 }}\n//! {D}\n\nfn g() {{}}") == [("f", 3)]
 
 
+def test_code_of_functions():
+    def code_of(language, text):
+        return [f["code"] for f in docpairs.documented(language, text)]
+
+    assert code_of("kotlin", f"class A {{\n  /** {D} */\n  fun f(a: T): Int =\n    when (a) {{\n      else -> 1\n    }}\n  /** {D} */\n  fun g(x: Int): Int = x +\n    1\n  /** {D} */\n  abstract fun h(x: Int): Int\n}}") == ["fun f(a: T): Int =\n  when (a) {\n    else -> 1\n  }", "fun g(x: Int): Int = x +\n  1", "abstract fun h(x: Int): Int"]
+    assert code_of("typescript", f"/** {D} */\nexport const f = async (a: number) => g(a)\n  .then((x) => x);\nclass A {{\n  /** {D} */\n  get(x: string): string {{\n    return '}}';\n  }}\n}}") == ["export const f = async (a: number) => g(a)\n  .then((x) => x)", "get(x: string): string {\n  return '}';\n}"]
+    assert code_of("java", f'class A {{\n  /** {D} */\n  @X(1)\n  public int f(int a) {{\n    return "}}".length();\n  }}\n  /** {D} */\n  void h();\n}}') == ['public int f(int a) {\n  return "}".length();\n}', "void h();"]
+    assert code_of("rust", f"/// {D}\npub fn f(x: u8) -> u8 {{\n    x\n}}\n") == ["pub fn f(x: u8) -> u8 {\n    x\n}"]
+    assert code_of("python", f'class A:\n    @d\n    async def f(self):\n        """{D}"""\n        return 1\n\n    x = 1\n') == [f'async def f(self):\n    """{D}"""\n    return 1']
+
+
 @pytest.mark.parametrize("doc", ["TODO: write down what this function does and why it is here", "Documentation goes here", "x = compute(a, b);", "eslint-disable-next-line no-unused-vars because the caller needs it", "Count open nodes.", "@param x the first of the two numbers to add", "", "-----------"])
 def test_trivial_documentation(doc):
     assert docpairs.words(f"// {doc}", "countOpenNodes") < docpairs.LEAST_WORDS
@@ -94,8 +130,13 @@ def test_source_file_operators(spark):
     f = files(spark, (1, "/a.py", "def f(:"), (1, "/a.py", "def f(:"), (2, "/b.py", f'def f():\n    """{D}"""\n'), (3, "/c.py", None), (4, "/d.py", " \n"), (5, "/e.css", "{{{"), (6, "/f.py", "﻿"), (None, "/g.py", "("), (7, None, "("), (8, "/x" * 50 + ".java", "class {"))
     assert sorted(r.file_id for r in code.unparsable(f).collect()) == [1, 8]
     assert [tuple(r) for r in code.documented_functions(f).collect()] == [(2, "f", 1)]
-    assert code.documented_functions(f, full=True).first()["docstring"] == D
-    assert {(r.language, r.files, r.unparsable) for r in code.unparsable_rates(f).collect()} == {("python", 5, 1), ("java", 1, 1)}
+    assert code.documented_functions(f, full=True).first()["docstring"] == D and code.documented_functions(f, full=True).first()["code"] == f'def f():\n    """{D}"""'
+    broken = files(spark, (1, "/a.js", f"// {D}\nfunction f(x) {{\n  return <p>{{x}}</p>;\n}}\nlet = ;"))
+    assert code.documented_functions(broken).count() == 0 and code.documented_functions(broken, full=True).first()["code"].endswith("</p>;\n}")
+    assert {(r.language, r.files, r.unparsable, r.no_grammar) for r in code.unparsable_rates(f).collect()} == {("python", 5, 1, 0), ("java", 1, 1, 0), ("css", 1, 0, 1)}
+    assert {r.file_id: r.dialects for r in code.dialects(f).collect()} == {1: "", 2: "python2,python3", 8: ""}
+    twice = spark.createDataFrame([(1, "r", "/a.py", "def f(:", "2025-01-01"), (1, "r", "/a.py", "x = 1", "2025-01-02"), (2, "r", "/b.tsx", "const a = <b/>;", None), (3, "r", "/c.kts", "f { }", None), (4, "r", "/d.jsx", "<a", None)], "file_id long, repo_name string, path string, content string, scanned_at string")
+    assert [r.file_id for r in code.unparsable(twice).collect()] == [4]
     assert code.unparsable(f.limit(0)).count() == 0 and code.documented_functions(f.limit(0)).count() == 0
 
 
