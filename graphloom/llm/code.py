@@ -64,8 +64,8 @@ def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     run = _cached(lambda language, text: ",".join(sorted(accepting(language, text, besides=True))))
     for b in batches:
-        b = b[[not t.isspace() and t != "\ufeff" for t in b["content"]]]
-        yield pd.DataFrame({"file_id": b["file_id"], "dialects": [run(lang, t) for lang, t in zip(b["lang"], b["content"])]})
+        rows = [(i, run(lang, t)) for i, lang, t in zip(b["file_id"], b["lang"], b["content"]) if not t.isspace() and t != "\ufeff"]
+        yield pd.DataFrame(rows, columns=["file_id", "dialects"])
 
 
 def dialects(files: DataFrame) -> DataFrame:
