@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_recall": lambda s, d: neighbours.recall(t(s, d, "vectors"), neighbours.nearest_pairs(t(s, d, "vectors"))),
         "p7_packing": lambda s, d: packing.pack(t(s, d, "documents")),
         "p7_summary": lambda s, d: packing.summary(packing.pack(t(s, d, "documents")), t(s, d, "documents")),
+        # partitions of 250 items, so that containers with gaps are given back and packed again across partitions on small tables too
+        "p7_exchange": lambda s, d: packing.summary(packing.pack(t(s, d, "documents"), per_part=250), t(s, d, "documents")),
         "p6_ids": lambda s, d: bpe.encode_documents(t(s, d, "documents")),
     }
 
