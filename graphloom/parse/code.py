@@ -45,11 +45,18 @@ class Tokens:
             if kind in ("op", "sh") and (t in _OPEN or kind == "sh"):
                 stack.append(i)
             elif kind == "st" or (kind == "op" and t in (")", "]", "}")):
-                while stack:
-                    j = stack.pop()
-                    if (kind == "st") == (self.toks[j][0] == "sh") and (kind == "st" or _OPEN[self.toks[j][1]] == t):
-                        self.pair[j] = i
+                k = len(stack) - 1
+                while k >= 0:
+                    head = self.toks[stack[k]]
+                    if (kind == "st") == (head[0] == "sh") and (kind == "st" or _OPEN[head[1]] == t):
                         break
+                    # a brace closes what is left open within it; other brackets close nothing beyond a brace
+                    k = k - 1 if t == "}" or head[1] != "{" else -1
+                if k >= 0:
+                    for j in stack[k + 1 :]:
+                        self.pair[j] = i - 1
+                    self.pair[stack[k]] = i
+                    del stack[k:]
         n = len(self.toks)
         for j in stack:
             self.pair.setdefault(j, n - 1)
@@ -312,11 +319,11 @@ def java(src: Source) -> None:
 
 def _owners(t: Tokens) -> list[int]:
     """For each token the index of the innermost bracket around it, -1 for none."""
-    out, stack = [], [-1]
+    out, stack = [], []
     for i, (kind, w, _) in enumerate(t.toks):
-        if kind == "op" and w in (")", "]", "}") and len(stack) > 1:
+        while stack and t.pair.get(stack[-1], len(t.toks)) <= i:
             stack.pop()
-        out.append(stack[-1])
+        out.append(stack[-1] if stack else -1)
         if kind == "op" and w in _OPEN:
             stack.append(i)
     return out
@@ -667,14 +674,15 @@ def python(src: Source) -> None:
                         k = e
                     k += 1
             in_class = next((s[2].name for s in stack if s[0] == "class"), None)
-            kind_ = "python_class" if w == "class" else "python_method" if in_class else "python_function"
+            nested = w == "def" and bool(stack) and stack[-1][0] == "def"  # a function of its own, whatever class is around it
+            kind_ = "python_class" if w == "class" else "python_method" if in_class and not nested else "python_function"
             doc = None
             b = colon + 1
             while t.kind(b) in ("nl", "in"):
                 b += 1
             if t.kind(b) == "str" and re.match(r"[rRuU]?['\"]", t.text(b)):
                 doc = strip_marks(re.sub(r"^[rRuU]?(\"\"\"|'''|\"|')|(\"\"\"|'''|\"|')$", "", t.text(b)))
-            e = src.add(name, kind_, t.at(start), t.end(colon), at, signature=t.span(p, close) if w == "def" and close >= p else None, enclosing=in_class, docstring=doc or t.doc(start), decorators=deco)
+            e = src.add(name, kind_, t.at(start), t.end(colon), at, signature=t.span(p, close) if w == "def" and close >= p else None, enclosing=None if nested else in_class, docstring=doc or t.doc(start), decorators=deco)
             one_line = t.kind(colon + 1) not in ("nl", "")
             if one_line:
                 k = colon

@@ -118,6 +118,8 @@ _RUST = _compile(
     ("num", r"(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:_*(?:[iuf](?:8|16|32|64|128|size)))?(?!\w)"),
     ("op", r"\.\.\.|\.\.=|\.\.|->|=>|::|==|!=|<<=|<=|<-|<<|[-+*/%&|^]=|[-{}()\[\];,<>+*/%&|^!~?:=.@#$]"),
 )
+#: The same with strings that end on their line: for files in which some string never ends.
+_RUST_LINES = re.compile(_RUST.pattern.replace(r'[bc]?"(?:[^"\\]|\\.)*"', r'[bc]?"(?:[^"\\\n]|\\.)*"'), re.S)
 _KOTLIN = _compile(
     ("ws", r"[ \t\f\ufeff]+"),
     ("nl", r"[\r\n]+"),
@@ -335,8 +337,15 @@ def _python(text: str, tolerant: bool) -> list:
     return out
 
 
+#: A line of Rust that begins an item: in a plain string that spans lines it means that the string never ended.
+_RUST_ITEM = re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const)\s+)*(?:fn|impl|struct|enum|trait|mod|use)\b.*[{;]\s*$", re.M)
+
+
 def lex(language: str, text: str, tolerant: bool = False) -> list[tuple[str, str, int]]:
-    """The tokens of `text` in language java, kotlin, typescript, javascript, python or rust."""
+    """The tokens of `text` in language java, kotlin, typescript, javascript, python or rust.
+
+    In a tolerant reading of Rust, whose strings may span lines, strings end on their line if one would hold a line of code.
+    """
     if language in ("javascript", "typescript"):
         return _ecma(text, tolerant)
     if language == "java":
@@ -344,7 +353,10 @@ def lex(language: str, text: str, tolerant: bool = False) -> list[tuple[str, str
     if language == "rust":
         if text.startswith("#!") and not text.startswith("#!["):
             text = "//" + text[2:]
-        return _plain(_RUST, text, tolerant)
+        found = _plain(_RUST, text, tolerant)
+        if tolerant and any(k == "str" and t[0] == '"' and "\n" in t and _RUST_ITEM.search(t) for k, t, _ in found):
+            found = _plain(_RUST_LINES, text, tolerant)
+        return found
     if language == "kotlin":
         return _plain(_KOTLIN, text, tolerant)
     if language == "python":

@@ -153,6 +153,20 @@ def _extracted(s: SparkSession, d: str) -> DataFrame:
     return extraction.extract_files(_files(s, d))
 
 
+#: Languages whose extraction is compared with the declarations that the given index holds.
+LANGUAGES = ("java", "kotlin", "typescript", "javascript", "html", "css", "scss", "python", "rust")
+
+
+def _declared(s: SparkSession, d: str, language: str) -> DataFrame:
+    """What extraction finds, in all files of a language, of the declarations that the index holds.
+
+    Left out are files with an odd number of double quotes: in those a string never ends, and what follows may be read as part of it.
+    """
+    f = _files(s, d).where(F.length(F.regexp_replace("content", '[^"]', "")) % 2 == 0)
+    e = extraction.entities_of(extraction.extract_files(f.where(text.language(F.col("path")) == language)))
+    return e.join(_entities(s, d).select("uuid"), "uuid", "left_semi").select("uuid", "name", "kind", "fqn", "repo_name", "file_path")
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphans(*(_t(spark, sf_dir, n) for n in ("intents", "edges", "entities", "files", "removals", "external_names")))
 
@@ -176,6 +190,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_report": lambda s, d: orphans.orphan_report(_orphans(s, d)),
         "extract_entities": lambda s, d: extraction.entities_of(_extracted(s, d)),
         "extract_intents": lambda s, d: extraction.intents_of(_extracted(s, d)),
+        **{f"extract_{x}": (lambda s, d, x=x: _declared(s, d, x)) for x in LANGUAGES},
         "current_entities": lambda s, d: _entities(s, d).select("uuid", "name", "kind", "fqn", "signature", "docstring", "file_path", "start_line", "repo_name"),
         "find_references": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "(tree"),
         "find_references_repo": lambda s, d: graph.find_references(_entities(s, d), _edges(s, d), "Index", repo=REPO),

@@ -198,3 +198,12 @@ def test_lexers():
     for language, bad in (("java", '"open'), ("kotlin", '"${'), ("rust", "/* /* */"), ("typescript", "`a"), ("python", "'''x")):
         with pytest.raises(LexError):
             lex(language, bad)
+
+
+def test_what_follows_a_broken_place_is_read():
+    """An open bracket ends with its block, a Rust string that never ends with its line; nested functions of Python are their own."""
+    names = lambda lang, t: [(r["name"], r["kind"]) for r in extract(lang, t, "/f", "r")]
+    assert ("b", "method") in names("java", "class A { void a() { p(q, (1; }\n static int b(T[] x) { return 1; } }")
+    assert ("g", "rust_method") in names("rust", 'struct S { a: u8 }\nimpl S {\n fn f(&self) {\n  let s = "open;\n }\n pub fn g(&self) {\n  h("x");\n }\n}\n')
+    assert ("g", "rust_function") not in names("rust", 'fn f() { let s = "one;\n two\n"; }\n')
+    assert names("python", "class A:\n    def f(self):\n        def g(): pass\n")[1:] == [("f", "python_method"), ("g", "python_function")]
