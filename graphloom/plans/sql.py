@@ -174,9 +174,9 @@ SQL: dict[str, str] = {
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 120 SECOND THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY 1, 2""",
     "watch_dedup": "SELECT DISTINCT user_id, event_type FROM events",
 }
-# extraction: every declaration that the index holds of a file that is there, with its name, kind and full name
+# extraction: every declaration that the index holds of a file whose text still has its name, with its name, kind and full name
 SQL |= {
     f"extract_{language}": _with(E_, F_) + f"""SELECT e.uuid, e.name, e.kind, e.fqn, e.repo_name, e.file_path FROM e JOIN f ON f.repo_name = e.repo_name AND f.path = e.file_path
-    WHERE regexp_matches(f.path, '\\.({ext})$') AND length(regexp_replace(f.content, '[^"]', '', 'g')) % 2 = 0 AND trim(f.content, chr(10) || chr(13) || chr(9) || ' ') <> ''"""
+    WHERE regexp_matches(f.path, '\\.({ext})$') AND length(regexp_replace(f.content, '[^"]', '', 'g')) % 2 = 0 AND contains(f.content, e.name)"""
     for language, ext in {"java": "java", "kotlin": "kts?", "typescript": "ts|tsx|cts", "javascript": "js|mjs|cjs|jsx", "html": "html?", "css": "css", "scss": "scss|sass", "python": "py|pyi|pyw", "rust": "rs"}.items()
 }
