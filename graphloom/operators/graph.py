@@ -43,7 +43,7 @@ def find_references(entities: DataFrame, edges: DataFrame, name: str, repo: str
     if repo is not None:
         target = target.where(F.col("repo_name") == repo)
     target = target.select(F.col("uuid").alias("dst_uuid"), F.col("fqn").alias("target"), F.col("file_path").alias("target_file"), F.col("start_line").alias("target_line"))
-    hits = edges.where(F.col("rel_type").isin(*rel_types)).join(target, "dst_uuid")
+    hits = edges.where(F.col("rel_type").isin(*rel_types)).select("src_uuid", "dst_uuid", "rel_type").join(target, "dst_uuid")
     src = entities.select(F.col("uuid").alias("src_uuid"), "name", "kind", "file_path", "start_line", "repo_name")
     return hits.join(src, "src_uuid").select("rel_type", "target", "target_file", "target_line", "src_uuid", "name", "kind", "file_path", "start_line", "repo_name")
 

@@ -1,15 +1,20 @@
 """The engine's tables on disk and how they change.
 
-A table is a folder of versions; a change writes a new version and then moves the pointer, so a table is never overwritten while it is
-read and a lost executor or a broken job leaves the old version in place. Writes are idempotent: keys replace, they do not add.
+A table is cut into parts by repository and, within one, by a hash of the file; a part is a folder of one version. A manifest, numbered,
+names the version of every part of every table; the newest counts. A change writes new versions of the parts that it touches and then one
+manifest for all tables, so a reader sees all tables as of one change, nothing is overwritten while it is read, and a lost executor or a
+broken job leaves everything as it was. What no manifest of the last day names is deleted.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,8 +24,10 @@ TABLES: dict[str, StructType] = {"files": S.FILES, "entities": S.ENTITIES, "inte
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """`old` with the rows of `new` in place of those of the same keys; of new rows with one key, any one stays."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+    """`old` with the rows of `new` in place of those of the same keys; of new rows with one key the greatest stays."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else new.distinct()
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, entities: DataFrame) -> DataFrame:
@@ -51,6 +58,22 @@ def without_repo(entities: DataFrame, edges: DataFrame, vectors: DataFrame, repo
     return without(entities, edges, vectors, entities.where(F.col("repo_name") == repo).select("uuid").distinct())
 
 
+#: Parts of a repository; the column by which each table's rows are dealt to them.
+PARTS = 8
+BY = {"files": "path", "entities": "file_path", "intents": "src_file", "edges": "src_uuid", "vectors": "file_path", "state": "path"}
+#: Seconds for which versions stay that are no longer current, so that who reads them can finish.
+KEEP = 86_400.0
+
+
+def part_of(by: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(by, F.lit(""))), F.lit(PARTS)).cast("int")
+
+
+def folder_of(repo: Column) -> Column:
+    """The folder of a repository: 16 digits of its hash, as names may hold anything."""
+    return F.substring(F.sha1(F.encode(F.coalesce(repo, F.lit("")), "UTF-8")), 1, 16)
+
+
 class Store:
     """Versioned Parquet tables under one folder, local or on any file system that Spark reads."""
 
@@ -61,39 +84,109 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(conf)
 
     def ensure(self) -> None:
-        """Creates what is missing, empty."""
-        for name, schema in TABLES.items():
-            if self._current(name) is None:
-                self.write(name, self.spark.createDataFrame([], schema))
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
-
-    def _current(self, name: str) -> str | None:
-        p = self._path(self._pointer(name))
-        if not self._fs.exists(p):
-            return None
-        return self.spark.read.text(self._pointer(name)).first()[0]
-
-    def read(self, name: str) -> DataFrame:
-        v = self._current(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{v}") if v else self.spark.createDataFrame([], TABLES[name])
-
-    def write(self, name: str, df: DataFrame, keep: int = 2) -> None:
-        """Writes a version, sorted by repository and file where there are such columns, and points to it."""
-        version = f"v-{uuid.uuid4().hex}"
-        cols = [c for c in ("repo_name", "file_path", "path", "rel_type") if c in df.columns]
-        out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
-        (out.sortWithinPartitions(*cols) if cols else out).write.parquet(f"{self.root}/{name}/{version}")
-        tmp, to = self._path(f"{self.root}/{name}/NEXT-{version}"), self._path(self._pointer(name))
+        """Creates the folder of manifests with an empty one."""
+        if not self._numbers():
+            self._check()
+            self._publish(1, {})
+
+    def _list(self, folder: str) -> list:
+        p = self._path(f"{self.root}/{folder}")
+        return list(self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in (s.getPath().getName() for s in self._list("_manifests")) if n.endswith(".json") and n[:-5].isdigit())
+
+    def _check(self) -> None:
+        """Tables without a manifest are no empty tables."""
+        for name in TABLES:
+            if any(s.getPath().getName().startswith("v-") for s in self._list(name)):
+                raise RuntimeError(f"{self.root} holds versions of {name} but no manifest")
+
+    def manifest(self) -> dict:
+        """{table: {"repository's folder/part": version}} of the newest manifest."""
+        return self._newest()[1]
+
+    def _newest(self) -> tuple[int, dict]:
+        numbers = self._numbers()
+        if not numbers:
+            self._check()
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/_manifests/{numbers[-1]:012d}.json"))
+        try:
+            return numbers[-1], json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, manifest: dict) -> None:
+        tmp, to = self._path(f"{self.root}/_manifests/.new-{uuid.uuid4().hex}"), self._path(f"{self.root}/_manifests/{number:012d}.json")
         stream = self._fs.create(tmp, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         stream.close()
-        self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
-        old = sorted((s.getModificationTime(), s.getPath().toString()) for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.getPath().getName().startswith("v-"))
-        for _, p in old[:-keep]:
-            self._fs.delete(self._path(p), True)
+        if self._fs.exists(to) or not self._fs.rename(tmp, to):
+            self._fs.delete(tmp, False)
+            raise RuntimeError(f"another change of {self.root} came first")
+
+    def folder(self, repo: str) -> str:
+        return hashlib.sha1((repo or "").encode()).hexdigest()[:16]
+
+    def read(self, name: str, repos: list[str] | None = None, parts: list[int] | None = None, manifest: dict | None = None) -> DataFrame:
+        """A table, or only the rows of some repositories and of some of their parts: other folders are not even listed."""
+        found = (self.manifest() if manifest is None else manifest).get(name, {})
+        wanted = None if repos is None else {self.folder(r) for r in repos}
+        paths = [f"{self.root}/{name}/{v}/repo={k.split('/')[0]}/part={k.split('/')[1]}" for k, v in sorted(found.items()) if (wanted is None or k.split("/")[0] in wanted) and (parts is None or int(k.split("/")[1]) in parts)]
+        df = self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+        return df if repos is None else df.where(F.coalesce("repo_name", F.lit("")).isin([r or "" for r in repos]))
+
+    def commit(self, changes: dict[str, tuple[DataFrame, list[tuple[str, int]] | None]]) -> None:
+        """Puts in place of parts of tables, (repository, part), what the DataFrames hold of them; of other parts they must hold nothing.
+
+        All tables change at once. A part that gets no rows is gone. Without a list the whole table is replaced.
+        """
+        number, manifest = self._newest()
+        new = {t: dict(parts) for t, parts in manifest.items()}
+        for name, (df, touched) in changes.items():
+            version = f"v-{uuid.uuid4().hex}"
+            fields = TABLES[name].fields
+            out = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+            out = out.withColumn("repo", folder_of(F.col("repo_name"))).withColumn("part", part_of(F.col(BY[name])))
+            out.repartition("repo", "part").sortWithinPartitions("repo", "part", BY[name]).write.partitionBy("repo", "part").parquet(f"{self.root}/{name}/{version}")
+            here = new.setdefault(name, {})
+            if touched is None:
+                here.clear()
+            for repo, part in touched or ():
+                here.pop(f"{self.folder(repo)}/{part}", None)
+            for r in self._list(f"{name}/{version}"):
+                repo = r.getPath().getName()
+                if repo.startswith("repo="):
+                    for q in self._list(f"{name}/{version}/{repo}"):
+                        here[f"{repo[5:]}/{q.getPath().getName()[5:]}"] = version
+        self._publish(number + 1, new)
+        self.expire()
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replaces a whole table."""
+        self.commit({name: (df, None)})
+
+    def expire(self, seconds: float = KEEP) -> None:
+        """Deletes manifests, but for the newest, and versions that have not been current for so long."""
+        old = (time.time() - seconds) * 1000
+        numbers = self._numbers()
+        used: set[str] = set()
+        for i, n in enumerate(numbers):
+            p = self._path(f"{self.root}/_manifests/{n:012d}.json")
+            # a manifest was current until the next one came
+            until = self._fs.getFileStatus(self._path(f"{self.root}/_manifests/{numbers[i + 1]:012d}.json")).getModificationTime() if i + 1 < len(numbers) else None
+            if until is not None and until < old:
+                self._fs.delete(p, False)
+                continue
+            stream = self._fs.open(p)
+            used |= {v for parts in json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()).values() for v in parts.values()}
+            stream.close()
+        for name in TABLES:
+            for s in self._list(name):
+                v = s.getPath().getName()
+                if v.startswith("v-") and v not in used and s.getModificationTime() < old:
+                    self._fs.delete(s.getPath(), True)
 
 
 def repo_name_of(path: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph, search, vector
-from graphloom.operators.store import Store
+from graphloom.operators.store import Store, part_of
 
 NO_MATCH = "No matching code found for your query."
 MOST_LETTERS, MOST_RESULTS = 500, 20
@@ -21,11 +21,15 @@ class CodeIndex:
 
     def __init__(self, entities: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, embedder: vector.Embedder | None = None):
         self.entities, self.edges, self.vectors, self.embedder = entities, edges, vectors, embedder or vector.HashingEmbedder()
+        self.read = None  # reads parts of the Store's tables as of one manifest
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, embedder: vector.Embedder | None = None) -> CodeIndex:
         s = Store(spark, root)
-        return cls(s.read("entities"), s.read("edges"), s.read("vectors"), embedder)
+        manifest = s.manifest()
+        index = cls(*(s.read(name, manifest=manifest) for name in ("entities", "edges", "vectors")), embedder)
+        index.read = lambda name, repos=None, parts=None: s.read(name, repos, parts, manifest)
+        return index
 
     def search(self, query: str, k: int = 5, repo: str | None = None) -> DataFrame:
         """The k entities that are most like the query, with the graph around them."""
@@ -35,7 +39,8 @@ class CodeIndex:
             raise ValueError(f"at most {MOST_RESULTS} results")
         if isinstance(self.embedder, vector.ZeroEmbedder):
             self.embedder.embed_query(query)
-        return search.hybrid(self.entities, self.edges, self.vectors, self.embedder.embed([query])[0], k, repo)
+        vectors = self.read("vectors", [repo]) if self.read and repo is not None else self.vectors
+        return search.hybrid(self.entities, self.edges, vectors, self.embedder.embed([query])[0], k, repo)
 
     def callers(self, name: str, repo: str | None = None, strict: bool = False, rel_types: tuple[str, ...] | None = None) -> DataFrame:
         """Who calls, extends, implements or references what `name` means."""
@@ -44,7 +49,12 @@ class CodeIndex:
 
     def explore(self, path: str, repo: str | None = None) -> DataFrame:
         """What a file declares. A path that exists here is made absolute first."""
-        return graph.explore_file(self.entities, os.path.realpath(path) if os.path.exists(path) else path, repo).orderBy("position")
+        path = os.path.realpath(path) if os.path.exists(path) else path
+        entities = self.entities
+        if self.read:  # only the one part of each repository in which the file can be
+            part = entities.sparkSession.range(1).select(part_of(F.lit(path))).first()[0]
+            entities = self.read("entities", None if repo is None else [repo], [part])
+        return graph.explore_file(entities, path, repo).orderBy("position")
 
 
 class Answer(list):

@@ -17,7 +17,7 @@ ENTITIES = _of(
     ("language", _S), ("file_path", _S), ("start_line", IntegerType()), ("end_line", IntegerType()), ("enclosing_class", _S), ("repo_name", _S), ("embed_text", _S),
 )
 INTENTS = _of(("repo_name", _S), ("src_uuid", _S), ("src_file", _S), ("src_enclosing_class", _S), ("seq", IntegerType()), ("intent_type", _S), ("target", _S), ("receiver", _S), ("line", IntegerType()))
-EDGES = _of(("src_uuid", _S), ("dst_uuid", _S), ("rel_type", _S))
+EDGES = _of(("src_uuid", _S), ("dst_uuid", _S), ("rel_type", _S), ("repo_name", _S))  # the source's repository
 VECTORS = _of(
     ("uuid", _S), ("repo_name", _S), ("embedding", ArrayType(FloatType())), ("name", _S), ("kind", _S), ("language", _S), ("file_path", _S), ("start_line", IntegerType()), ("signature", _S), ("docstring", _S),
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
+import logging
 import os
 import re
 from collections.abc import Iterator
@@ -81,7 +82,8 @@ def discover(root: str) -> list[str]:
         sets = [*sets, (folder, _rules(folder, ".gitignore") + _rules(folder, ".ignore"))]
         try:
             items = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
+        except OSError as e:
+            logging.getLogger(__name__).warning("%s is left out: %s", folder, e)
             return
         for e in items:
             if e.is_dir(follow_symlinks=False):
@@ -128,7 +130,10 @@ class _TreeReader(DataSourceReader):
 
 
 class _ChangeReader(SimpleDataSourceStreamReader):
-    """Changes since the last look: the offset holds the hashes of the tree, so that a restart goes on from there."""
+    """Changes since the last look: the offset holds time, size and hash of each file, so that a restart goes on from there.
+
+    A file is read again only if its time or size is another than at the last look.
+    """
 
     def __init__(self, options: dict):
         self.root, self.repo = options["path"], options.get("repo") or ""
@@ -144,10 +149,18 @@ class _ChangeReader(SimpleDataSourceStreamReader):
         seen = set()
         for p in discover(self.root):
             seen.add(p)
+            try:
+                st = os.stat(p)
+            except OSError:
+                continue
+            known = old.get(p)
+            if known and known[:2] == [st.st_mtime_ns, st.st_size] or len(rows) >= self.limit:
+                continue
             digest = read_file(p)[1]
-            if digest and old.get(p) != digest and len(rows) < self.limit:
+            if digest and (not known or known[2] != digest):
                 rows.append((self.repo, p, digest, "modified" if p in old else "added", snapshot))
-                new[p] = digest
+            if digest:
+                new[p] = [st.st_mtime_ns, st.st_size, digest]
         for p in sorted(set(old) - seen):
             rows.append((self.repo, p, None, "deleted", snapshot))
             del new[p]
@@ -158,7 +171,7 @@ class _ChangeReader(SimpleDataSourceStreamReader):
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         old, new = json.loads(start["hashes"]), json.loads(end["hashes"])
         snapshot = int(end["snapshot"])
-        rows = [(self.repo, p, h, "modified" if p in old else "added", snapshot) for p, h in sorted(new.items()) if old.get(p) != h]
+        rows = [(self.repo, p, h, "modified" if p in old else "added", snapshot) for p, (_, _, h) in sorted(new.items()) if p not in old or old[p][2] != h]
         return iter(rows + [(self.repo, p, None, "deleted", snapshot) for p in sorted(set(old) - set(new))])
 
     def commit(self, end: dict) -> None:
@@ -190,9 +203,8 @@ def load_state(spark: SparkSession, path: str, repo: str):
     """An index state from JSON {"file_hashes": {path: hash}}; a missing file is an empty state."""
     from graphloom.schema import STATE
 
-    try:
-        with open(path, encoding="utf-8") as f:
-            hashes = json.load(f).get("file_hashes", {})
-    except OSError:
-        hashes = {}
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hashes = {}
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        hashes = json.loads(spark.read.text(path, wholetext=True).first()[0]).get("file_hashes", {})
     return spark.createDataFrame([(repo, p, h) for p, h in sorted(hashes.items())], STATE)

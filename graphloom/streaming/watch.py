@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from graphloom.sources import discovery
 class Indexer:
     """Keeps the tables of a Store in step with a source tree."""
 
-    def __init__(self, spark: SparkSession, root: str, path: str, repo: str | None = None, dependencies: tuple[str, ...] = (), embedder: vector.Embedder | None = None):
+    def __init__(self, spark: SparkSession, root: str, path: str, repo: str | None = None, dependencies: tuple[str, ...] = (), embedder: vector.Embedder | None = None, extractors: dict | None = None, attempts: int = 2):
         self.spark, self.path, self.repo = spark, path, repo or store.repo_name_of(path)
         self.dependencies, self.embedder = list(dependencies), embedder or vector.HashingEmbedder()
+        self.extractors, self.attempts = extractors, attempts
         self.store = store.Store(spark, root)
         self.store.ensure()
         discovery.register(spark)
@@ -26,41 +29,52 @@ class Indexer:
     def run(self, clean: bool = False) -> dict[str, int]:
         """One indexing; files whose hash is as it was are left alone unless `clean`. Returns how many files were in each state.
 
-        Running it again after a failure is safe: entities replace those of the same file, and the state is written last.
+        Only parts with changed files are read and written, of the vectors too; all tables change at once, with the last step. Running it
+        again after a failure is safe.
         """
-        s = self.store
+        s, repo = self.store, self.repo
+        manifest = s.manifest()
+        mine = lambda name, parts=None: s.read(name, [repo], parts, manifest)
         files = cut(self.current())
         good = files.where("error is null")
-        mine = F.col("repo_name") == self.repo
-        state = s.read("state")
-        classified = cut(incremental.classify(files.select("repo_name", "path", "sha256"), state.where(mine), clean))
+        state = mine("state")
+        classified = cut(incremental.classify(files.select("repo_name", "path", "sha256"), state, clean))
         counts = {r.status: r.n for r in incremental.counts(classified).collect()}
         if not any(counts.get(k) for k in ("added", "modified", "deleted")):
             return counts
         gone = incremental.to_delete(classified).withColumnRenamed("path", "file_path")
-        new = cut(extraction.extract_files(good.join(incremental.to_parse(classified), ["repo_name", "path"], "left_semi")))
-        entities, edges, vectors, intents = (s.read(x) for x in ("entities", "edges", "vectors", "intents"))
-        was = entities.where(mine) if clean else entities.join(gone, ["repo_name", "file_path"], "left_semi")
-        e, g, v = store.without(entities, edges, vectors, cut(was.select("uuid").distinct()))
+        parts = list(range(store.PARTS)) if clean else _parts(gone, "file_path")
+        new = cut(extraction.extract_files(good.join(incremental.to_parse(classified), ["repo_name", "path"], "left_semi"), self.extractors))
         fresh = extraction.entities_of(new)
-        all_entities = cut(e.unionByName(fresh, allowMissingColumns=True))
-        left = intents.where(~mine) if clean else intents.join(gone.withColumnRenamed("file_path", "src_file"), ["repo_name", "src_file"], "left_anti")
-        all_intents = cut(left.unionByName(extraction.intents_of(new)))
+        # the parts with changed files, without what those files held, and with what they hold now
+        was = mine("entities", parts)
+        kept = was.limit(0) if clean else was.join(gone, ["repo_name", "file_path"], "left_anti")
+        entities = cut(kept.unionByName(fresh, allowMissingColumns=True))
+        left = mine("intents", parts)
+        left = left.limit(0) if clean else left.join(gone.withColumnRenamed("file_path", "src_file"), ["repo_name", "src_file"], "left_anti")
+        intents = cut(left.unionByName(extraction.intents_of(new)))
+        vectors = mine("vectors", parts)
+        vectors = vectors.limit(0) if clean else vectors.join(gone, ["repo_name", "file_path"], "left_anti")
+        vectors = vectors.unionByName(vector.embed(fresh, self.embedder), allowMissingColumns=True)
         # a name that came or went may change what other files' references mean: those are resolved again
-        names = was.select("name").unionByName(fresh.select("name")).distinct()
-        again = incremental.affected_intents(all_intents.where(mine), incremental.to_parse(classified), names)
-        context = resolve.context(all_entities, self.repo, self.dependencies)
-        stale = again.select("src_uuid").distinct()
-        whole = all_intents.where(mine).join(stale, "src_uuid", "left_semi")
-        lineage = all_intents.where(mine & (F.col("intent_type") == "Extends"))
-        found = resolve.resolve(whole.unionByName(lineage).distinct(), context, self.repo)
-        kept = g.join(stale, "src_uuid", "left_anti").select("src_uuid", "dst_uuid", "rel_type")
-        all_edges = store.upsert_edges(kept, found.unionByName(graph.contains_edges(fresh)), all_entities)
-        s.write("edges", cut(all_edges))
-        s.write("vectors", cut(v.unionByName(vector.embed(fresh, self.embedder))))
-        s.write("intents", all_intents)
-        s.write("entities", all_entities)
-        s.write("state", cut(state.where(~mine).unionByName(incremental.new_state(good.select("repo_name", "path", "sha256")))))
+        others = [p for p in range(store.PARTS) if p not in parts]
+        all_entities = entities.unionByName(mine("entities", others))
+        all_intents = intents.unionByName(mine("intents", others))
+        dead = was if clean else was.join(gone, ["repo_name", "file_path"], "left_semi")
+        names = dead.select("name").unionByName(fresh.select("name")).distinct()
+        again = incremental.affected_intents(all_intents, incremental.to_parse(classified), names)
+        stale = cut(again.select("src_uuid").unionByName(dead.select(F.col("uuid").alias("src_uuid"))).unionByName(fresh.select(F.col("uuid").alias("src_uuid"))).distinct())
+        whole = all_intents.join(stale, "src_uuid", "left_semi")
+        lineage = all_intents.where("intent_type = 'Extends'")
+        context = all_entities.unionByName(s.read("entities", self.dependencies, None, manifest)) if self.dependencies else all_entities
+        found = resolve.resolve(whole.unionByName(lineage).distinct(), context, repo)
+        found = found.unionByName(graph.contains_edges(fresh)).join(stale, "src_uuid", "left_semi")
+        touched = _parts(stale, "src_uuid")
+        old = mine("edges", touched).join(stale, "src_uuid", "left_anti").select("src_uuid", "dst_uuid", "rel_type")
+        edges = store.upsert_edges(old, found, context).withColumn("repo_name", F.lit(repo))
+        hashes = good.select("repo_name", "path", "sha256").withColumn("p", store.part_of(F.col("path"))).where(F.col("p").isin(parts)).drop("p")
+        of = lambda which: [(repo, p) for p in which]
+        s.commit({"entities": (entities, of(parts)), "intents": (intents, of(parts)), "vectors": (vectors, of(parts)), "edges": (edges, of(touched)), "state": (incremental.new_state(hashes), of(parts))})
         return counts
 
     def watch(self, checkpoint: str, seconds: float = 0.5, once: bool = False):
@@ -71,6 +85,21 @@ class Indexer:
         return w.trigger(processingTime=f"{seconds} seconds").start()
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """One run for the whole batch; what the batch names is only a sign that there is something to do."""
-        if not batch.select("path").distinct().isEmpty():
-            self.run()
+        """One run for the whole batch; what the batch names is only a sign that there is something to do.
+
+        A run that fails is tried again, and then reported without ending the stream: the state still names the files as they were, so the
+        next batch makes up for it.
+        """
+        if batch.select("path").distinct().isEmpty():
+            return
+        for attempt in range(self.attempts):
+            try:
+                self.run()
+                return
+            except Exception:
+                logging.getLogger(__name__).exception("indexing after batch %s failed (%s of %s)", batch_id, attempt + 1, self.attempts)
+
+
+def _parts(df: DataFrame, column: str) -> list[int]:
+    """The parts in which the values of a column lie: at most PARTS numbers."""
+    return sorted(r.p for r in df.select(store.part_of(F.col(column)).alias("p")).distinct().collect())

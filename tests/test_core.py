@@ -178,8 +178,8 @@ def test_store(spark, tmp_path):
     s.ensure()
     assert s.read("edges").count() == 0
     row = spark.createDataFrame([("a", "b", "CALLS")], "src_uuid string, dst_uuid string, rel_type string")
-    s.write("edges", s.read("edges").unionByName(row))
-    s.write("edges", s.read("edges").unionByName(row).distinct())
+    s.write("edges", s.read("edges").unionByName(row, allowMissingColumns=True))
+    s.write("edges", s.read("edges").unionByName(row, allowMissingColumns=True).distinct())
     assert s.read("edges").count() == 1
     e = spark.createDataFrame([("a", "x"), ("b", "y")], "uuid string, name string")
     up = store.upsert(e, spark.createDataFrame([("b", "Y"), ("b", "Y"), ("c", "z")], "uuid string, name string"), ["uuid"])
@@ -188,6 +188,32 @@ def test_store(spark, tmp_path):
     assert store.repo_name_of("/x/y/") == "y" and store.repo_name_of("/") == "unnamed-repo"
 
 
+def test_store_changes_parts_and_keeps_readers(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, str(tmp_path / "t"))
+    s.ensure()
+    rows = spark.createDataFrame([(f"u{k}", f"n{k}", f"/f{k}", r) for k in range(20) for r in ("a/b=c", "other")], "uuid string, name string, file_path string, repo_name string")
+    s.commit({"entities": (rows, None), "state": (rows.select("repo_name", F.col("file_path").alias("path"), F.lit("h").alias("sha256")), None)})
+    before, reader = s.manifest(), s.read("entities")
+    part = spark.range(1).select(store.part_of(F.lit("/f3"))).first()[0]
+    mine = s.read("entities", ["a/b=c"], [part])
+    assert 0 < mine.count() < 20 and s.read("entities", ["a/b=c"]).count() == 20 and s.read("entities").count() == 40
+    s.commit({"entities": (mine.where("file_path <> '/f3'"), [("a/b=c", part)])})
+    after = s.manifest()
+    changed = {k for k in before["entities"] if after["entities"].get(k) != before["entities"][k]}
+    assert changed == {f"{s.folder('a/b=c')}/{part}"} and after["state"] == before["state"]
+    assert reader.count() == 40 and s.read("entities").count() == 39  # who read before still can
+    broken = rows.withColumn("name", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        s.commit({"state": (rows.select("repo_name", F.lit("/x").alias("path"), F.lit("y").alias("sha256")), None), "entities": (broken, None)})
+    assert s.manifest() == after and s.read("state").count() == 40  # one change for all tables or none
+    s.expire(0)
+    assert s.read("entities").count() == 39 and len(s._numbers()) == 1
+    for p in (tmp_path / "t" / "_manifests").glob("*.json"):
+        p.unlink()
+    with pytest.raises(RuntimeError, match="no manifest"):
+        s.read("entities")
+
+
 def test_batches(spark):
     import datetime as dt
 
@@ -229,6 +255,18 @@ def test_index_and_watch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert answers() == {("CALLS", "go")}
+    was = x.store.manifest()
+    (src / "d.py").write_text("def lonely():\n    pass\n")
+    x.run()
+    now = x.store.manifest()
+    assert sum(was["vectors"].get(k) != v for k, v in now["vectors"].items()) == 1  # only the part of the new file was written
+    fails = iter([True, False])
+    run = x.run
+    x.run = lambda: (_ for _ in ()).throw(ValueError("lost")) if next(fails) else run()
+    (src / "d.py").unlink()
+    x.on_batch(spark.createDataFrame([("/d.py",)], "path string"), 1)
+    x.run = run
+    assert answers() == {("CALLS", "go")} and "lonely" not in {r.name for r in x.store.read("vectors").collect()}
     edges = {tuple(r) for r in x.store.read("edges").collect()}
     whole = Indexer(spark, str(tmp_path / "again"), str(src), "r")
     whole.run()
