@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,5 +43,17 @@ def affected_intents(intents: DataFrame, changed_files: DataFrame, changed_names
     return mine.unionByName(i.join(n, "last", "left_semi").join(f, ["repo_name", "src_file"], "left_anti")).drop("last")
 
 
+def changed_names(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(name): names of entities that came, went or mean another than before: of which the uuids, full names or their order in a file differ."""
+
+    def named(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy("file_path", "name").orderBy(F.coalesce("start_line", F.lit(0)), "uuid")
+        return df.where("name is not null").select("name", F.coalesce("fqn", F.lit("")).alias("fqn"), "uuid", "file_path", F.row_number().over(w).alias("n"))
+
+    a, b = named(before), named(after)
+    keys = ["name", "fqn", "uuid", "file_path", "n"]
+    return a.join(b, keys, "left_anti").select("name").unionByName(b.join(a, keys, "left_anti").select("name")).distinct()
+
+
 def new_state(current: DataFrame) -> DataFrame:
     return current.groupBy("repo_name", "path").agg(F.max("sha256").alias("sha256"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import capitalised, last_segment, starts_upper
 from graphloom.schema import RELATION
+from graphloom.session import cut
 
 #: Letters of a method's name by which the containment match is joined, at most.
 HEAD = 8
@@ -140,7 +141,7 @@ def resolve_calls(intents: DataFrame, entities: DataFrame, repo: str | None = No
 
     Steps: 1 the enclosing class, 2 its parents (for self), 3 the receiver as a class, 4 and 5 the receiver's last part as it is and
     capitalised, 6 (if `fuzzy`) any name that contains one of those and the method, 7 the same file of the same repository, 8 any entity
-    of that name. A receiver whose last part is empty takes no part in step 6.
+    of that name. A receiver whose last part is empty takes no part in step 6. Building the result runs two jobs.
     """
     known = _Known(entities, repo, contexts)
     c = intents.where("intent_type = 'Call' and target is not null and src_uuid is not null")
@@ -167,12 +168,13 @@ def resolve_calls(intents: DataFrame, entities: DataFrame, repo: str | None = No
     # calls without a candidate stay out of the join: a null key would bring them all to one task
     tried = rows.where("key is not null").join(wanted, ["scope", "key"], "left").select(*key, "p", "step", "uuid")
     tried = tried.unionByName(rows.where("key is null").select(*key, "p", "step", F.lit(None).cast("string").alias("uuid")))
-    got = tried.groupBy(*key).agg(F.min_by(F.struct("uuid", "step"), F.when(F.col("uuid").isNotNull(), F.col("p"))).alias("r"))
+    # what follows reads these rows many times: written once, else each reader would plan all joins before it again
+    got = cut(tried.groupBy(*key).agg(F.min_by(F.struct("uuid", "step"), F.when(F.col("uuid").isNotNull(), F.col("p"))).alias("r")))
     found = got.where("r.uuid is not null").select(*key, "r.uuid", "r.step")
     still = got.where("r.uuid is null").select(*key)
     if fuzzy:
         with_rc = still.where("receiver is not null").withColumn("rc", rc)
-        j = with_rc.join(_contained(with_rc, known, dotted), ["scope", "rc", "method"], "left")
+        j = cut(with_rc.join(_contained(with_rc, known, dotted), ["scope", "rc", "method"], "left"))
         found = found.unionByName(j.where("uuid is not null").select(*key, "uuid", F.lit(6).alias("step")))
         still = still.where("receiver is null").unionByName(j.where("uuid is null").select(*key))
     same = known.entities.where("name is not null").groupBy("of", F.col("name").alias("method"), F.col("file_path").alias("src_file")).agg(F.min_by("uuid", F.struct(F.coalesce("start_line", F.lit(0)), "uuid")).alias("here"))

@@ -13,6 +13,7 @@ import json
 import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,13 +145,18 @@ class Store:
         """
         number, manifest = self._newest()
         new = {t: dict(parts) for t, parts in manifest.items()}
-        for name, (df, touched) in changes.items():
-            version = f"v-{uuid.uuid4().hex}"
-            fields = TABLES[name].fields
-            out = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+        versions = {name: f"v-{uuid.uuid4().hex}" for name in changes}
+
+        def put(name: str) -> None:
+            df = changes[name][0]
+            out = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields])
             out = out.withColumn("repo", folder_of(F.col("repo_name"))).withColumn("part", part_of(F.col(BY[name])))
-            out.repartition("repo", "part").sortWithinPartitions("repo", "part", BY[name]).write.partitionBy("repo", "part").parquet(f"{self.root}/{name}/{version}")
-            here = new.setdefault(name, {})
+            out.repartition("repo", "part").sortWithinPartitions("repo", "part", BY[name]).write.partitionBy("repo", "part").parquet(f"{self.root}/{name}/{versions[name]}")
+
+        with ThreadPoolExecutor(len(changes)) as pool:  # the tables' jobs run side by side
+            list(pool.map(put, changes))
+        for name, (_, touched) in changes.items():
+            version, here = versions[name], new.setdefault(name, {})
             if touched is None:
                 here.clear()
             for repo, part in touched or ():

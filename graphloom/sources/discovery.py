@@ -11,7 +11,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
@@ -118,6 +119,7 @@ class _Part(InputPartition):
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.repo, self.size = options["path"], options.get("repo") or "", int(options.get("filesPerPartition", "500"))
+        self.whole = options.get("content", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
         paths = discover(self.root)
@@ -126,7 +128,7 @@ class _TreeReader(DataSourceReader):
     def read(self, partition: _Part) -> Iterator[tuple]:
         for p in partition.paths:
             content, digest, error = read_file(p)
-            yield self.repo, p, EXTENSIONS.get(extension(p)), content, digest, error
+            yield self.repo, p, EXTENSIONS.get(extension(p)), content if self.whole else None, digest, error
 
 
 class _ChangeReader(SimpleDataSourceStreamReader):
@@ -179,7 +181,7 @@ class _ChangeReader(SimpleDataSourceStreamReader):
 
 
 class SourceTree(DataSource):
-    """Format `source_tree`; options path, repo, filesPerPartition, and for streams maxFilesPerTrigger."""
+    """Format `source_tree`; options path, repo, filesPerPartition, content (false: hashes only), and for streams maxFilesPerTrigger."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,6 +197,17 @@ class SourceTree(DataSource):
         return _ChangeReader(self.options)
 
 
+def contents(paths: DataFrame) -> DataFrame:
+    """(repo_name, path, content, sha256, error) of the files named by `paths` (repo_name, path), read where the task runs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(repo, p, *read_file(p)) for repo, p in zip(b["repo_name"], b["path"])]
+            yield pd.DataFrame(rows, columns=["repo_name", "path", "content", "sha256", "error"])
+
+    return paths.select("repo_name", "path").mapInPandas(run, "repo_name string, path string, content string, sha256 string, error string")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SourceTree)
 

@@ -24,7 +24,8 @@ class Indexer:
         discovery.register(spark)
 
     def current(self) -> DataFrame:
-        return self.spark.read.format("source_tree").option("path", self.path).option("repo", self.repo).load()
+        """The tree's files with their hashes, without contents."""
+        return self.spark.read.format("source_tree").option("path", self.path).option("repo", self.repo).option("content", "false").load().select("repo_name", "path", "sha256", "error")
 
     def run(self, clean: bool = False) -> dict[str, int]:
         """One indexing; files whose hash is as it was are left alone unless `clean`. Returns how many files were in each state.
@@ -36,7 +37,6 @@ class Indexer:
         manifest = s.manifest()
         mine = lambda name, parts=None: s.read(name, [repo], parts, manifest)
         files = cut(self.current())
-        good = files.where("error is null")
         state = mine("state")
         classified = cut(incremental.classify(files.select("repo_name", "path", "sha256"), state, clean))
         counts = {r.status: r.n for r in incremental.counts(classified).collect()}
@@ -44,7 +44,8 @@ class Indexer:
             return counts
         gone = incremental.to_delete(classified).withColumnRenamed("path", "file_path")
         parts = list(range(store.PARTS)) if clean else _parts(gone, "file_path")
-        new = cut(extraction.extract_files(good.join(incremental.to_parse(classified), ["repo_name", "path"], "left_semi"), self.extractors))
+        read = discovery.contents(incremental.to_parse(classified).repartition(self.spark.sparkContext.defaultParallelism, "path"))
+        new = cut(extraction.extract_files(read.where("error is null"), self.extractors))
         fresh = extraction.entities_of(new)
         # the parts with changed files, without what those files held, and with what they hold now
         was = mine("entities", parts)
@@ -61,18 +62,21 @@ class Indexer:
         all_entities = entities.unionByName(mine("entities", others))
         all_intents = intents.unionByName(mine("intents", others))
         dead = was if clean else was.join(gone, ["repo_name", "file_path"], "left_semi")
-        names = dead.select("name").unionByName(fresh.select("name")).distinct()
+        names = incremental.changed_names(dead, fresh)
         again = incremental.affected_intents(all_intents, incremental.to_parse(classified), names)
         stale = cut(again.select("src_uuid").unionByName(dead.select(F.col("uuid").alias("src_uuid"))).unionByName(fresh.select(F.col("uuid").alias("src_uuid"))).distinct())
         whole = all_intents.join(stale, "src_uuid", "left_semi")
         lineage = all_intents.where("intent_type = 'Extends'")
         context = all_entities.unionByName(s.read("entities", self.dependencies, None, manifest)) if self.dependencies else all_entities
-        found = resolve.resolve(whole.unionByName(lineage).distinct(), context, repo)
+        # both are read many times by the resolution: written once, in few columns
+        context = cut(context.select("uuid", "name", "fqn", "file_path", "start_line", "repo_name"))
+        whole = cut(whole.unionByName(lineage).distinct())
+        found = resolve.resolve(whole, context, repo)
         found = found.unionByName(graph.contains_edges(fresh)).join(stale, "src_uuid", "left_semi")
         touched = _parts(stale, "src_uuid")
         old = mine("edges", touched).join(stale, "src_uuid", "left_anti").select("src_uuid", "dst_uuid", "rel_type")
         edges = store.upsert_edges(old, found, context).withColumn("repo_name", F.lit(repo))
-        hashes = good.select("repo_name", "path", "sha256").withColumn("p", store.part_of(F.col("path"))).where(F.col("p").isin(parts)).drop("p")
+        hashes = files.where("error is null").select("repo_name", "path", "sha256").withColumn("p", store.part_of(F.col("path"))).where(F.col("p").isin(parts)).drop("p")
         of = lambda which: [(repo, p) for p in which]
         s.commit({"entities": (entities, of(parts)), "intents": (intents, of(parts)), "vectors": (vectors, of(parts)), "edges": (edges, of(touched)), "state": (incremental.new_state(hashes), of(parts))})
         return counts
