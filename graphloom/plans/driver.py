@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import ids, text
 from graphloom.operators import extraction, graph, incremental, lines, orphans, resolve, search, store, vector
 from graphloom.plans.sql import SQL
+from graphloom.streaming.batches import change_batches, distinct_changes
 
 #: What the lookups below ask for.
 REPO, PART, K, CUT = "harbor-core", "index", 5, "2025-07-01 00:00:00"
@@ -117,8 +118,6 @@ def _classes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _batches(s: SparkSession, d: str) -> DataFrame:
-    from graphloom.streaming.batches import change_batches
-
     return change_batches(_t(s, d, "events"), "user_id", "ts", 120)
 
 
@@ -222,10 +221,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delete_by_files_edges": lambda s, d: _left(s, d)[1],
         "delete_by_files_vectors": lambda s, d: _left(s, d)[2],
         "delete_repo": lambda s, d: store.without_repo(_entities(s, d), _edges(s, d), _vectors(s, d), REPO)[1],
+        "delete_repo_entities": lambda s, d: store.without_repo(_entities(s, d), _edges(s, d), _vectors(s, d), REPO)[0].select("uuid"),
+        "delete_repo_vectors": lambda s, d: store.without_repo(_entities(s, d), _edges(s, d), _vectors(s, d), REPO)[2],
         "upsert_entities": lambda s, d: store.upsert(_entities(s, d).select("uuid", "name", "kind"), _new_entities(s, d), ["uuid"]),
         "upsert_edges": lambda s, d: store.upsert_edges(_edges(s, d).where("rel_type <> 'CALLS'"), _edges(s, d), _entities(s, d)),
         "upsert_calls": lambda s, d: store.upsert_calls(_edges(s, d).where("rel_type = 'EXTENDS'"), _edges(s, d), _entities(s, d)),
-        "entity_dedup": lambda s, d: lines.one_per_declaration(_t(s, d, "entities").select("uuid", "name", "kind", "signature", "repo_name", "file_path", "start_line").distinct()).groupBy("repo_name", "kind").agg(F.count("*").alias("n"), F.count("signature").alias("with_signature")),
+        "entity_dedup": lambda s, d: lines.one_per_declaration(_t(s, d, "entities").select("uuid", "name", "kind", "signature", "repo_name", "file_path", "start_line").distinct()),
         "resolve_by_name": lambda s, d: resolve.resolve(_intents(s, d).where("intent_type not in ('Call', 'HtmlFileImport', 'CssFileImport')"), _entities(s, d)),
         "resolve_imports": lambda s, d: resolve.resolve(_relative_imports(s, d), _entities(s, d)),
         "resolve_calls": lambda s, d: _calls(s, d).where("step <> 6").select("src_uuid", "method", "receiver", "uuid", "step"),
@@ -239,7 +240,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "enclosing_context": lambda s, d: lines.enclosing_class(_refs(s, d).withColumnRenamed("ref_id", "row_id"), _classes(s, d), ["repo_name", "file_path"]),
         "orphan_lines": lambda s, d: lines.covered(_ends(s, d), _spans(s, d).where("end_line is not null").select("repo_name", "file_path", F.col("start_line").alias("lo"), F.col("end_line").alias("hi")), ["repo_name", "file_path"]).select("ref_id"),
         "watch_batches": _batches,
-        "watch_dedup": lambda s, d: _t(s, d, "events").select("user_id", "event_type").distinct(),
+        "watch_dedup": lambda s, d: distinct_changes(_t(s, d, "events"), "user_id", "event_type"),
     }
 
 

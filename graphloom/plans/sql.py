@@ -146,10 +146,12 @@ SQL: dict[str, str] = {
     "delete_by_files_edges": _with(E_, G_, DEAD) + "SELECT * FROM g WHERE src_uuid NOT IN (SELECT uuid FROM dead) AND dst_uuid NOT IN (SELECT uuid FROM dead)",
     "delete_by_files_vectors": _with(E_, V_, DEAD) + "SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM dead WHERE dead.uuid = v.uuid)",
     "delete_repo": _with(E_, G_) + "SELECT * FROM g WHERE src_uuid NOT IN (SELECT uuid FROM e WHERE repo_name = 'harbor-core') AND dst_uuid NOT IN (SELECT uuid FROM e WHERE repo_name = 'harbor-core')",
+    "delete_repo_entities": _with(E_) + "SELECT uuid FROM e WHERE repo_name IS DISTINCT FROM 'harbor-core'",
+    "delete_repo_vectors": _with(E_, V_) + "SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.uuid = v.uuid AND e.repo_name = 'harbor-core')",
     "upsert_entities": _with(E_) + "SELECT uuid, CASE WHEN kind = 'class' THEN name || 'V2' ELSE name END AS name, kind FROM e",
     "upsert_edges": _with(E_, G_) + "SELECT * FROM g WHERE rel_type <> 'CALLS' OR (src_uuid IN (SELECT uuid FROM e) AND dst_uuid IN (SELECT uuid FROM e))",
     "upsert_calls": _with(E_, G_) + "SELECT * FROM g WHERE rel_type = 'EXTENDS' OR (rel_type = 'CALLS' AND src_uuid IN (SELECT uuid FROM e) AND dst_uuid IN (SELECT uuid FROM e))",
-    "entity_dedup": "SELECT repo_name, kind, count(*) AS n, count(signature) AS with_signature FROM (SELECT repo_name, file_path, name, kind, start_line, max(signature) AS signature FROM entities GROUP BY ALL) GROUP BY 1, 2",
+    "entity_dedup": "SELECT uuid, name, kind, signature, repo_name, file_path, start_line FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, file_path, name, kind, start_line ORDER BY signature IS NULL, signature, uuid) AS rn FROM (SELECT DISTINCT uuid, name, kind, signature, repo_name, file_path, start_line FROM entities)) WHERE rn = 1",
     "resolve_by_name": _with(E_, I_, NAMES) + f"SELECT DISTINCT i.src_uuid, nm.uuid AS dst_uuid, {REL} AS rel_type FROM i JOIN nm ON nm.key = i.target WHERE intent_type NOT IN ('Call', 'HtmlFileImport', 'CssFileImport') AND src_uuid IS NOT NULL",
     "resolve_imports": _with(E_, I_) + f"SELECT DISTINCT i.src_uuid, x.uuid AS dst_uuid, {REL} AS rel_type FROM i JOIN (SELECT repo_name, file_path, arg_min(uuid, {{'l': coalesce(start_line, 0), 'u': uuid}}) AS uuid FROM e GROUP BY 1, 2) x ON x.file_path = i.target AND x.repo_name = i.repo_name WHERE intent_type IN ('HtmlFileImport', 'CssFileImport') AND src_uuid IS NOT NULL",
     "resolve_calls": _with(*CALLS) + "SELECT src_uuid, method, receiver, uuid, step FROM res WHERE step <> 6",
@@ -172,7 +174,7 @@ SQL: dict[str, str] = {
     "orphan_lines": _with(E_, I_, SPAN) + "SELECT x.uuid AS ref_id FROM e x WHERE x.end_line IS NOT NULL AND x.repo_name IS NOT NULL AND x.file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.repo_name = x.repo_name AND sp.file_path = x.file_path AND sp.end_line IS NOT NULL AND x.end_line + 1 BETWEEN sp.start_line AND sp.end_line)",
     "watch_batches": """SELECT path, batch, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM (SELECT user_id AS path, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS batch FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 120 SECOND THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY 1, 2""",
-    "watch_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+    "watch_dedup": "SELECT DISTINCT user_id, event_type FROM events WHERE user_id IS NOT NULL",
 }
 # extraction: every declaration that the index holds of a file whose text still has its name, with its name, kind and full name
 SQL |= {

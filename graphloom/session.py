@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -63,10 +65,38 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder; columns stay prunable and filters stay pushable."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+_written: list[str] = []
+
+
+def tidy(spark: SparkSession) -> None:
+    """Deletes the tables that `written` and `cut` left in the shared folder. What was built on them can't be read again after it.
+
+    Called by itself when the driver ends; call it earlier where a session lives long.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in [*_written, *filter(None, [spark.sparkContext.getCheckpointDir()])]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    _written.clear()
+
+
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            tidy(spark)
+    except Exception:  # the session is gone, and with it the way to its file system
+        pass
+
+
+atexit.register(_at_end)
+
+
 _shipped: set[str] = set()
 
 
@@ -75,7 +105,9 @@ def ship(spark: SparkSession) -> SparkSession:
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
-        path = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom_package.zip"
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder) / "graphloom_package.zip"
         with zipfile.ZipFile(path, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, Path(root.name) / p.relative_to(root))

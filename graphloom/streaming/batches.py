@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def distinct_changes(events: DataFrame, path: str, op: str) -> DataFrame:
+    """(path, op): what has to be done for a batch of events, each once however often it was reported; null paths are nothing to do."""
+    return events.where(F.col(path).isNotNull()).select(path, op).distinct()
+
+
 def change_batches(events: DataFrame, path: str, ts: str, seconds: int, tie: str = "event_id") -> DataFrame:
     """(path, batch, n_events, first_ts, last_ts): a gap of more than `seconds` after the file's last event begins a batch.
 

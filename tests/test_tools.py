@@ -89,3 +89,55 @@ def test_sql_functions(spark):
     df.createOrReplaceTempView("raw_comments")
     assert [tuple(r) for r in spark.sql("SELECT strip_comment_markers(raw) FROM raw_comments").collect()] == [tuple(r) for r in df.select(text.strip_comment_markers(F.col("raw"))).collect()]
     assert spark.sql("SELECT name FROM extract_entities('python', 'def f(): pass', '/a.py', 'r')").first().name == "f"
+
+
+def _field(number, value):
+    """One field of a protocol buffer: an integer, or bytes with their length."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _tiny_model(table):
+    """An ONNX model that looks tokens up in a table: its output is the last layer of a model of no layers."""
+    import numpy as np
+
+    def value(name, kind, dims):
+        shape = b"".join(_field(1, _field(1, d) if isinstance(d, int) else _field(2, d.encode())) for d in dims)
+        return _field(1, name.encode()) + _field(2, _field(1, _field(1, kind) + _field(2, shape)))
+
+    weights = _field(1, table.shape[0]) + _field(1, table.shape[1]) + _field(2, 1) + _field(8, b"table") + _field(9, table.astype(np.float32).tobytes())
+    node = _field(1, b"table") + _field(1, b"input_ids") + _field(2, b"last") + _field(4, b"Gather")
+    graph = _field(1, node) + _field(2, b"tiny") + _field(5, weights) + _field(11, value("input_ids", 7, ["b", "s"])) + _field(11, value("attention_mask", 7, ["b", "s"])) + _field(12, value("last", 1, ["b", "s", table.shape[1]]))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, b"") + _field(2, 13))
+
+
+def test_onnx_embedder(spark, tmp_path):
+    """Tokens, padding, mean over real tokens and length one, with a tiny model made here."""
+    pytest.importorskip("onnxruntime")
+    import numpy as np
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from graphloom.operators import vector
+
+    words = {"[PAD]": 0, "[UNK]": 1, "open": 2, "the": 3, "file": 4}
+    table = np.random.default_rng(0).normal(size=(len(words), 8)).astype(np.float32)
+    tok = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "tokenizer.json"))
+    (tmp_path / "tiny.onnx").write_bytes(_tiny_model(table))
+    e = vector.OnnxEmbedder(str(tmp_path / "tiny.onnx"), str(tmp_path / "tokenizer.json"), 8)
+    texts = ["open the file", "file", "open open what"]
+    want = [table[[2, 3, 4]].mean(0), table[4], table[[2, 2, 1]].mean(0)]
+    for got, w in zip(e.embed(texts), want):
+        np.testing.assert_allclose(got, w / np.linalg.norm(w), rtol=1e-5)
+    df = spark.createDataFrame([(str(i), "r", t, f"n{i}") for i, t in enumerate(texts)], "uuid string, repo_name string, embed_text string, name string")
+    made = vector.OnnxEmbedder(str(tmp_path / "tiny.onnx"), str(tmp_path / "tokenizer.json"), 8)
+    rows = {r.uuid: r for r in vector.embed(df, made).collect()}
+    np.testing.assert_allclose(rows["0"].embedding, want[0] / np.linalg.norm(want[0]), rtol=1e-5)
+    assert rows["1"].name == "n1" and vector.top_k(vector.embed(df, made), e.embed(["file"])[0], 1).first().uuid == "1"
