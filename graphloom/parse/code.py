@@ -8,6 +8,8 @@ from graphloom.parse.lexers import lex
 from graphloom.parse.model import Source, strip_marks
 
 _OPEN = {"(": ")", "[": "]", "{": "}"}
+#: Before an object type among type arguments.
+_TYPE_BEFORE = frozenset(("extends", "=", ",", "|", "&", "<", ":"))
 
 # Words that no call, declaration or callback is named.
 WORDS = {
@@ -74,7 +76,15 @@ class Tokens:
             elif t in (")", "]"):
                 while stack and self.toks[stack.pop()][1] == "<":
                     pass
-            elif t in ("{", ";"):
+            elif t == "{" and stack and self.toks[stack[-1]][1] in ("<", "{") and self.toks[i - 1][1] in _TYPE_BEFORE:
+                stack.append(i)  # an object type
+            elif t == "}" and any(self.toks[j][1] == "{" for j in stack):
+                while self.toks[stack.pop()][1] != "{":
+                    pass
+            elif t == ";" and any(self.toks[j][1] == "{" for j in stack):
+                while self.toks[stack[-1]][1] != "{":
+                    stack.pop()
+            elif t in ("{", "}", ";"):
                 stack = []
 
     def text(self, i: int) -> str:

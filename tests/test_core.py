@@ -38,7 +38,7 @@ def resolved(spark, ents, ints, **k):
         ([ent("a", "m", "C.m"), ent("b", "m", "D.m")], call("s", "m", cls="C"), "a"),
         ([ent("a", "m", "C.m")], call("s", "m", "this", "C"), "a"),
         ([ent("a", "of", "List.of")], call("s", "of", "List"), "a"),
-        ([ent("a", "add", "ChatMemory.add")], call("s", "add", "this.chatMemory"), "a"),
+        ([ent("a", "add", "NoteShelf.add")], call("s", "add", "this.noteShelf"), "a"),
         ([ent("a", "add", "x.store.add")], call("s", "add", "store"), "a"),
         ([ent("a", "go", file="/other"), ent("b", "go", file="/f", line=9)], call("s", "go"), "b"),
         ([ent("b", "go", file="/z"), ent("a", "go", file="/a")], call("s", "go"), "a"),

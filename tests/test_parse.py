@@ -22,7 +22,7 @@ JAVA = """
 package x;
 /** Keeps chats. */
 @Service("a")
-public class ChatMemory extends Base<String> implements Store, Closeable {
+public class NoteShelf extends Base<String> implements Store, Closeable {
     private final Repo repo = new Repo();
     // adds one
     public void add(String text, int n) { this.repo.save(text); helper(n); a.b().run(); }
@@ -33,10 +33,10 @@ enum Color { RED, GREEN }
 
 
 def test_java():
-    c = by("java", JAVA, "ChatMemory")
+    c = by("java", JAVA, "NoteShelf")
     assert (c["kind"], c["docstring"], c["decorators"]) == ("class", "Keeps chats.", ['@Service("a")'])
     m = by("java", JAVA, "add")
-    assert (m["fqn"], m["signature"], m["enclosing_class"], m["docstring"]) == ("ChatMemory.add", "(String text, int n)", "ChatMemory", "adds one")
+    assert (m["fqn"], m["signature"], m["enclosing_class"], m["docstring"]) == ("NoteShelf.add", "(String text, int n)", "NoteShelf", "adds one")
     assert {r["kind"] for r in rows("java", JAVA)} >= {"class", "interface", "method", "enum"}
     got = intents("java", JAVA)
     assert {("Call", "save", "this.repo"), ("Call", "helper", None), ("Call", "run", None), ("Call", "Repo", None), ("Extends", "Base", None), ("Implements", "Store", None), ("TypeReference", "User", None), ("TypeReference", "Service", None)} <= got
@@ -65,10 +65,10 @@ def test_kotlin():
 
 TS = """
 import { Component } from "x";
-@Component({ imports: [AppComponent] })
-export class AppModule extends Root implements OnInit {
+@Component({ imports: [ShopPanel] })
+export class ShopModule extends Root implements OnInit {
   private count: number = 0;
-  constructor(private s: AnalyticsService) {}
+  constructor(private s: TallyService) {}
   @Input() load(id: string): Promise<void> { return this.s.fetch<User>(id, onDone); }
 }
 interface Shape { area(): number; }
@@ -79,10 +79,10 @@ export const twice = async (n: number): Promise<number> => { return n * 2; };
 
 def test_typescript():
     kinds = {(r["name"], r["kind"]) for r in rows("typescript", TS)}
-    assert {("AppModule", "class"), ("Shape", "interface"), ("Level", "enum"), ("load", "method"), ("twice", "function"), ("count", "constant"), ("area", "method")} <= kinds
-    assert by("typescript", TS, "load")["fqn"] == "AppModule.load"
+    assert {("ShopModule", "class"), ("Shape", "interface"), ("Level", "enum"), ("load", "method"), ("twice", "function"), ("count", "constant"), ("area", "method")} <= kinds
+    assert by("typescript", TS, "load")["fqn"] == "ShopModule.load"
     got = intents("typescript", TS)
-    assert {("TypeReference", "AppComponent", None), ("TypeReference", "AnalyticsService", None), ("Extends", "Root", None), ("Implements", "OnInit", None), ("Call", "fetch", "this.s"), ("ValueReference", "onDone", None)} <= got
+    assert {("TypeReference", "ShopPanel", None), ("TypeReference", "TallyService", None), ("Extends", "Root", None), ("Implements", "OnInit", None), ("Call", "fetch", "this.s"), ("ValueReference", "onDone", None)} <= got
 
 
 JS = """
@@ -107,24 +107,24 @@ RUST = """
 //! crate
 /// Counts.
 #[derive(Debug)]
-pub struct Counter { n: Inner }
-pub trait Incrementable { fn inc(&mut self); }
-impl Incrementable for Counter {
+pub struct Ticker { n: Inner }
+pub trait Steppable { fn inc(&mut self); }
+impl Steppable for Ticker {
     /// One more.
     fn inc(&mut self) { self.n.bump(); helper(1); println!("{}", self.n); Other::make(); }
 }
 pub const MAX: usize = 3;
-macro_rules! square { ($x:expr) => { $x * $x } }
+macro_rules! twice { ($x:expr) => { $x * $x } }
 pub async fn run<'a>(x: &'a str) -> Result<(), E> { match y { Kind::A => 1, _ => 2 } }
 """
 
 
 def test_rust():
     kinds = {(r["name"], r["kind"]) for r in rows("rust", RUST)}
-    assert {("Counter", "rust_struct"), ("Incrementable", "rust_trait"), ("inc", "rust_method"), ("MAX", "rust_constant"), ("square", "rust_macro_def"), ("run", "rust_function")} <= kinds
-    c = by("rust", RUST, "Counter")
-    assert c["docstring"] == "Counts." and ("Implements", "Incrementable", None) in {(i["intent_type"], i["target"], i["receiver"]) for i in c["intents"]}
-    assert by("rust", RUST, "square")["fqn"] == "square!"
+    assert {("Ticker", "rust_struct"), ("Steppable", "rust_trait"), ("inc", "rust_method"), ("MAX", "rust_constant"), ("twice", "rust_macro_def"), ("run", "rust_function")} <= kinds
+    c = by("rust", RUST, "Ticker")
+    assert c["docstring"] == "Counts." and ("Implements", "Steppable", None) in {(i["intent_type"], i["target"], i["receiver"]) for i in c["intents"]}
+    assert by("rust", RUST, "twice")["fqn"] == "twice!"
     got = intents("rust", RUST)
     assert {("RustMacroCall", "println", None), ("Call", "bump", "n"), ("Call", "make", None), ("TypeReference", "Inner", None)} <= got
     assert ("TypeReference", "Kind", None) not in got
@@ -141,7 +141,7 @@ class Dog(Animal, metaclass=Meta):
         # loud
         self.voice.play(on_end=finish)
         return fetch(x)
-square = lambda v: v * v
+twice = lambda v: v * v
 try:
     main()
 except ValueError, e:
@@ -156,7 +156,7 @@ def test_python():
     assert (m["kind"], m["fqn"], m["signature"], m["inline_comments"]) == ("python_method", "Dog.bark", "(self, x=1)", ["loud"])
     got = intents("python", PY)
     assert {("Extends", "Animal", None), ("Call", "play", "self.voice"), ("ValueReference", "finish", None), ("Call", "fetch", None), ("TypeReference", "a", None), ("TypeReference", "m", None), ("TypeReference", "k", None), ("Call", "main", None)} <= got
-    assert by("python", PY, "<module>")["kind"] == "python_module" and by("python", PY, "square")["kind"] == "python_function" and by("python", PY, "LIMIT")["kind"] == "python_constant"
+    assert by("python", PY, "<module>")["kind"] == "python_module" and by("python", PY, "twice")["kind"] == "python_function" and by("python", PY, "LIMIT")["kind"] == "python_constant"
     assert [r["name"] for r in rows("python", "import os\nimport sys\n")] == ["<module>"]
 
 

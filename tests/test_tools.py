@@ -77,6 +77,9 @@ def test_many_bounded_type_parameters():
     for language, path in (("java", "/A.java"), ("typescript", "/a.ts")):
         found = parse.extract(language, f"class A<{bounds}> extends Base {{ }}", path, "r")
         assert [i["target"] for e in found for i in e["intents"] if i["intent_type"] == "Extends"] == ["Base"]
+    for head in ("A<T extends { x: number; y: Map<string, { z: B }> }>", "A<T = { x: C[] }, U>"):
+        found = parse.extract("typescript", f"class {head} extends Base implements I {{ m() {{ if (a < b) {{ return c > d; }} }} }}", "/a.ts", "r")
+        assert [(i["intent_type"], i["target"]) for e in found for i in e["intents"] if i["intent_type"] in ("Extends", "Implements")] == [("Extends", "Base"), ("Implements", "I")] and [e["name"] for e in found] == ["A", "m"]
     assert lex("java", "a < b")
 
 
