@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 DIM = 384
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -134,7 +135,8 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, repo: str | None =
     if k < 0:
         raise ValueError("k must not be negative")
     v = vectors if repo is None else vectors.where(F.col("repo_name") == repo)
-    v = v.select(F.col(key), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col(key).isNotNull() & (F.size("embedding") == len(query)) & ~F.exists("embedding", lambda x: x.isNull()))
+    x = F.col("embedding") if v.schema["embedding"].dataType.elementType in (FloatType(), DoubleType()) else F.col("embedding").cast("array<double>").alias("embedding")
+    v = v.select(F.col(key), x).where(F.col(key).isNotNull() & (F.size("embedding") == len(query)))
     dim = len(query)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +147,7 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 5, repo: str | None =
             schema = b.schema
             if not b.num_rows or not length or not k:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, dim)  # a null element is no number
             with np.errstate(all="ignore"):
                 s = np.round((x @ q) / (np.sqrt((x * x).sum(axis=1)) * length), 6) + 0.0
             ok = np.isfinite(s)

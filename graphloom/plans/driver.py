@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,12 +65,18 @@ def _index_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _index_query(s: SparkSession, d: str) -> list[float]:
     """What the searches of the index ask for: the vector of the smallest uuid; zeros, near to nothing, where there is none."""
+    few = _t(s, d, "vectors").where(F.col("uuid").isNotNull() & (F.size("embedding") == vector.DIM)).select("uuid", "embedding").orderBy("uuid").limit(64).collect()
+    good = [r for r in few if None not in r.embedding and all(map(math.isfinite, r.embedding)) and any(r.embedding)]
+    if good:  # the smallest uuid's vectors are all among the first, unless it has more than those
+        mine = [r.embedding for r in good if r.uuid == good[0].uuid]
+        if few[-1].uuid != good[0].uuid or len(few) < 64:
+            return [float(x) for x in min(mine)]
     first = _index_vectors(s, d).agg(F.min(F.struct("uuid", "embedding")).alias("v")).first().v
     return [float(x) for x in first.embedding] if first else [0.0] * vector.DIM
 
 
 def _index_top(s: SparkSession, d: str, repo: str | None = None) -> DataFrame:
-    return vector.top_k(_index_vectors(s, d), _index_query(s, d), K, repo)
+    return vector.top_k(_t(s, d, "vectors"), _index_query(s, d), K, repo)
 
 
 def _mutated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +179,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
     """The search over the index's entities, edges and vectors; a hit without an entity has its rank but no row."""
-    return search.hybrid(_entities(s, d), _edges(s, d), _index_vectors(s, d), _index_query(s, d), K).select(
+    return search.hybrid(_entities(s, d), _edges(s, d), _t(s, d, "vectors"), _index_query(s, d), K).select(
         "rank", "score", "uuid", "name", "kind", "fqn", "signature", "docstring", "file_path", "start_line", "repo_name", "calls", "subclasses", "implementers", "caller_count", "caller_samples", "type_usage_count", "type_usage_samples",
     )
 
