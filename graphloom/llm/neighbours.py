@@ -632,7 +632,7 @@ def _with_copies(pairs: DataFrame, copies: DataFrame, rows: DataFrame, dim: int,
     return pairs.unionByName(more).distinct()
 
 
-def recall(vectors: DataFrame, pairs: DataFrame, top: int = TOP, dim: int = DIM, one_in: int = 100, chunk: int = 100_000) -> DataFrame:
+def recall(vectors: DataFrame, pairs: DataFrame, top: int = TOP, dim: int = DIM, one_in: int = 100, chunk: int = 25_000) -> DataFrame:
     """One row: queries, true_pairs (their nearest by brute force), found_pairs (those of them in `pairs`) and recall.
 
     Queries are all uuids whose hash is divisible by `one_in`, against all rows, in blocks of `chunk` rows: every block gives each query its
