@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from graphloom.llm.gll import Grammar, together
-from graphloom.llm.rewrites import python2_tokens, without_jsx
+from graphloom.llm.rewrites import NotJsx, python2_tokens, without_jsx
 from graphloom.parse.lexers import LexError, lex
 
 PYTHON = r"""
@@ -722,13 +722,13 @@ def accepting(language: str, text: str, besides: bool = False) -> list[str]:
     """
     try:
         found = together(_prepared(language, text), dialects(CURRENT[language]))
-    except (LexError, RecursionError):
+    except (LexError, NotJsx, RecursionError):
         found = []
     if besides:
         for other in BESIDES.get(language, ()):
             try:
                 more = together(_prepared(other, text), dialects(CURRENT.get(other, other)))
-            except (LexError, RecursionError):
+            except (LexError, NotJsx, RecursionError):
                 continue
             found += [name.replace(language, other, 1) if other.endswith("-jsx") else name for name in more]
     return found

@@ -73,7 +73,7 @@ def test_dialects_besides(language, text, dialect):
 
 
 def test_dialects_reject():
-    for text in ("const A = () => <div>;", "const A = () => <div></p>;", "const A = () => <div a={let x}></div>;", "const A = () => <div a=></div>;", "x = <a>{</a>;"):
+    for text in ("const A = () => <div>;", "const A = () => <div></p>;", "const A = () => <div a={let x}></div>;", "const A = () => <div a=></div>;", "x = <a>{</a>;", "x = `${a", "x = <a b=", "<a {", "x = `${<a>}`;", "x = <", "</a>"):
         assert not grammars.accepting("javascript-jsx", text), text
     assert grammars.accepting("javascript-jsx", "let a = b < c; let d = e > f; const g = /<div>/; const h = `<p>${<b>{x}</b>}</p>`;")
     assert grammars.accepting("typescript-jsx", "const f = <T extends X>(a: T) => a; const b = c < d && e > (f);")
